@@ -14,10 +14,6 @@ from pyspark.sql import functions as F
 METHODS = ("back_adjusted", "ratio_adjusted", "stitched")
 _ALIASES = {"stitch_returns": "stitched"}
 
-_BY_ROOT = Window.partitionBy("root").orderBy("k")
-_BEFORE = _BY_ROOT.rowsBetween(Window.unboundedPreceding, -1)
-_UPTO = _BY_ROOT.rowsBetween(Window.unboundedPreceding, 0)
-
 
 def intervals(schedule: DataFrame) -> DataFrame:
     """Number the segments and give each its exclusive end (null for the last one)."""
@@ -91,20 +87,22 @@ def _boundaries(tagged: DataFrame) -> DataFrame:
 
 def _adjustments(bounds: DataFrame, method: str) -> DataFrame:
     """``(root, k, adj)``: the offset or factor of each segment; null once a link is missing."""
-    previous_last = F.lag("last_price").over(_BY_ROOT)
+    by_root = Window.partitionBy("root").orderBy("k")
+    upto = by_root.rowsBetween(Window.unboundedPreceding, 0)
+    previous_last = F.lag("last_price").over(by_root)
     if method == "back_adjusted":
-        link = F.lag(F.col("last_price") - F.col("next_price")).over(_BY_ROOT)
+        link = F.lag(F.col("last_price") - F.col("next_price")).over(by_root)
         neutral, combine = 0.0, F.sum
     elif method == "ratio_adjusted":
-        link = F.lag(F.col("last_price") / F.nullif(F.col("next_price"), F.lit(0.0))).over(_BY_ROOT)
+        link = F.lag(F.col("last_price") / F.nullif(F.col("next_price"), F.lit(0.0))).over(by_root)
         neutral, combine = 1.0, F.product
     else:
         link = previous_last / F.nullif(F.col("first_price"), F.lit(0.0))
         neutral, combine = 1.0, F.product
-    rows = bounds.withColumn("_first", F.row_number().over(_BY_ROOT) == 1).withColumn("_link", link)
+    rows = bounds.withColumn("_first", F.row_number().over(by_root) == 1).withColumn("_link", link)
     rows = rows.withColumn("_link", F.when(F.col("_first"), neutral).otherwise(F.col("_link")))
-    broken = F.max(F.col("_link").isNull()).over(_UPTO)
-    return rows.withColumn("adj", F.when(~broken, combine("_link").over(_UPTO))).select("root", "k", "adj")
+    broken = F.max(F.col("_link").isNull()).over(upto)
+    return rows.withColumn("adj", F.when(~broken, combine("_link").over(upto))).select("root", "k", "adj")
 
 
 def zero_price_links(contract_prices: DataFrame, schedule: DataFrame, method: str) -> DataFrame:
@@ -112,7 +110,7 @@ def zero_price_links(contract_prices: DataFrame, schedule: DataFrame, method: st
     bounds = _boundaries(_tagged(contract_prices, schedule))
     if method == "ratio_adjusted":
         return bounds.filter("next_price = 0")
-    numbered = bounds.withColumn("_n", F.row_number().over(_BY_ROOT))
+    numbered = bounds.withColumn("_n", F.row_number().over(Window.partitionBy("root").orderBy("k")))
     return numbered.filter("first_price = 0 and _n > 1").drop("_n")
 
 
