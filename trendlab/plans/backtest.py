@@ -9,7 +9,7 @@ clustering; only then does the panel fan out to its runs.  From there the plan g
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +19,7 @@ from ..operators import attribution, calendar, execution, risk, signals
 from ..operators.ledger import ledger
 from ..operators.metrics import performance_summary, rolling_metrics
 from ..operators.sizing import size_positions
+from ..sources.sinks import stored
 from .scenarios import scenario_frame
 from .walkforward import rows_in_windows
 
@@ -58,7 +59,11 @@ def window_panel(spark: SparkSession, prices: DataFrame, windows: Sequence[tuple
 
 @dataclass(frozen=True)
 class Backtest:
-    """Lazy result tables of one or many runs; each property is a plan, nothing has run yet."""
+    """Result tables of one or many runs.
+
+    All are lazy but two: ``book`` and ``raw_fills`` have several readers each and are written to
+    the shared scratch folder on first use, which also cuts the lineage of a long plan.
+    """
 
     spark: SparkSession
     prices: DataFrame
@@ -128,7 +133,7 @@ class Backtest:
         return calendar.align_volume(out, self.adv, F.col("default_adv"), _RUN)
 
     @cached_property
-    def book(self) -> DataFrame:
+    def sized(self) -> DataFrame:
         """The panel with the ``target`` contracts of each session."""
         banded = any((r["rebalance_threshold"] or 0) > 0 for r in self.rows)
         sized = size_positions(
@@ -146,6 +151,14 @@ class Backtest:
             *_RUN, "ts", "symbol_pos", "close", "adv", "point_value", "starting_nav", *execution.COST_COLUMNS, "target"
         )
 
+    @cached_property
+    def book(self) -> DataFrame:
+        """``sized``, written once: orders, fills, positions and ledger all start from it."""
+        return stored(self.sized, "book")
+
+    def with_rolls(self, roll_dates: DataFrame) -> Backtest:
+        return replace(self, roll_dates=roll_dates)
+
     @cached_property
     def _execution(self) -> tuple[DataFrame, DataFrame]:
         return execution.trade_log(*execution.execute(self.book, self.roll_dates))
@@ -156,8 +169,8 @@ class Backtest:
 
     @cached_property
     def raw_fills(self) -> DataFrame:
-        """Fills before numbering: all that positions, costs and NAV need."""
-        return execution.execute(self.book, self.roll_dates)[1]
+        """Fills before numbering, written once: all that positions, costs and NAV need."""
+        return stored(execution.execute(self.book, self.roll_dates)[1], "fills")
 
     @cached_property
     def fills(self) -> DataFrame:

@@ -63,6 +63,6 @@ def stored(table: DataFrame, name: str) -> DataFrame:
     return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
-def portfolio_summary_records(summary: DataFrame, scenarios: DataFrame) -> DataFrame:
+def summary_records(summary: DataFrame, scenarios: DataFrame) -> DataFrame:
     """The summary of each run with its configuration hash, ready for :func:`write_records`."""
     return summary.join(scenarios.select("run_id", F.col("config_hash")), "run_id")
