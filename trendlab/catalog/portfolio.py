@@ -125,7 +125,7 @@ held as (
 
 
 @register(
-    "g9_no_trade_band", "symbol s, ts d, contracts 6, target 6",
+    "g9_no_trade_band", "symbol s, ts d, contracts 8, target 6",
     panel.sql("select w.symbol, w.ts, w.contracts, h.target from wanted w join held h using (symbol, i)", _BAND_BRANDS, by="p_brand"),
 )
 def g9(spark, sf):
@@ -267,7 +267,7 @@ def h8(spark, sf):
 
 
 @register(
-    "h9_trades", "run_id s, ts d, symbol s, qty 6, price 6, notional 4, slippage 6, commission 6, cost 6, reason s, order_id i, partial b",
+    "h9_trades", "run_id s, ts d, symbol s, qty 6, price 6, notional 6, slippage 6, commission 6, cost 6, reason s, order_id i, partial b",
     sql("select * from costed", "fills"),
 )
 def h9(spark, sf):
@@ -280,7 +280,7 @@ def h10(spark, sf):
 
 
 @register(
-    "h11_cash_after_fill", "run_id s, ts d, symbol s, order_id i, cash_after 3",
+    "h11_cash_after_fill", "run_id s, ts d, symbol s, order_id i, cash_after m3",
     sql("""select run_id, ts, symbol, order_id,
       1000000.0 - sum(notional + cost) over (partition by run_id order by ts, symbol_pos, order_id rows unbounded preceding) as cash_after
       from costed""", "fills"),
@@ -289,21 +289,21 @@ def h11(spark, sf):
     return base_run(spark, sf).fills
 
 
-_LEDGER = "run_id s, ts d, nav 3, cash 3, asset_value 3, pnl 3, trading_cost 4, roll_cost 4, total_cost 4"
+_LEDGER = "run_id s, ts d, nav m3, cash m3, asset_value m3, pnl m3, trading_cost 4, roll_cost 4, total_cost 4"
 
 
-@register("h12_nav", "run_id s, ts d, nav 3, asset_value 3", sql("select * from ledger", "ledger"))
+@register("h12_nav", "run_id s, ts d, nav m3, asset_value m3", sql("select * from ledger", "ledger"))
 def h12(spark, sf):
     return base_run(spark, sf).ledger
 
 
-@register("h13_daily_pnl", "run_id s, ts d, pnl 3", sql("select * from ledger", "ledger"))
+@register("h13_daily_pnl", "run_id s, ts d, pnl m3", sql("select * from ledger", "ledger"))
 def h13(spark, sf):
     return base_run(spark, sf).ledger
 
 
 @register(
-    "h14_cost_ledger", "run_id s, ts d, trading_cost 4, roll_cost 4, spent 3",
+    "h14_cost_ledger", "run_id s, ts d, trading_cost 4, roll_cost 4, spent m3",
     sql("select run_id, ts, trading_cost, 0.0 as roll_cost, spent from daycost", "ledger"),
 )
 def h14(spark, sf):
@@ -333,13 +333,13 @@ def h16(spark, sf):
 # Attribution ----------------------------------------------------------------------------------
 
 
-@register("i1_contributions", "run_id s, symbol s, ts d, pnl 4", sql("select * from contrib", "ledger"))
+@register("i1_contributions", "run_id s, symbol s, ts d, pnl 6", sql("select * from contrib", "ledger"))
 def i1(spark, sf):
     return base_run(spark, sf).contributions
 
 
 @register(
-    "i2_sector_contributions", "run_id s, ts d, sector s, pnl 4",
+    "i2_sector_contributions", "run_id s, ts d, sector s, pnl 6",
     sql("select run_id, ts, coalesce(nullif(sector, 'Promo'), 'Unknown') as sector, sum(pnl) as pnl from contrib group by 1, 2, 3", "ledger"),
 )
 def i2(spark, sf):
@@ -348,7 +348,7 @@ def i2(spark, sf):
 
 
 @register(
-    "i3_exposures", "run_id s, symbol s, ts d, exposure 4",
+    "i3_exposures", "run_id s, symbol s, ts d, exposure 6",
     sql("select run_id, symbol, ts, pos * close * pv as exposure from positions", "ledger"),
 )
 def i3(spark, sf):
@@ -356,7 +356,7 @@ def i3(spark, sf):
 
 
 @register(
-    "i4_cost_breakdown", "run_id s, component s, amount 3",
+    "i4_cost_breakdown", "run_id s, component s, amount m3",
     sql("""select run_id, 'ledger_trading' as component, sum(trading_cost) as amount from ledger group by 1
       union all select run_id, 'ledger_roll', sum(roll_cost) from ledger group by 1
       union all select run_id, 'ledger_total', sum(total_cost) from ledger group by 1
@@ -367,7 +367,7 @@ def i4(spark, sf):
 
 
 @register(
-    "i5_top_and_other", "run_id s, place i, symbol s, pnl 3",
+    "i5_top_and_other", "run_id s, place i, symbol s, pnl 6",
     sql("""select run_id, least(r, 4) as place, case when r >= 4 then 'Other' else symbol end as symbol, sum(pnl) as pnl from (
         select *, row_number() over (partition by run_id order by abs(pnl) desc, symbol) as r
         from (select run_id, symbol, sum(pnl) as pnl from contrib group by 1, 2)) group by 1, 2, 3""", "ledger"),
@@ -501,7 +501,7 @@ def i19(spark, sf):
 
 
 @register(
-    "i20_top_exposures", "run_id s, symbol s, ts d, exposure 4",
+    "i20_top_exposures", "run_id s, symbol s, ts d, exposure 6",
     sql("""select run_id, symbol, ts, exposure from expo where symbol in (
       select symbol from expo group by symbol order by avg(abs(exposure)) desc, symbol limit 3)""", "ledger",
       "expo as (select run_id, symbol, ts, pos * close * pv as exposure from positions)"),
@@ -530,7 +530,7 @@ def i22(spark, sf):
 
 
 @register(
-    "i23_cumulative", "run_id s, ts d, cum_trading_cost 3, cum_pnl 3",
+    "i23_cumulative", "run_id s, ts d, cum_trading_cost m3, cum_pnl m3",
     sql("""select run_id, ts, sum(trading_cost) over w as cum_trading_cost, sum(pnl) over w as cum_pnl from ledger
       window w as (partition by run_id order by ts rows unbounded preceding)""", "ledger"),
 )
