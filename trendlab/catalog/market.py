@@ -233,7 +233,8 @@ def b4(spark, sf):
     ),
 )
 def b5(spark, sf):
-    return calendar.complete_panel(panel.gaps(spark, sf, BRAND))
+    px = panel.stored_panel(spark, sf, BRAND).drop("adv")
+    return calendar.complete_panel(px)
 
 
 @register(
@@ -249,9 +250,9 @@ def b5(spark, sf):
     ),
 )
 def b6(spark, sf):
-    bars = panel.stored_bars(spark, sf, BRAND)
-    adv = bars.filter("symbol <> 'Brand#7'").select("symbol", "ts", F.col("volume").alias("adv"))
-    return calendar.align_volume(panel.align_bars(bars), adv, 10_000.0)
+    px = panel.stored_panel(spark, sf, BRAND)
+    adv = px.filter("symbol <> 'Brand#7'").select("symbol", "ts", "adv")
+    return calendar.align_volume(px, adv, 10_000.0)
 
 
 # Data quality ---------------------------------------------------------------------------------
@@ -306,9 +307,9 @@ def c4(spark, sf):
 # Continuous contracts -------------------------------------------------------------------------
 
 
-def _schedule(bars, by):
+def _schedule(px, by):
     """Roll to the next contract every 120 sessions, starting over after the last one."""
-    days = calendar.sessions(bars.sparkSession, *panel.bounds(bars))
+    days = px.select("ts").distinct()
     numbered = days.select("ts", (F.row_number().over(Window.orderBy("ts")) - 1).alias("pos"))
     starts = numbered.filter("pos % 120 = 0").select(F.col("ts").alias("start_ts"), (F.col("pos") / 120).cast("int").alias("k"))
     if by == BRAND:
@@ -322,8 +323,8 @@ def _schedule(bars, by):
     return starts.select(F.lit("R").alias("root"), "start_ts", F.element_at(names, F.col("k") % 6 + 1).alias("contract"))
 
 
-def _contracts(bars):
-    return panel.align_bars(bars).select(F.col("symbol").alias("contract"), "ts", F.col("close").alias("price"))
+def _contracts(px):
+    return px.select(F.col("symbol").alias("contract"), "ts", F.col("close").alias("price"))
 
 
 _STARTS = "starts as (select ts, cast(p / 120 as bigint) as k from (select ts, row_number() over (order by ts) - 1 as p from sess) where p % 120 = 0)"
@@ -359,7 +360,7 @@ def _roll_sql(final: str, by: str = "p_type", *more: str) -> str:
     _roll_sql("select root, k, start_ts, end_ts, contract from seg", BRAND),
 )
 def d1(spark, sf):
-    return continuous.intervals(_schedule(panel.bars(spark, sf, BRAND), BRAND))
+    return continuous.intervals(_schedule(panel.aligned(spark, sf, BRAND), BRAND))
 
 
 @register(
@@ -367,8 +368,8 @@ def d1(spark, sf):
     _roll_sql("select root, k, contract, ts, price from front", BRAND, _FRONT),
 )
 def d2(spark, sf):
-    bars = panel.stored_bars(spark, sf, BRAND)
-    return continuous.front_prices(_contracts(bars), _schedule(bars, BRAND))
+    px = panel.stored_panel(spark, sf, BRAND)
+    return continuous.front_prices(_contracts(px), _schedule(px, BRAND))
 
 
 _SERIES = {
@@ -380,8 +381,8 @@ _SERIES = {
 
 def _series(method, by):
     def plan(spark, sf):
-        bars = panel.stored_bars(spark, sf, by)
-        return continuous.continuous_series(_contracts(bars), _schedule(bars, by), method)
+        px = panel.stored_panel(spark, sf, by)
+        return continuous.continuous_series(_contracts(px), _schedule(px, by), method)
 
     return plan
 
@@ -397,8 +398,8 @@ for _key, _method in (("d3_back_adjusted", "back_adjusted"), ("d4_ratio_adjusted
     ),
 )
 def d6(spark, sf):
-    bars = panel.stored_bars(spark, sf, BRAND)
-    contracts, schedule = _contracts(bars), _schedule(bars, BRAND)
+    px = panel.stored_panel(spark, sf, BRAND)
+    contracts, schedule = _contracts(px), _schedule(px, BRAND)
     out = None
     for method in continuous.METHODS:
         part = continuous.continuous_series(contracts, schedule, method).withColumn("method", F.lit(method))

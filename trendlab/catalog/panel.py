@@ -6,6 +6,8 @@ index that accumulates the day's mean discount in whole basis points, its volume
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,23 +77,30 @@ def bounds(rows: DataFrame) -> tuple:
     return edge.select("a").scalar(), edge.select("b").scalar()
 
 
+def _ship_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekday ship dates: the panel's bounds from a scan of one column."""
+    return table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("ts")).filter(F.weekday("ts") < 5)
+
+
 def stored_bars(spark: SparkSession, sf_dir: str, by: str = "p_type") -> DataFrame:
-    """The bars written once: plans that use them in several places scan the line items only once."""
+    """The bars written once, for plans that use them in several places."""
     return sinks.stored(bars(spark, sf_dir, by), f"bars-{by}")
 
 
 def gaps(spark: SparkSession, sf_dir: str, by: str = "p_type") -> DataFrame:
     """Dense ``(symbol, ts, close)`` with nulls on the sessions without a bar."""
-    rows = stored_bars(spark, sf_dir, by)
-    return calendar.align(rows, *bounds(rows), fill=False)
+    return calendar.align(bars(spark, sf_dir, by), *bounds(_ship_dates(spark, sf_dir)), fill=False)
 
 
-def aligned(spark: SparkSession, sf_dir: str, by: str = "p_type") -> DataFrame:
-    return align_bars(stored_bars(spark, sf_dir, by))
+def aligned(spark: SparkSession, sf_dir: str, by: str = "p_type", carry: Sequence[str] = ()) -> DataFrame:
+    """Dense ``(symbol, ts, close)`` filled forward."""
+    return calendar.align(bars(spark, sf_dir, by), *bounds(_ship_dates(spark, sf_dir)), carry=carry)
 
 
-def align_bars(rows: DataFrame) -> DataFrame:
-    return calendar.align(rows, *bounds(rows))
+def stored_panel(spark: SparkSession, sf_dir: str, by: str = "p_type") -> DataFrame:
+    """The aligned panel with the day's volume as ``adv``, written once."""
+    rows = aligned(spark, sf_dir, by, carry=("volume",))
+    return sinks.stored(rows.withColumnRenamed("volume", "adv"), f"panel-{by}")
 
 
 def universe(spark: SparkSession) -> DataFrame:

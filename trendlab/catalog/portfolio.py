@@ -33,16 +33,13 @@ RUNS = [runs_cte([typed_row(s) for s in scenario_list(CONFIG)])]
 
 
 def market(spark, sf):
-    """Aligned prices, universe and daily volume, the bars written once."""
-    bars = panel.stored_bars(spark, sf)
-    volume = bars.select("symbol", "ts", F.col("volume").cast("double").alias("adv"))
-    return panel.align_bars(bars), panel.universe(spark), volume
+    """Aligned prices with daily volume (column ``adv``), written once, and the universe."""
+    return panel.stored_panel(spark, sf), panel.universe(spark)
 
 
-def base_run(spark, sf, config=CONFIG, roll_dates=None, **overrides):
-    prices, universe, volume = market(spark, sf)
-    scenarios = scenario_list(overlay(config, overrides))
-    return build(spark, config, prices, universe, scenarios, volume, roll_dates)
+def base_run(spark, sf, config=CONFIG, **overrides):
+    prices, universe = market(spark, sf)
+    return build(spark, config, prices, universe, scenario_list(overlay(config, overrides)))
 
 
 def sql(final: str, upto: str, *more: str) -> str:
@@ -584,8 +581,6 @@ _ARTEFACTS = ("nav", "positions", "trades", "orders", "cash", "ledger")
     sql("select unnest(['nav', 'positions', 'trades', 'orders', 'cash', 'ledger']) as artefact, 0 * min(i) as n_missing, 0 * min(i) as n_extra from base", "panel"),
 )
 def j17(spark, sf):
-    prices, universe, volume = market(spark, sf)
-    first, second = (
-        build(spark, CONFIG, prices, universe, scenario_list(CONFIG), volume).tables() for _ in range(2)
-    )
+    prices, universe = market(spark, sf)
+    first, second = (build(spark, CONFIG, prices, universe, scenario_list(CONFIG)).tables() for _ in range(2))
     return replay_differences({a: first[a] for a in _ARTEFACTS}, {a: second[a] for a in _ARTEFACTS})

@@ -25,8 +25,8 @@ def _grid_runs(grid: Mapping[str, Sequence] | None = None, **kwargs) -> list[str
 
 
 def _sweep(spark, sf, grid=GRID, **kwargs):
-    prices, universe, volume = market(spark, sf)
-    return run_parameter_sweep(spark, CONFIG, prices, universe, parameter_grid=grid, adv=volume, **kwargs)
+    prices, universe = market(spark, sf)
+    return run_parameter_sweep(spark, CONFIG, prices, universe, parameter_grid=grid, **kwargs)
 
 
 # Scenario tables ------------------------------------------------------------------------------
@@ -146,8 +146,8 @@ def _curve_sql(values, label: str, runs: list[str]) -> str:
 
 
 def _template(spark, sf) -> Backtest:
-    prices, universe, volume = market(spark, sf)
-    return build(spark, CONFIG, prices, universe, scenarios.scenario_list(CONFIG), volume)
+    prices, universe = market(spark, sf)
+    return build(spark, CONFIG, prices, universe, scenarios.scenario_list(CONFIG))
 
 
 _LIMITS, _LOOKBACKS, _TARGETS = (0.5, 1.0, 2.0), (42, 126, 252), (0.1, 0.15, 0.2)
@@ -208,8 +208,8 @@ _PHASES = """phased as (
 
 
 def _walk(spark, sf):
-    prices, universe, volume = market(spark, sf)
-    return run_walk_forward(spark, CONFIG, prices, universe, insample=INSAMPLE, oos=OOS, adv=volume)
+    prices, universe = market(spark, sf)
+    return run_walk_forward(spark, CONFIG, prices, universe, insample=INSAMPLE, oos=OOS)
 
 
 @register(

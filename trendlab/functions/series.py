@@ -55,6 +55,12 @@ def bfill(value: str | Column, keys: Keys, ts: str = "ts") -> Column:
     return F.last(value, ignorenulls=True).over(frame)
 
 
+def first_known(value: str | Column, keys: Keys, ts: str = "ts") -> Column:
+    """First value of the whole series: what a backward fill puts into its leading gap."""
+    whole = series(keys, ts).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return F.first(value, ignorenulls=True).over(whole)
+
+
 def rolling(
     aggregate: Callable[[str | Column], Column],
     value: str | Column,

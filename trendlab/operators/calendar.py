@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.series import Keys, bfill, ffill
+from ..functions.series import Keys, ffill, first_known, series, upto
 
 
 def _day(value) -> Column:
@@ -34,8 +34,11 @@ def without_holidays(rows: DataFrame, holidays: Iterable | DataFrame | None, ts:
     if isinstance(holidays, DataFrame):
         days = holidays.select(F.to_date(F.col(holidays.columns[0])).alias(ts)).distinct()
         return rows.join(days, ts, "left_anti")
-    days = sorted({str(day)[:10] for day in holidays})
-    return rows.filter(~F.col(ts).isin([F.lit(d).cast("date") for d in days])) if days else rows
+    return rows.filter(~F.col(ts).isin(_listed(holidays)))
+
+
+def _listed(holidays: Iterable) -> list[Column]:
+    return [F.lit(day).cast("date") for day in sorted({str(h)[:10] for h in holidays})]
 
 
 def sessions(spark, start, end, holidays=None) -> DataFrame:
@@ -51,15 +54,53 @@ def align(
     keys: Keys = ("symbol",),
     value: str = "close",
     fill: bool = True,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Dense panel: one row per series and session, gaps filled forward, leading gaps null.
 
-    Rows that fall on no session are dropped.  ``fill=False`` keeps the gaps (for quality checks).
+    Rows that fall on no session count as missing.  ``fill=False`` keeps the gaps (for quality
+    checks); ``carry`` names columns that keep their value on their own date only.
+
+    Each row stands for the days up to the next row of its series, so one ordered pass per series
+    expands it; there is no grid of series and dates to build and join.
     """
     keys = list(keys)
-    grid = explode_sessions(prices.select(*keys).distinct(), start, end, holidays)
-    dense = grid.join(prices.select(*keys, "ts", value), [*keys, "ts"], "left")
-    return dense.withColumn(value, ffill(value, keys)) if fill else dense
+    first_day, last_day = _day(start), _day(end)
+    rows = prices.select(*keys, F.to_date("ts").alias("ts"), value, *carry)
+    on_session = F.col("ts").between(first_day, last_day) & (F.weekday("ts") < 5)
+    if isinstance(holidays, DataFrame):
+        closed = holidays.select(F.to_date(F.col(holidays.columns[0])).alias("ts")).distinct()
+        rows = rows.join(closed.withColumn("_closed", F.lit(True)), "ts", "left")
+        on_session = on_session & F.col("_closed").isNull()
+    elif holidays is not None:
+        on_session = on_session & ~F.col("ts").isin(_listed(holidays))
+    rows = rows.withColumn(value, F.when(on_session, F.col(value)))
+
+    w = series(keys)
+    known = F.last(value, ignorenulls=True).over(upto(keys)) if fill else F.col(value)
+    spans = rows.select(
+        *keys,
+        F.col("ts").alias("_own"),
+        known.alias(value),
+        *carry,
+        F.greatest("ts", first_day).alias("_lo"),
+        F.least(F.coalesce(F.date_sub(F.lead("ts").over(w), 1), last_day), last_day).alias("_hi"),
+        F.lag("ts").over(w).isNull().alias("_head"),
+    )
+    # The first row also stands for the days before it, where nothing is known yet.
+    before = F.least(F.date_sub(F.col("_own"), 1), last_day)
+    no_days = F.array().cast("array<date>")
+    lead_in = F.when(F.col("_head") & (before >= first_day), F.sequence(first_day, before)).otherwise(no_days)
+    stretch = F.when(F.col("_lo") <= F.col("_hi"), F.sequence("_lo", "_hi")).otherwise(no_days)
+    dense = spans.withColumn("ts", F.explode(F.concat(lead_in, stretch))).filter(F.weekday("ts") < 5)
+    holds = F.col("ts") >= F.col("_own") if fill else F.col("ts") == F.col("_own")
+    out = dense.select(
+        *keys,
+        "ts",
+        F.when(holds, F.col(value)).alias(value),
+        *[F.when(F.col("ts") == F.col("_own"), F.col(c)).alias(c) for c in carry],
+    )
+    return without_holidays(out, holidays)
 
 
 def duplicate_dates(prices: DataFrame, keys: Keys = ("symbol",)) -> DataFrame:
@@ -95,15 +136,16 @@ def complete_panel(panel: DataFrame, scope: Keys = (), value: str = "close") ->
 
 def align_volume(
     panel: DataFrame,
-    adv: float | dict | DataFrame | None,
+    adv: float | dict | DataFrame | str | None,
     default,
     keys: Keys = ("symbol",),
 ) -> DataFrame:
-    """Add ``adv``: a scalar, a per-symbol mapping, a daily table ``(symbol, ts, adv)`` or the default.
+    """Add ``adv``: a scalar, a per-symbol mapping, daily values or the default.
 
-    A daily table is filled forward, then backward, then with the default.
+    Daily values are a table ``(symbol, ts, adv)`` or the name of a panel column; they are filled
+    forward, then backward, then with the default.
     """
-    fallback = default if isinstance(default, Column) else F.lit(float(default))
+    fallback = default if isinstance(default, Column) else F.lit(default).cast("double")
     if adv is None:
         return panel.withColumn("adv", fallback)
     if isinstance(adv, (int, float)):
@@ -112,10 +154,13 @@ def align_volume(
         known = [x for s, v in adv.items() for x in (F.lit(s), F.lit(float(v)))]
         looked_up = F.element_at(F.create_map(*known), F.col("symbol")) if known else F.lit(None)
         return panel.withColumn("adv", F.coalesce(looked_up, fallback))
-    daily = adv.select("symbol", "ts", F.col("adv").cast("double").alias("adv"))
-    out = panel.drop("adv").join(daily, ["symbol", "ts"], "left")
-    out = out.withColumn("_fwd", ffill("adv", keys)).withColumn("_bwd", bfill("adv", keys))
-    return out.withColumn("adv", F.coalesce("_fwd", "_bwd", fallback)).drop("_fwd", "_bwd")
+    if isinstance(adv, str):
+        out = panel.withColumn("adv", F.col(adv).cast("double"))
+    else:
+        daily = adv.select("symbol", "ts", F.col("adv").cast("double").alias("adv"))
+        out = panel.drop("adv").join(daily, ["symbol", "ts"], "left")
+    # After the forward fill only the start of a series is open: its next value is its first one.
+    return out.withColumn("adv", F.coalesce(ffill("adv", keys), first_known("adv", keys), fallback))
 
 
 def to_wide(panel: DataFrame, symbols: list[str], value: str = "close") -> DataFrame:

@@ -45,15 +45,13 @@ def _signal_spec(row: Mapping) -> tuple:
 
 def window_panel(spark: SparkSession, prices: DataFrame, windows: Sequence[tuple]) -> DataFrame:
     """The complete panel of each ``(start, end)`` window, keyed by ``window_id``."""
-    table = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(windows)], "window_id int, w_start date, w_end date")
-    rows = prices.select("symbol", "ts", "close")
+    rows = prices.select("symbol", "ts", "close", *[c for c in ("adv",) if c in prices.columns])
+    lo, hi = min(w[0] for w in windows), max(w[1] for w in windows)
+    rows = rows.filter(F.col("ts").between(F.lit(lo), F.lit(hi)))
     if len(windows) == 1:
-        start, end = windows[0]
-        inside = rows.filter(F.col("ts").between(F.lit(start), F.lit(end))).withColumn("window_id", F.lit(0))
-    else:
-        lo, hi = min(w[0] for w in windows), max(w[1] for w in windows)
-        rows = rows.filter(F.col("ts").between(F.lit(lo), F.lit(hi)))
-        inside = rows_in_windows(rows, table, "w_start", "w_end").drop("w_start", "w_end")
+        return calendar.complete_panel(rows).withColumn("window_id", F.lit(0))
+    table = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(windows)], "window_id int, w_start date, w_end date")
+    inside = rows_in_windows(rows, table, "w_start", "w_end").drop("w_start", "w_end")
     return calendar.complete_panel(inside, scope=("window_id",))
 
 
@@ -88,10 +86,16 @@ class Backtest:
             panel = risk.volatility(
                 panel, model, lookback, lam, min_periods, _WINDOW, f"vol_{i}", self.allow_lookahead
             )
-        if isinstance(self.adv, DataFrame):
-            panel = calendar.align_volume(panel, self.adv, F.lit(None).cast("double"), _WINDOW)
+        if self._daily_volume:
+            source = self.adv if isinstance(self.adv, DataFrame) else "adv"
+            panel = calendar.align_volume(panel, source, None, _WINDOW)
         return panel
 
+    @property
+    def _daily_volume(self) -> bool:
+        """Volume that changes by day: a table of its own or the ``adv`` column of the prices."""
+        return isinstance(self.adv, DataFrame) or (self.adv is None and "adv" in self.prices.columns)
+
     @cached_property
     def panel(self) -> DataFrame:
         """``(run_id, symbol, ts)`` with price, signal, volatility, volume and the run's parameters."""
@@ -116,7 +120,6 @@ class Backtest:
 
         dims = self.universe.select("symbol", "sector", "point_value", "contract_step", F.col("pos").alias("symbol_pos"))
         fan = self.features.join(runs, "window_id").join(dims, "symbol", "left")
-        has_volume = isinstance(self.adv, DataFrame)
         out = fan.select(
             "run_id", "symbol", "ts", "close", "sector",
             F.coalesce("point_value", F.lit(1.0)).alias("point_value"),
@@ -126,9 +129,9 @@ class Backtest:
             pick("vol", "vol_pick", len(vol_specs)).alias("vol"),
             F.element_at("sector_caps", F.col("sector")).alias("sector_cap"),
             *[c for c in _PARAMS if c != "sector_caps"],
-            *(["adv"] if has_volume else []),
+            *(["adv"] if self._daily_volume else []),
         )
-        if has_volume:
+        if self._daily_volume:
             return out.withColumn("adv", F.coalesce("adv", "default_adv"))
         return calendar.align_volume(out, self.adv, F.col("default_adv"), _RUN)
 
