@@ -12,6 +12,7 @@ from .plans.backtest import Backtest, replay_differences
 from .plans.scenarios import lookup, scenario_list, scenario_metadata, typed_row
 from .plans.sensitivity import ranked
 from .plans.walkforward import folds, walk_forward_summary
+from .sources.local import small_table
 
 
 def _volume_source(config: Mapping, adv):
@@ -28,7 +29,7 @@ def _roll_table(spark: SparkSession, config: Mapping, roll_dates: DataFrame | No
     pairs = [(symbol, str(day)[:10]) for symbol, days in schedule.items() for day in days]
     if not pairs:
         return None
-    return spark.createDataFrame(pairs, "symbol string, day string").select("symbol", F.to_date("day").alias("ts"))
+    return small_table(spark, pairs, "symbol string, day string").select("symbol", F.to_date("day").alias("ts"))
 
 
 def build(
@@ -143,5 +144,5 @@ def run_walk_forward(
     splits = [{"start": r["is_start"], "end": r["oos_end"]} for r in bounds]
     scenarios = scenario_list(config, base_overrides=parameter_overrides, splits=splits, seeds=seed)
     backtest = build(spark, config, prices, universe, scenarios, adv, roll_dates)
-    known = spark.createDataFrame(bounds, table.schema)
+    known = small_table(spark, bounds, table.schema)
     return WalkForward(backtest, known)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scaling
 from ..operators import risk, signals
+from ..sources.local import small_table
 from . import panel
 from .registry import register
 
@@ -55,7 +56,7 @@ def e1(spark, sf):
     ),
 )
 def e1_by_index(spark, sf):
-    horizons = spark.createDataFrame([(0, 5, 21), (0, 5, 63), (1, 20, 126)], "spec int, skip int, lookback int")
+    horizons = small_table(spark, [(0, 5, 21), (0, 5, 63), (1, 20, 126)], "spec int, skip int, lookback int")
     return signals.momentum_by_index(panel.aligned(spark, sf), horizons)
 
 

@@ -19,14 +19,15 @@ from ..operators import attribution, calendar, execution, risk, signals
 from ..operators.ledger import ledger
 from ..operators.metrics import performance_summary, rolling_metrics
 from ..operators.sizing import size_positions
+from ..sources.local import small_table
 from ..sources.sinks import stored
-from .scenarios import scenario_frame
+from .scenarios import PARAM_TYPES, scenario_frame
 from .walkforward import rows_in_windows
 
 _WINDOW = ("window_id", "symbol")
 _RUN = ("run_id", "symbol")
-_PARAMS = ("starting_nav", "target_vol", "gross_limit", "rebalance_threshold", "risk_allocator", "max_weight",
-           "sector_caps", "default_adv", *execution.COST_COLUMNS)
+_PARAMS = tuple(c for c in PARAM_TYPES if c in ("starting_nav", "target_vol", "gross_limit", "rebalance_threshold", "risk_allocator", "max_weight",
+           "sector_caps", "default_adv", *execution.COST_COLUMNS))
 
 
 def _distinct(values: Sequence) -> list:
@@ -48,9 +49,7 @@ def window_panel(spark: SparkSession, prices: DataFrame, windows: Sequence[tuple
     rows = prices.select("symbol", "ts", "close", *[c for c in ("adv",) if c in prices.columns])
     lo, hi = min(w[0] for w in windows), max(w[1] for w in windows)
     rows = rows.filter(F.col("ts").between(F.lit(lo), F.lit(hi)))
-    if len(windows) == 1:
-        return calendar.complete_panel(rows).withColumn("window_id", F.lit(0))
-    table = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(windows)], "window_id int, w_start date, w_end date")
+    table = small_table(spark, [(i, a, b) for i, (a, b) in enumerate(windows)], "window_id int, w_start date, w_end date")
     inside = rows_in_windows(rows, table, "w_start", "w_end").drop("w_start", "w_end")
     return calendar.complete_panel(inside, scope=("window_id",))
 
@@ -102,15 +101,16 @@ class Backtest:
         sig_specs = _distinct([_signal_spec(r) for r in self.rows])
         vol_specs = _distinct([_vol_spec(r) for r in self.rows])
         windows = _distinct([(r["start"], r["end"]) for r in self.rows])
-        picks = self.spark.createDataFrame(
-            [
-                (r["run_id"], windows.index((r["start"], r["end"])), sig_specs.index(_signal_spec(r)),
-                 vol_specs.index(_vol_spec(r)))
-                for r in self.rows
-            ],
-            "run_id string, window_id int, sig int, vol_pick int",
+        picks = [
+            (r["run_id"], windows.index((r["start"], r["end"])), sig_specs.index(_signal_spec(r)), vol_specs.index(_vol_spec(r)))
+            for r in self.rows
+        ]
+        runs = small_table(
+            self.spark,
+            [(*p, *[r[c] for c in _PARAMS]) for p, r in zip(picks, self.rows, strict=True)],
+            "run_id string, window_id int, sig int, vol_pick int, "
+            + ", ".join(f"{c} {kind}" for c, kind in PARAM_TYPES.items() if c in _PARAMS),
         )
-        runs = picks.join(self.scenarios.select("run_id", *_PARAMS), "run_id")
 
         def pick(prefix: str, index: str, n: int):
             out = F.when(F.col(index) == 0, F.col(f"{prefix}_0"))

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.local import small_table
+
 # column, dotted setting(s) in order of preference, Spark type, default
 FIELDS: tuple[tuple[str, tuple[str, ...], str, object], ...] = (
     ("start", ("backtest.start",), "date", None),
@@ -42,6 +44,8 @@ FIELDS: tuple[tuple[str, tuple[str, ...], str, object], ...] = (
     ("default_adv", ("execution.default_adv_contracts",), "double", 10_000.0),
 )
 
+PARAM_TYPES = {column: kind for column, _, kind, _ in FIELDS}
+
 
 def lookup(config: Mapping, dotted: str, default=None):
     here: object = config
@@ -161,7 +165,7 @@ def scenario_frame(spark: SparkSession, rows: Sequence[Mapping]) -> DataFrame:
     """Typed scenario rows as a table with their fingerprint."""
     schema = "run_id string, fold int, " + ", ".join(f"`{c}` {k}" for c, _, k, _ in FIELDS)
     columns = ["run_id", "fold", *[c for c, *_ in FIELDS]]
-    frame = spark.createDataFrame([tuple(r.get(c) for c in columns) for r in rows], schema)
+    frame = small_table(spark, [tuple(r.get(c) for c in columns) for r in rows], schema)
     return frame.withColumn("config_hash", fingerprint(frame, exclude=("run_id", "fold")))
 
 
@@ -188,7 +192,7 @@ def scenario_metadata(spark: SparkSession, scenarios: Sequence[Mapping], hashes:
          text(overlay(s["base_overrides"], s["grid_overrides"])), s["run_seed"])
         for s in scenarios
     ]
-    meta = spark.createDataFrame(
-        rows, "run_id string, grid_overrides string, base_overrides string, combined_overrides string, seed int"
+    meta = small_table(
+        spark, rows, "run_id string, grid_overrides string, base_overrides string, combined_overrides string, seed int"
     )
     return meta.join(hashes.select("run_id", "config_hash"), "run_id")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.metrics import METRICS
+from ..sources.local import small_table
 from .backtest import Backtest
 from .scenarios import nested, overlay, scenario_list, typed_row
 
@@ -43,9 +44,12 @@ def metric_sensitivity(
         template.spark, template.prices, template.universe, tuple(rows), template.adv, template.roll_dates,
         template.allow_lookahead,
     )
-    names = template.spark.createDataFrame(
-        [(r["run_id"], v if isinstance(v, (int, float)) else str(v)) for r, v in zip(rows, values, strict=True)],
-        ["run_id", label],
+    kind = "bigint" if all(isinstance(v, int) for v in values) else "double"
+    if not all(isinstance(v, (int, float)) for v in values):
+        kind = "string"
+    shown = [str(v) if kind == "string" else v for v in values]
+    names = small_table(
+        template.spark, [(r["run_id"], v) for r, v in zip(rows, shown, strict=True)], f"run_id string, `{label}` {kind}"
     )
     curve = sweep.summary
     if metric == "turnover":  # the curve looks at the NAV alone

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scaling import nan_to_null
+from .local import small_table
 
 logger = logging.getLogger(__name__)
 
@@ -110,13 +111,14 @@ def load_universe_prices(
             shapes.setdefault((price_column(head), head.schema.simpleString()), []).append(item)
         for (column, _), same in shapes.items():
             rows = read_prices(spark, [i["data_symbol"] for i in same], fmt, start, end, column=column)
-            names = spark.createDataFrame(
+            names = small_table(
+                spark,
                 [(i["symbol"], str(i["data_symbol"]).rstrip("/").rsplit("/", 1)[-1], str(i["data_symbol"])) for i in same],
                 "symbol string, file string, location string",
             )
             frames.append(_named(rows, names))
     if not frames:
-        return spark.createDataFrame([], "symbol string, ts date, close double")
+        return small_table(spark, [], "symbol string, ts date, close double")
     return combine_sources(frames)
 
 

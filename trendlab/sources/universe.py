@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .local import small_table
+
 SCHEMA = (
     "symbol string, sector string, point_value double, currency string, contract_step double, "
     "data_source string, data_symbol string, description string, pos int"
@@ -56,7 +58,7 @@ def load_universe(spark: SparkSession, entries: Sequence[Mapping]) -> DataFrame:
             (text["symbol"], text["sector"], float(full["point_value"]), text["currency"], float(full["contract_step"]),
              text["data_source"], text["data_symbol"], text["description"], pos)
         )
-    table = spark.createDataFrame(rows, SCHEMA)
+    table = small_table(spark, rows, SCHEMA)
     problem = violations(table).limit(1).collect()
     if problem:
         raise ValueError(f"universe: {problem[0]['problem']} ({problem[0]['symbol']!r})")
