@@ -113,6 +113,20 @@ def j9(spark, sf):
     return _sweep(spark, sf).ranking()
 
 
+NINE = {
+    "signals.momentum.lookbacks": [[63, 126, 252], [63, 252], [126, 252]],
+    "risk.target_portfolio_vol": [0.12, 0.15, 0.18],
+}
+
+
+@register(
+    "j9_sweep_nine", f"run_id s, rank i, {_METRIC_COLUMNS}",
+    backtest_sql("select *, row_number() over (order by sharpe desc nulls last, run_id) as rank from summary", "summary", _grid_runs(NINE)),
+)
+def j9_nine(spark, sf):
+    return _sweep(spark, sf, NINE).ranking()
+
+
 _MODELS = {"risk.vol_model": ["ewma", "rolling"], "risk.risk_allocator": ["proportional", "erc"], "risk.ewma_lambda": [0.9, 0.97]}
 
 
