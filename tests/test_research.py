@@ -151,11 +151,12 @@ def test_bootstrap_against_numpy(spark):
 
 def test_bootstrap_shapes_and_seeds(spark):
     table = spark.createDataFrame([("r", i, v) for i, v in enumerate([0.01, -0.005, 0.004, 0.012, -0.002])], "run_id string, idx int, ret double")
-    rows = bootstrap.block_samples(table, 2, 50, seed=7)
+    draw = lambda *args: bootstrap.sample_rows(bootstrap.block_samples(table, *args))
+    rows = draw(2, 50, 7)
     assert rows.groupBy("sample").count().filter("count <> 5").count() == 0
-    assert rows.exceptAll(bootstrap.block_samples(table, 2, 50, seed=7)).count() == 0
-    assert rows.exceptAll(bootstrap.block_samples(table, 2, 50, seed=8)).count() > 0
-    whole = bootstrap.block_samples(table, 99, 3)  # one block: every sample is the source
+    assert rows.exceptAll(draw(2, 50, 7)).count() == 0
+    assert rows.exceptAll(draw(2, 50, 8)).count() > 0
+    whole = draw(99, 3)  # one block: every sample is the source
     assert whole.filter("sample = 2").orderBy("pos").select("ret").collect() == table.orderBy("idx").select("ret").collect()
     with pytest.raises(KeyError):
         bootstrap.confidence_intervals(table, ["alpha"])

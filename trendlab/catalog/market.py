@@ -399,9 +399,4 @@ for _key, _method in (("d3_back_adjusted", "back_adjusted"), ("d4_ratio_adjusted
 )
 def d6(spark, sf):
     px = panel.stored_panel(spark, sf, BRAND)
-    contracts, schedule = _contracts(px), _schedule(px, BRAND)
-    out = None
-    for method in continuous.METHODS:
-        part = continuous.continuous_series(contracts, schedule, method).withColumn("method", F.lit(method))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return continuous.continuous_matrix(_contracts(px), _schedule(px, BRAND))

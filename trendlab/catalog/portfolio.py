@@ -172,19 +172,16 @@ _UNCAPPED = [runs_cte([typed_row(s) for s in scenario_list(overlay(CONFIG, {"exe
     backtest_sql("select * from rolled", "orders", _UNCAPPED, _ROLL_DAYS, _ROLL_LEGS),
 )
 def h3(spark, sf):
-    return base_run(spark, sf, execution={"adv_limit_pct": 0.0}).with_rolls(_rolls(spark, sf)).orders
+    return _rolling_run(spark, sf, execution={"adv_limit_pct": 0.0}).orders
 
 
-def _rolls(spark, sf):
-    return sinks.stored(roll_table(spark, sf), "rolls")
-
-
-def roll_table(spark, sf):
-    """``(symbol, ts)``: all instruments on every 60th date of the panel."""
-    days = panel.bars(spark, sf).select("ts").distinct()
+def _rolling_run(spark, sf, **overrides):
+    """The run with every instrument rolling on every 60th date of the panel."""
+    run = base_run(spark, sf, **overrides)
+    days = run.prices.filter("adv is not null").select("ts").distinct()
     due = days.select("ts", F.row_number().over(Window.orderBy("ts")).alias("n")).filter("n % 60 = 0")
     names = F.array(*[F.lit(s) for s, _, _ in panel.INSTRUMENTS])
-    return due.select(F.explode(names).alias("symbol"), "ts")
+    return run.with_rolls(due.select(F.explode(names).alias("symbol"), "ts"))
 
 
 @register(
@@ -197,13 +194,13 @@ def roll_table(spark, sf):
     ),
 )
 def h3_fills(spark, sf):
-    return base_run(spark, sf, execution={"adv_limit_pct": 0.0}).with_rolls(_rolls(spark, sf)).fills
+    return _rolling_run(spark, sf, execution={"adv_limit_pct": 0.0}).fills
 
 
 @register("h5_fills_rolls_capped", "run_id s, ts d, symbol s, order_id i, qty 6, reason s, partial b, cost 6")
 def h5_rolls(spark, sf):
     """Rolls under a binding capacity: path dependent, so there is no SQL (tested against a loop)."""
-    return base_run(spark, sf).with_rolls(_rolls(spark, sf)).fills
+    return _rolling_run(spark, sf).fills
 
 
 @register(

@@ -282,7 +282,7 @@ samples as (select p.run_id, p.sample, p.pos, r.ret from picks p join rets r on
     panel.sql("select run_id, sample, count(*) as n, sum(ret) as total, sum(ret * pos) as weighted from samples group by 1, 2", _SAMPLED),
 )
 def j13(spark, sf):
-    rows = bootstrap.block_samples(_returns(spark, sf), BLOCK, SAMPLES, SEED, _lattice)
+    rows = bootstrap.sample_rows(bootstrap.block_samples(_returns(spark, sf), BLOCK, SAMPLES, SEED, _lattice))
     return rows.groupBy("run_id", "sample").agg(
         F.count("ret").alias("n"), F.sum("ret").alias("total"), F.sum(F.col("ret") * F.col("pos")).alias("weighted")
     )

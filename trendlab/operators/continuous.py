@@ -8,9 +8,13 @@ rows of a root, joined back to the daily rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.series import ratio
+
 METHODS = ("back_adjusted", "ratio_adjusted", "stitched")
 _ALIASES = {"stitch_returns": "stitched"}
 
@@ -85,24 +89,27 @@ def _boundaries(tagged: DataFrame) -> DataFrame:
     )
 
 
-def _adjustments(bounds: DataFrame, method: str) -> DataFrame:
-    """``(root, k, adj)``: the offset or factor of each segment; null once a link is missing."""
+def _adjustments(bounds: DataFrame, methods: Sequence[str]) -> DataFrame:
+    """``(root, k, <method>...)``: offset or factor per segment; null once a link is missing."""
     by_root = Window.partitionBy("root").orderBy("k")
     upto = by_root.rowsBetween(Window.unboundedPreceding, 0)
-    previous_last = F.lag("last_price").over(by_root)
-    if method == "back_adjusted":
-        link = F.lag(F.col("last_price") - F.col("next_price")).over(by_root)
-        neutral, combine = 0.0, F.sum
-    elif method == "ratio_adjusted":
-        link = F.lag(F.col("last_price") / F.nullif(F.col("next_price"), F.lit(0.0))).over(by_root)
-        neutral, combine = 1.0, F.product
-    else:
-        link = previous_last / F.nullif(F.col("first_price"), F.lit(0.0))
-        neutral, combine = 1.0, F.product
-    rows = bounds.withColumn("_first", F.row_number().over(by_root) == 1).withColumn("_link", link)
-    rows = rows.withColumn("_link", F.when(F.col("_first"), neutral).otherwise(F.col("_link")))
-    broken = F.max(F.col("_link").isNull()).over(upto)
-    return rows.withColumn("adj", F.when(~broken, combine("_link").over(upto))).select("root", "k", "adj")
+    last, following, first = F.col("last_price"), F.col("next_price"), F.col("first_price")
+    links = {
+        "back_adjusted": F.lag(last - following).over(by_root),
+        "ratio_adjusted": F.lag(ratio(last, following)).over(by_root),
+        "stitched": ratio(F.lag(last).over(by_root), first),
+    }
+    opening = F.row_number().over(by_root) == 1
+    rows = bounds
+    for name in methods:
+        neutral = 0.0 if name == "back_adjusted" else 1.0
+        rows = rows.withColumn(f"_{name}", F.when(opening, neutral).otherwise(links[name]))
+    adjusted = []
+    for name in methods:
+        combine = F.sum if name == "back_adjusted" else F.product
+        broken = F.max(F.col(f"_{name}").isNull()).over(upto)
+        adjusted.append(F.when(~broken, combine(f"_{name}").over(upto)).alias(name))
+    return rows.select("root", "k", *adjusted)
 
 
 def zero_price_links(contract_prices: DataFrame, schedule: DataFrame, method: str) -> DataFrame:
@@ -114,23 +121,37 @@ def zero_price_links(contract_prices: DataFrame, schedule: DataFrame, method: st
     return numbered.filter("first_price = 0 and _n > 1").drop("_n")
 
 
-def continuous_series(
-    contract_prices: DataFrame,
-    schedule: DataFrame,
-    method: str = "back_adjusted",
-    check: bool = False,
+def continuous_matrix(
+    contract_prices: DataFrame, schedule: DataFrame, methods: Sequence[str] = METHODS, check: bool = False
 ) -> DataFrame:
-    """``(root, ts, price)`` for every root of the schedule at once; null results are dropped."""
-    method = _ALIASES.get(method, method)
-    if method not in METHODS:
-        raise ValueError(f"unknown continuous method: {method}")
+    """``(method, root, ts, price)`` for every root of the schedule at once; null results are dropped.
+
+    All methods share the segments and their boundary prices and differ only in the link.
+    """
+    methods = [_ALIASES.get(m, m) for m in methods]
+    unknown = sorted(set(methods) - set(METHODS))
+    if unknown:
+        raise ValueError(f"unknown continuous methods: {unknown}")
     if check:
         if schedule.isEmpty():
             raise ValueError("roll schedule is empty")
-        if method != "back_adjusted" and not zero_price_links(contract_prices, schedule, method).isEmpty():
-            raise ValueError("zero price at a roll")
+        for method in methods:
+            if method != "back_adjusted" and not zero_price_links(contract_prices, schedule, method).isEmpty():
+                raise ValueError("zero price at a roll")
     tagged = _tagged(contract_prices, schedule)
-    adjustments = _adjustments(_boundaries(tagged), method)
+    adjustments = _adjustments(_boundaries(tagged), methods)
     front = tagged.filter("contract = front").join(adjustments, ["root", "k"])
-    price = F.col("price") + F.col("adj") if method == "back_adjusted" else F.col("price") * F.col("adj")
-    return front.select("root", "ts", price.alias("price")).filter("price is not null")
+    price = F.col("price")
+    variants = [
+        F.struct(F.lit(m).alias("method"), (price + F.col(m) if m == "back_adjusted" else price * F.col(m)).alias("price"))
+        for m in methods
+    ]
+    out = front.select("root", "ts", F.explode(F.array(*variants)).alias("_v"))
+    return out.select("_v.method", "root", "ts", "_v.price").filter("price is not null")
+
+
+def continuous_series(
+    contract_prices: DataFrame, schedule: DataFrame, method: str = "back_adjusted", check: bool = False
+) -> DataFrame:
+    """``(root, ts, price)`` by one method."""
+    return continuous_matrix(contract_prices, schedule, [method], check).drop("method")

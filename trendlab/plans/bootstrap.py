@@ -35,49 +35,70 @@ def block_samples(
     seed: int = 0,
     start_of: Callable[[Column, Column, Column], Column] | None = None,
 ) -> DataFrame:
-    """``(run_id, sample, pos, ret)``: every sample as long as its source, built from random blocks.
+    """``(run_id, sample, path)``: every sample as an array as long as its source, built from random blocks.
 
-    Block starts are a hash of (seed, sample, block), so a lost task recomputes the same draw.
+    A run's returns are one array (as long as its trading days).  Copies of it go out to groups of
+    samples, and each sample cuts its blocks from that copy, so the drawn values are never shuffled.
+    Block starts are a hash of (seed, sample, block): a lost task draws the same sample again.
     ``start_of(sample, block, choices)`` replaces the generator.
     """
     if block_size <= 0:
         raise ValueError("block_size must be positive")
     start_of = start_of or _random_start(seed)
-    size = F.least(F.lit(block_size), F.col("n")).cast("long")
-    plan = returns.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).withColumn("b", size)
-    draws = plan.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1)))).withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / F.col("b")) - 1))
+    source = returns.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("idx", "ret"))).alias("_rows"))
+    source = source.select("run_id", F.col("_rows.ret").alias("_ret"))
+    per_group = 25
+    groups = source.withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit((n_samples - 1) // per_group))))
+    # An explicit number of partitions: the copies are small, the work that follows is not.
+    tasks = int(returns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = groups.repartition(tasks, "run_id", "_group")
+    first = F.col("_group") * per_group
+    last = F.least(first + per_group, F.lit(n_samples)) - 1
+    rows = groups.select("run_id", F.explode(F.sequence(first, last)).alias("sample"), "_ret")
+
+    n = F.size("_ret").cast("long")
+    b = F.least(F.lit(block_size).cast("long"), n)
+    sample = F.col("sample").cast("long")
+    blocks = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.ceil(n / b) - 1),
+        lambda k: F.slice("_ret", start_of(sample, k, n - b + 1).cast("int") + 1, b.cast("int")),
     )
-    start = start_of(F.col("sample").cast("long"), F.col("block"), F.col("n") - F.col("b") + 1)
-    picks = (
-        draws.withColumn("start", start)
-        .withColumn("off", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - 1)))
-        .select(
-            "run_id",
-            "sample",
-            (F.col("block") * F.col("b") + F.col("off")).alias("pos"),
-            (F.col("start") + F.col("off")).cast("int").alias("idx"),
-            "n",
-        )
-        .filter("pos < n")
-    )
-    return picks.join(returns, ["run_id", "idx"]).select("run_id", "sample", "pos", "ret")
+    return rows.select("run_id", "sample", F.slice(F.flatten(blocks), 1, F.size("_ret")).alias("path"))
+
+
+def sample_rows(samples: DataFrame) -> DataFrame:
+    """The samples as rows ``(run_id, sample, pos, ret)``."""
+    return samples.select("run_id", "sample", F.posexplode("path").alias("pos", "ret"))
 
 
 def sample_stats(samples: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
-    """``(run_id, sample, <metric>...)`` in one pass over the samples.
+    """``(run_id, sample, <metric>...)``, each folded over the sample's own array: no shuffle.
 
     The drawdown is the deepest fall of the compounded sample from its running peak, which starts at
     the first compounded value.
     """
-    std = F.stddev_samp("ret")
-    out = {"sharpe": F.coalesce(ratio(F.avg("ret") * TRADING_DAYS**0.5, std), F.lit(0.0))}
+    zero = F.lit(0.0)
+    n = F.size("path")
+    out = {}
+    if "sharpe" in metrics:
+        mean = F.aggregate("path", zero, lambda acc, r: acc + r) / n
+        samples = samples.withColumn("_mean", mean)
+        squares = F.aggregate("path", zero, lambda acc, r: acc + (r - F.col("_mean")) * (r - F.col("_mean")))
+        std = F.sqrt(squares / F.nullif(n - 1, F.lit(0)))
+        out["sharpe"] = F.coalesce(ratio(F.col("_mean") * TRADING_DAYS**0.5, std), zero)
     if "max_drawdown" in metrics:
-        frame = Window.partitionBy(*_SAMPLE).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-        samples = samples.withColumn("nav", F.product(1 + F.col("ret")).over(frame))
-        samples = samples.withColumn("drawdown", ratio(F.col("nav"), F.max("nav").over(frame)) - 1)
-        out["max_drawdown"] = F.min("drawdown")
-    return samples.groupBy(*_SAMPLE).agg(*[out[m].alias(m) for m in metrics])
+        # (value, peak, deepest) after each day; the peak before the first day is below any value
+        start = F.struct(F.lit(1.0).alias("nav"), zero.alias("peak"), zero.alias("fall"))
+
+        def step(acc: Column, r: Column) -> Column:
+            nav = acc["nav"] * (1 + r)
+            peak = F.greatest(acc["peak"], nav)
+            return F.struct(
+                nav.alias("nav"), peak.alias("peak"), F.least(acc["fall"], F.coalesce(ratio(nav, peak) - 1, zero)).alias("fall")
+            )
+
+        out["max_drawdown"] = F.aggregate("path", start, step, lambda acc: acc["fall"])
+    return samples.select(*_SAMPLE, *[out[m].alias(m) for m in metrics])
 
 
 def confidence_intervals(
