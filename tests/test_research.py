@@ -72,6 +72,19 @@ def test_sweep_equals_single_runs(spark, market):
             assert together[scenario["run_id"], r.ts] == pytest.approx(r.nav, abs=1e-6)
 
 
+def test_many_settings_run_in_batches(spark, market, monkeypatch):
+    from trendlab.plans import backtest
+
+    prices, universe, _ = market
+    grid = {"signals.momentum.lookbacks": [[3], [4], [5]]}
+    whole = api.run_parameter_sweep(spark, CONFIG, prices, universe, parameter_grid=grid).backtest.sized.collect()
+    monkeypatch.setattr(backtest, "MAX_SETTINGS", 2)
+    parts = api.run_parameter_sweep(spark, CONFIG, prices, universe, parameter_grid=grid).backtest
+    assert [len(b) for b in backtest._batches(parts.rows)] == [2, 1]
+    key = lambda r: (r.run_id, r.symbol, r.ts, r.target)
+    assert sorted(map(key, parts.sized.collect())) == sorted(map(key, whole))
+
+
 def test_grid_order_and_overrides():
     grid = scenarios.expand_grid({"a.x": [1, 2], "b": [3, 4]})
     assert grid == [{"a": {"x": 1}, "b": 3}, {"a": {"x": 1}, "b": 4}, {"a": {"x": 2}, "b": 3}, {"a": {"x": 2}, "b": 4}]

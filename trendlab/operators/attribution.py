@@ -16,6 +16,8 @@ from ..functions.series import pct_change, rolling, series
 
 KEYS = ("run_id", "symbol")
 
+_MATRIX_CELLS = 20_000_000  # what a task keeps of unfinished cross-product matrices (160 MB)
+
 
 def _point_value() -> Column:
     return F.coalesce("point_value", F.lit(1.0))
@@ -123,15 +125,7 @@ def return_correlation(prices: DataFrame) -> DataFrame:
         .select("run_id", F.col("v.symbol").alias("symbols"), F.col("v.ret").alias("rets"))
     )
 
-    def cross_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, list] = {}
-        for batch in batches:
-            frame = batch.to_pandas()
-            for run, part in frame.groupby("run_id", sort=False):
-                x = np.stack(part["rets"].to_numpy())
-                ones = np.column_stack([np.ones(len(x)), x])
-                entry = sums.setdefault(run, [part["symbols"].iloc[0], 0.0])
-                entry[1] = entry[1] + ones.T @ ones
+    def matrices(sums: dict) -> Iterator[pa.RecordBatch]:
         for run, (symbols, gram) in sums.items():
             width = len(symbols)
             for a in range(width):
@@ -149,6 +143,23 @@ def return_correlation(prices: DataFrame) -> DataFrame:
                     }
                 )
 
+    def cross_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, list] = {}
+        cells = 0
+        for batch in batches:
+            frame = batch.to_pandas()
+            for run, part in frame.groupby("run_id", sort=False):
+                x = np.stack(part["rets"].to_numpy())
+                ones = np.column_stack([np.ones(len(x)), x])
+                if run not in sums:
+                    sums[run] = [part["symbols"].iloc[0], 0.0]
+                    cells += ones.shape[1] ** 2
+                sums[run][1] = sums[run][1] + ones.T @ ones
+            if cells > _MATRIX_CELLS:  # sums are additive: hand over and start again
+                yield from matrices(sums)
+                sums, cells = {}, 0
+        yield from matrices(sums)
+
     fields = ", ".join(f"{c} double" for c in ("n", "sa", "sb", "saa", "sbb", "sab"))
     partial = vectors.mapInArrow(cross_products, f"run_id string, symbol_a string, symbol_b string, {fields}")
     s = partial.groupBy("run_id", "symbol_a", "symbol_b").agg(

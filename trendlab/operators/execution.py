@@ -287,11 +287,16 @@ def _leg(leg: int, qty: Column, reason: str, target: Column | None) -> Column:
     )
 
 
+def with_order_ids(fills: DataFrame, numbered: DataFrame) -> DataFrame:
+    """Give every fill the ``order_id`` of its order."""
+    ids = numbered.select(*KEYS, "submitted", "leg", "order_id")
+    return fills.join(ids, [*KEYS, "submitted", "leg"])
+
+
 def trade_log(orders: DataFrame, fills: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Number the orders and give every fill its ``order_id``."""
+    """Number the orders and the fills."""
     numbered = number_orders(orders)
-    ids = numbered.select(*KEYS, "submitted", "leg", "order_id")
-    return numbered, fills.join(ids, [*KEYS, "submitted", "leg"])
+    return numbered, with_order_ids(fills, numbered)
 
 
 def positions_from_fills(book: DataFrame, fills: DataFrame) -> DataFrame:

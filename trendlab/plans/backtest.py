@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,10 +24,14 @@ from ..sources.sinks import stored
 from .scenarios import PARAM_TYPES, scenario_frame
 from .walkforward import rows_in_windows
 
+MAX_SETTINGS = 64  # distinct signal (or volatility) settings that share one panel
+
 _WINDOW = ("window_id", "symbol")
 _RUN = ("run_id", "symbol")
-_PARAMS = tuple(c for c in PARAM_TYPES if c in ("starting_nav", "target_vol", "gross_limit", "rebalance_threshold", "risk_allocator", "max_weight",
-           "sector_caps", "default_adv", *execution.COST_COLUMNS))
+_PARAMS = (
+    "starting_nav", "target_vol", "gross_limit", "rebalance_threshold", "risk_allocator", "max_weight", "sector_caps",
+    "default_adv", *execution.COST_COLUMNS,
+)
 
 
 def _distinct(values: Sequence) -> list:
@@ -44,6 +48,21 @@ def _signal_spec(row: Mapping) -> tuple:
     return (tuple(row["lookbacks"]), row["skip_last_n"])
 
 
+def _batches(rows: Sequence[Mapping]) -> list[tuple]:
+    """Split runs so that no panel carries more than ``MAX_SETTINGS`` signal or volatility columns."""
+    batches: list[tuple] = []
+    current: list[Mapping] = []
+    seen: tuple[set, set] = (set(), set())
+    for row in rows:
+        grown = (seen[0] | {_signal_spec(row)}, seen[1] | {_vol_spec(row)})
+        if current and max(map(len, grown)) > MAX_SETTINGS:
+            batches.append(tuple(current))
+            current, grown = [], ({_signal_spec(row)}, {_vol_spec(row)})
+        current.append(row)
+        seen = grown
+    return [*batches, tuple(current)]
+
+
 def window_panel(spark: SparkSession, prices: DataFrame, windows: Sequence[tuple]) -> DataFrame:
     """The complete panel of each ``(start, end)`` window, keyed by ``window_id``."""
     rows = prices.select("symbol", "ts", "close", *[c for c in ("adv",) if c in prices.columns])
@@ -109,7 +128,7 @@ class Backtest:
             self.spark,
             [(*p, *[r[c] for c in _PARAMS]) for p, r in zip(picks, self.rows, strict=True)],
             "run_id string, window_id int, sig int, vol_pick int, "
-            + ", ".join(f"{c} {kind}" for c, kind in PARAM_TYPES.items() if c in _PARAMS),
+            + ", ".join(f"{c} {PARAM_TYPES[c]}" for c in _PARAMS),
         )
 
         def pick(prefix: str, index: str, n: int):
@@ -138,6 +157,10 @@ class Backtest:
     @cached_property
     def sized(self) -> DataFrame:
         """The panel with the ``target`` contracts of each session."""
+        batches = _batches(self.rows)
+        if len(batches) > 1:
+            parts = [replace(self, rows=batch).sized for batch in batches]
+            return reduce(DataFrame.unionByName, parts)
         banded = any((r["rebalance_threshold"] or 0) > 0 for r in self.rows)
         sized = size_positions(
             self.panel,
@@ -163,22 +186,27 @@ class Backtest:
         return replace(self, roll_dates=roll_dates)
 
     @cached_property
-    def _execution(self) -> tuple[DataFrame, DataFrame]:
-        return execution.trade_log(*execution.execute(self.book, self.roll_dates))
-
-    @property
-    def orders(self) -> DataFrame:
-        return self._execution[0].select("run_id", "order_id", "submitted", "symbol", "qty", "reason", "target")
+    def _executed(self) -> tuple[DataFrame, DataFrame]:
+        return execution.execute(self.book, self.roll_dates)
 
     @cached_property
     def raw_fills(self) -> DataFrame:
         """Fills before numbering, written once: all that positions, costs and NAV need."""
-        return stored(execution.execute(self.book, self.roll_dates)[1], "fills")
+        return stored(self._executed[1], "fills")
+
+    @cached_property
+    def numbered_orders(self) -> DataFrame:
+        return execution.number_orders(self._executed[0])
+
+    @property
+    def orders(self) -> DataFrame:
+        return self.numbered_orders.select("run_id", "order_id", "submitted", "symbol", "qty", "reason", "target")
 
     @cached_property
     def fills(self) -> DataFrame:
         navs = self.scenarios.select("run_id", "starting_nav")
-        cash = execution.cash_after_fills(self._execution[1].join(navs, "run_id"), F.col("starting_nav"))
+        numbered = execution.with_order_ids(self.raw_fills, self.numbered_orders).join(navs, "run_id")
+        cash = execution.cash_after_fills(numbered, F.col("starting_nav"))
         return cash.select(
             "run_id", "ts", "symbol", "qty", "price", "notional", "slippage", "commission", "cost", "reason",
             "order_id", "partial", "cash_after",

@@ -11,8 +11,6 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Plans here are long; recording the Python call site of every expression slows building them.
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 def write_table(table: DataFrame, path: str, formats: tuple[str, ...] = ("parquet", "csv"), by: str | None = "run_id") -> None:
     """Write ``path/<format>`` for each format, one directory per run.
 
-    Rows are not moved to one task per run; a run may be written by several tasks.
+    Rebalancing brings the rows of a run together, so a run has few files, and splits a run that is
+    larger than a task should hold.
     """
+    partitioned = bool(by) and by in table.columns
+    rows = table.hint("rebalance", by) if partitioned else table
     for fmt in formats:
-        writer = table.write.mode("overwrite")
-        if by and by in table.columns:
+        writer = rows.write.mode("overwrite")
+        if partitioned:
             writer = writer.partitionBy(by)
         if fmt == "csv":
             writer.csv(f"{path}/csv", header=True)
