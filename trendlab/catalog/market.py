@@ -76,7 +76,7 @@ def a4(spark, sf):
       union all select symbol, ts, close * 2 from bars where symbol >= 'M'"""),
 )
 def a5(spark, sf):
-    bars = panel.bars(spark, sf).select("symbol", "ts", "close")
+    bars = panel.stored_bars(spark, sf).select("symbol", "ts", "close")
     first = bars.filter("symbol < 'M' and ts >= date'1996-01-01'")
     return price_files.combine_sources([first, bars.withColumn("close", F.col("close") * 2)])
 

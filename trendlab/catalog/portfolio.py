@@ -374,9 +374,10 @@ def i5(spark, sf):
 _NAV_ROWS = """navs as (select symbol as run_id, ts, close as nav from px where close is not null)"""
 
 
-def _index_navs(spark, sf, by="p_type"):
+def _index_navs(spark, sf, by="p_type", stored=False):
     """Instrument indices as NAV series: one run per symbol."""
-    rows = panel.aligned(spark, sf, by).filter("close is not null")
+    source = panel.stored_panel if stored else panel.aligned
+    rows = source(spark, sf, by).filter("close is not null")
     return rows.select(F.col("symbol").alias("run_id"), "ts", F.col("close").alias("nav"))
 
 
@@ -475,7 +476,7 @@ def i17(spark, sf):
     ),
 )
 def i18(spark, sf):
-    return attribution.return_correlation(panel.aligned(spark, sf, "p_brand").withColumn("run_id", F.lit("all")))
+    return attribution.return_correlation(panel.stored_panel(spark, sf, "p_brand").withColumn("run_id", F.lit("all")))
 
 
 @register(
@@ -491,7 +492,7 @@ def i18(spark, sf):
     ),
 )
 def i19(spark, sf):
-    return metrics.histogram(_index_navs(spark, sf))
+    return metrics.histogram(_index_navs(spark, sf, stored=True))
 
 
 @register(

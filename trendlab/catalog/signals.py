@@ -57,7 +57,7 @@ def e1(spark, sf):
 )
 def e1_by_index(spark, sf):
     horizons = small_table(spark, [(0, 5, 21), (0, 5, 63), (1, 20, 126)], "spec int, skip int, lookback int")
-    return signals.momentum_by_index(panel.aligned(spark, sf), horizons)
+    return signals.momentum_by_index(panel.stored_panel(spark, sf), horizons)
 
 
 @register("e2_sma_spread", "symbol s, ts d, signal 8", panel.sql(_SPREAD))
@@ -137,7 +137,7 @@ def e9(spark, sf):
     panel.sql(f"select symbol, ts, avg(signal) as signal from ({_MOMENTUM} union all {_SPREAD} union all {_BREAKOUT}) group by 1, 2"),
 )
 def e10(spark, sf):
-    px = panel.aligned(spark, sf)
+    px = panel.stored_panel(spark, sf)
     return signals.blend([signals.momentum(px), signals.sma_spread(px), signals.channel_breakout(px)])
 
 
@@ -255,7 +255,7 @@ def f6(spark, sf):
     ),
 )
 def f7(spark, sf):
-    px = panel.aligned(spark, sf)
+    px = panel.stored_panel(spark, sf)
     ewma = risk.volatility(px).withColumn("model", F.lit("ewma"))
     rolled = risk.volatility(px, "rolling", lookback=40).withColumn("model", F.lit("rolling"))
     return ewma.unionByName(rolled)

@@ -77,7 +77,7 @@ def j2(spark, sf):
 
 def _scenario_table(spark, sf):
     """Folds, then grid, then seeds: the order in which a sweep numbers its runs."""
-    folds = walkforward.folds(panel.aligned(spark, sf), 504, 126, 63, anchored=True)
+    folds = walkforward.folds(panel.stored_panel(spark, sf), 504, 126, 63, anchored=True)
     grid = scenarios.expand_grid_frame(folds, {"lookback": [63, 126, 252], "target_vol": [0.12, 0.18], "seed": [7, 11]})
     return grid.withColumn("scenario", (F.col("fold") - 1) * 12 + F.col("grid_pos") + 1)
 
@@ -200,7 +200,7 @@ def j12(spark, sf):
               folds_cte(252, 63, 40, False, "r")),
 )
 def j5(spark, sf):
-    px = panel.aligned(spark, sf)
+    px = panel.stored_panel(spark, sf)
     anchored = walkforward.folds(px, 504, 126).withColumn("kind", F.lit("anchored"))
     return anchored.unionByName(walkforward.folds(px, 252, 63, 40, anchored=False).withColumn("kind", F.lit("rolling")))
 
@@ -210,7 +210,7 @@ def j5(spark, sf):
     panel.sql("select fold, symbol, ts, close from px join folds on ts between is_start and oos_end", folds_cte(504, 126, 126, False)),
 )
 def j6(spark, sf):
-    px = panel.aligned(spark, sf)
+    px = panel.stored_panel(spark, sf)
     return walkforward.split_by_fold(px, walkforward.folds(px, 504, 126, anchored=False))
 
 
