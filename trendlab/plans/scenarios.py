@@ -8,6 +8,8 @@ down, so it lives on the driver; everything computed from it does not.
 from __future__ import annotations
 
 import copy
+import datetime
+import json
 from collections.abc import Iterable, Mapping, Sequence
 from itertools import product
 
@@ -138,8 +140,6 @@ def _typed(kind: str, value):
 
 
 def _date(value):
-    import datetime
-
     return datetime.date.fromisoformat(str(value)[:10])
 
 
@@ -184,8 +184,6 @@ def fingerprint(rows: DataFrame, exclude: Sequence[str] = ("run_id",)) -> Column
 
 def scenario_metadata(spark: SparkSession, scenarios: Sequence[Mapping], hashes: DataFrame) -> DataFrame:
     """Overrides (JSON), seed and fingerprint per run."""
-    import json
-
     text = lambda part: json.dumps(part, sort_keys=True, default=str)
     rows = [
         (s["run_id"], text(s["grid_overrides"]), text(s["base_overrides"]),

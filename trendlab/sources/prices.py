@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,18 +58,16 @@ def read_prices(
     if fmt not in FORMATS:
         raise ValueError(f"unsupported price format: {fmt}")
     paths = [paths] if isinstance(paths, str) else list(paths)
-    if fmt == "csv":
-        frame = spark.read.csv(paths, header=True, inferSchema=True)
-    else:
-        frame = spark.read.parquet(*paths)
+    frame = _open(spark, paths, fmt)
     if "date" not in frame.columns:
         raise ValueError(f"price files need a 'date' column, found {frame.columns}")
-    value = column or price_column(frame)
+    value = column or _resolve_column(spark, paths, fmt, frame)
+    day = F.to_date("date") if fmt == "csv" else F.col("date")  # the bare column reaches the Parquet scan
     if start is not None:
-        frame = frame.filter(F.col("date") >= F.lit(str(start)[:10]).cast("date"))
+        frame = frame.filter(day >= F.lit(str(start)[:10]).cast("date"))
     if end is not None:
         # the bound is a day: times inside the last day still count
-        frame = frame.filter(F.col("date") < F.date_add(F.lit(str(end)[:10]).cast("date"), 1))
+        frame = frame.filter(day < F.date_add(F.lit(str(end)[:10]).cast("date"), 1))
     name = F.col(symbol_column).alias("symbol") if symbol_column else F.input_file_name().alias("path")
     return frame.select(name, F.to_date("date").alias("ts"), nan_to_null(F.col(value)).alias("close"))
 
@@ -107,8 +106,10 @@ def load_universe_prices(
         # Files may differ in their price column, so those that agree share a scan.
         shapes: dict[tuple, list[Mapping]] = {}
         for item in items:
-            head = _open(spark, item["data_symbol"], fmt)
-            shapes.setdefault((price_column(head), head.schema.simpleString()), []).append(item)
+            paths = [item["data_symbol"]]
+            head = _open(spark, paths, fmt)
+            shape = (_resolve_column(spark, paths, fmt, head), head.schema.simpleString())
+            shapes.setdefault(shape, []).append(item)
         for (column, _), same in shapes.items():
             rows = read_prices(spark, [i["data_symbol"] for i in same], fmt, start, end, column=column)
             names = small_table(
@@ -122,13 +123,21 @@ def load_universe_prices(
     return combine_sources(frames)
 
 
-def _open(spark: SparkSession, path: str, fmt: str) -> DataFrame:
-    from pyspark.errors import AnalysisException
-
+def _open(spark: SparkSession, paths: Sequence[str], fmt: str, infer: bool = False) -> DataFrame:
+    """The files as a table; CSV columns stay text unless ``infer``, so only the header is read here."""
     try:
-        return spark.read.csv(path, header=True, inferSchema=True) if fmt == "csv" else spark.read.parquet(path)
+        if fmt == "csv":
+            return spark.read.csv(list(paths), header=True, inferSchema=infer)
+        return spark.read.parquet(*paths)
     except AnalysisException as exc:
-        raise FileNotFoundError(f"price file {path!r} not found") from exc
+        raise FileNotFoundError(f"price files {list(paths)} not found") from exc
+
+
+def _resolve_column(spark: SparkSession, paths: Sequence[str], fmt: str, frame: DataFrame) -> str:
+    """The price column by name; only a CSV file without a known name is read for its types."""
+    if fmt == "csv" and not {c.lower() for c in frame.columns} & set(PRICE_COLUMNS):
+        frame = _open(spark, paths, fmt, infer=True)
+    return price_column(frame)
 
 
 def _named(rows: DataFrame, names: DataFrame) -> DataFrame:
