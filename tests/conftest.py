@@ -1,5 +1,6 @@
 import datetime as dt
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -11,7 +12,8 @@ from trendlab.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(cpus=8, memory="8g", app="trendlab-tests")
+    shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    session = local_session(cpus=8, memory="8g", app="trendlab-tests", checkpoint_dir=shared)
     session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
     session.stop()

@@ -21,7 +21,9 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cpus: int = 8, memory: str = "12g", app: str = "trendlab") -> SparkSession:
+def local_session(
+    cpus: int = 8, memory: str = "12g", app: str = "trendlab", checkpoint_dir: str | None = None
+) -> SparkSession:
     """A session on this machine, for tests and benchmarks."""
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -31,6 +33,8 @@ def local_session(cpus: int = 8, memory: str = "12g", app: str = "trendlab") ->
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
