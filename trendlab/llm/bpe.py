@@ -7,18 +7,21 @@ import heapq
 import json
 import re
 import unicodedata
-from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import SparkContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trendlab.llm.common import slices
+
 #: Words whose tokens a task remembers; beyond it the memory starts anew.
-REMEMBERED_WORDS = 1 << 19
+REMEMBERED_WORDS = 1 << 18
+#: Bytes of text whose new words are merged together.
+PARTITION_BYTES = 1 << 24
 
 
 def byte_symbols() -> list[str]:
@@ -41,24 +44,26 @@ class Tokenizer:
         end = model["end_of_word_suffix"]
         #: by rank: left, right and merged symbol
         self.merges = [(self.ids[a], self.ids[b], self.ids[a + b]) for a, b in (m.split(" ") if isinstance(m, str) else m for m in model["merges"])]
-        self.rank = {(a, b): r for r, (a, b, _) in enumerate(self.merges)}
+        pairs = np.array([a << 32 | b for a, b, _ in self.merges])
+        self.pair_rank = np.argsort(pairs)
+        self.pairs = pairs[self.pair_rank]
         born = {}
         for r, (a, b, made) in enumerate(self.merges):
             if born.get(a, -1) >= r or born.get(b, -1) >= r:
                 raise ValueError(f"merge {r} uses a symbol that a later merge makes")
             born.setdefault(made, r)
         symbols = byte_symbols()
-        self.inner, self.last = [self.ids[c] for c in symbols], [self.ids[c + end] for c in symbols]
+        self.inner, self.last = (np.array([self.ids[c + e] for c in symbols]) for e in ("", end))
         self.pattern = regex.compile(steps[0]["pattern"]["Regex"])
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def pieces(self, text: str) -> Iterable[str]:
-        """The words of a text, in order; a special token is a piece of its own, marked by a leading zero byte."""
+        """The words of a text, in order; a special token is a piece of its own, marked by a leading space."""
         if self.cut is None or not self.cut.search(text):
             return self.pattern.findall(self.normal(text))
         out: list[str] = []
         for k, part in enumerate(self.cut.split(text)):
-            out += ["\0" + part] if k % 2 else self.pattern.findall(self.normal(part))
+            out += [" " + part] if k % 2 else self.pattern.findall(self.normal(part))
         return out
 
     @staticmethod
@@ -66,61 +71,85 @@ class Tokenizer:
         # character by character: a capital sigma has one lower-case form wherever it stands
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
-    def merge(self, words: list[str]) -> list[list[int]]:
-        """The tokens of each word: all words of a partition are merged together, rank by rank.
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of symbols, or -1."""
+        pairs = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == pairs, self.pair_rank[at], -1)
+
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all words on end, and how many each has: the words of a partition are merged together.
 
-        ``where`` maps the rank of each pair to all its positions. The lowest active rank is applied to all of them,
-        from left to right, and the pairs on both sides of a merged one enter the lists of their ranks. A merge
-        only makes pairs of higher rank (checked when the file is read), so each rank is visited once.
+        ``where`` maps the rank of each pair to all its positions. The lowest active rank is applied to all of them
+        at once, and the pairs on both sides of a merged one enter the lists of their ranks. A merge only makes pairs
+        of higher rank (checked when the file is read), so each rank is visited once.
         """
-        symbol: list[int] = []
-        ends: list[int] = []
-        for word in words:
-            data = word.encode("utf-8", "surrogatepass")
-            symbol += map(self.inner.__getitem__, data[:-1])
-            symbol.append(self.last[data[-1]])
-            ends.append(len(symbol))
-        after, before = list(range(1, len(symbol) + 1)), list(range(-1, len(symbol) - 1))
-        start = 0
-        for end in ends:
-            before[start], after[end - 1] = -1, -1
-            start = end
-        rank, where = self.rank, defaultdict(list)
-        for at, (pair, to) in enumerate(zip(zip(symbol, symbol[1:], strict=False), after, strict=False)):
-            if to >= 0 and (r := rank.get(pair)) is not None:
-                where[r].append(at)
-        active = list(where)
-        heapq.heapify(active)
-        while active:
-            r = heapq.heappop(active)
+        data = [word.encode("utf-8", "surrogatepass") for word in words]
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        ends = np.cumsum(sizes)
+        flat = np.frombuffer(b"".join(data), np.uint8)
+        symbol = self.inner[flat]
+        symbol[ends - 1] = self.last[flat[ends - 1]]
+        after, before = np.arange(1, len(flat) + 1), np.arange(-1, len(flat) - 1)
+        after[ends - 1], before[ends - sizes] = -1, -1
+
+        first = np.flatnonzero(after >= 0)
+        found = self.ranks(symbol[first], symbol[first + 1])
+        first, found = first[found >= 0], found[found >= 0]
+        order = np.argsort(found, kind="stable")
+        first, (active, cuts) = first[order], np.unique(found[order], return_index=True)
+        where: dict[int, list] = {r: [at] for r, at in zip(active.tolist(), np.split(first, cuts[1:]), strict=True)} if len(first) else {}
+        heap = list(where)
+        while heap:
+            r = heapq.heappop(heap)
             left, right, made = self.merges[r]
-            for at in sorted(where.pop(r)):
-                to = after[at]
-                if symbol[at] != left or to < 0 or symbol[to] != right:
-                    continue
-                symbol[at], symbol[to] = made, -1
-                following = after[at] = after[to]
-                if following >= 0:
-                    before[following] = at
-                    if (n := rank.get((made, symbol[following]))) is not None:
-                        if n not in where:
-                            heapq.heappush(active, n)
-                        where[n].append(at)
-                if (previous := before[at]) >= 0 and (n := rank.get((symbol[previous], made))) is not None:
-                    if n not in where:
-                        heapq.heappush(active, n)
-                    where[n].append(previous)
-        out, start = [], 0
-        for end in ends:
-            out.append([s for s in symbol[start:end] if s >= 0])
-            start = end
-        return out
+            lists = where.pop(r)
+            at = lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
+            to = after[at]
+            held = (symbol[at] == left) & (to >= 0) & (symbol[to] == right)
+            at, to = at[held], to[held]
+            if left == right:  # of overlapping pairs the left one counts
+                alone, used = np.ones(len(at), bool), -1
+                for k, (i, j) in enumerate(zip(at.tolist(), to.tolist(), strict=True)):
+                    alone[k] = i != used
+                    used = j if alone[k] else used
+                at, to = at[alone], to[alone]
+            if not len(at):
+                continue
+            following, previous = after[to], before[at]
+            symbol[at], symbol[to], after[at] = made, -1, following
+            inside = following >= 0
+            before[following[inside]] = at[inside]
+            lefts, rights = np.concatenate((at[inside], previous[previous >= 0])), np.concatenate((following[inside], at[previous >= 0]))
+            new = self.ranks(symbol[lefts], symbol[rights])
+            lefts, new = lefts[new >= 0], new[new >= 0]
+            if len(new) > 1:
+                order = np.argsort(new, kind="stable")
+                lefts, (kinds, cuts) = lefts[order], np.unique(new[order], return_index=True)
+                groups = zip(kinds.tolist(), np.split(lefts, cuts[1:]), strict=True)
+            else:
+                groups = zip(new.tolist(), [lefts], strict=False)
+            for n, positions in groups:
+                if n not in where:
+                    heapq.heappush(heap, n)
+                    where[n] = []
+                where[n].append(positions)
+        left_over = symbol >= 0
+        return symbol[left_over].astype(np.uint32), np.add.reduceat(left_over, ends - sizes, dtype=np.int64) if len(data) else sizes
 
     def decode(self, ids: Iterable[int]) -> str:
         """The token strings joined by spaces, as the file names no decoder."""
         return " ".join(map(self.names.__getitem__, ids))
 
 
+class _Index(dict):
+    """Numbers words in the order in which they are met."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Memory:
     """Tokens of the words that a task has met."""
 
@@ -129,17 +158,19 @@ class Memory:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Index()
         self.flat = np.zeros(0, np.uint32)
         self.starts = np.zeros(1, np.int64)
 
     def learn(self) -> None:
         """Merge the words that have entered the index since the last call."""
-        new = list(self.index)[len(self.starts) - 1 :]
-        merged = iter(self.tokenizer.merge([w for w in new if w[0] != "\0"]))
-        tokens = [[self.tokenizer.special[w[1:]]] if w[0] == "\0" else next(merged) for w in new]
-        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        self.flat = np.concatenate((self.flat, np.fromiter((t for ts in tokens for t in ts), np.uint32, int(sizes.sum()))))
+        known = len(self.starts) - 1
+        new = list(islice(self.index, known, None))
+        flat, sizes = self.tokenizer.merge([w for w in new if w[0] != " "])
+        for k, word in enumerate(new):
+            if word[0] == " ":  # a special token is one token
+                flat, sizes = np.insert(flat, sizes[:k].sum(), self.tokenizer.special[word[1:]]), np.insert(sizes, k, 1)
+        self.flat = np.concatenate((self.flat, flat))
         self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(sizes)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -147,7 +178,7 @@ class Memory:
         if len(self.index) > REMEMBERED_WORDS:
             self.clear()
         index = self.index
-        coded = [np.fromiter((index.setdefault(p, len(index)) for p in self.tokenizer.pieces(t)), np.int64) for t in texts]
+        coded = [np.fromiter(map(index.__getitem__, self.tokenizer.pieces(t)), np.int32) for t in texts]
         self.learn()
         out = []
         for words in coded:
@@ -163,48 +194,63 @@ def read_config(path: str) -> str:
         return file.read()
 
 
-def _tokenizers(config: str) -> tuple:
-    shared = SparkContext.getOrCreate().broadcast(config)
-    made: dict[str, Tokenizer] = {}
+def _tokenizer(rows: DataFrame, config: str) -> Callable[[], Tokenizer]:
+    """A function that builds the tokenizer once in each task that calls it."""
+    shared = rows.sparkSession.sparkContext.broadcast(config)
+    made: list[Tokenizer] = []
 
     def get() -> Tokenizer:
-        if "it" not in made:
-            made["it"] = Tokenizer(shared.value)
-        return made["it"]
+        if not made:
+            made.append(Tokenizer(shared.value))
+        return made[0]
+
+    return get
+
+
+_ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+_DECODED = pa.schema([*_ENCODED, ("decoded", pa.string())])
+_DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+
 
-    return (get,)
+def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: Tokenizer) -> Iterator[pa.RecordBatch]:
+    memory = Memory(tokenizer)
+    for batch in slices(batches, PARTITION_BYTES):
+        ids = memory.encode([t or "" for t in batch.column(1).to_pylist()])
+        offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
+        flat = np.concatenate([np.zeros(0, np.uint32), *ids]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], schema=_ENCODED)
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], tokenizer: Tokenizer) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        texts = [tokenizer.decode(ids.as_py() or ()) for ids in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(_ENCODED.field(1).type), pa.array(texts, pa.string())], schema=_DECODED)
+
+
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = batch.column(1)
+        flat, offsets = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
+        first = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        second = [hashlib.sha256(t.as_py().encode("utf-8", "surrogatepass")).hexdigest() for t in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets).astype(np.int64)), pa.array(first), pa.array(second)], schema=_DIGESTS)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def encode(docs: DataFrame, config: str) -> DataFrame:
     """doc_id and ids (array of int) of every row; null text is empty. Repeated rows come back each, an empty table
     gives no rows, other columns are not read."""
-    (get,) = _tokenizers(config)
-    out = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Memory(get())
-        for batch in batches:
-            ids = memory.encode([t or "" for t in batch.column(1).to_pylist()])
-            offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
-            flat = np.concatenate([np.zeros(0, np.uint32), *ids]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], schema=out)
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>")
+    get = _tokenizer(docs, config)
+    return _texts(docs).mapInArrow(lambda batches: _encoded(batches, get()), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, config: str) -> DataFrame:
     """The rows of ``encoded`` (doc_id, ids) with their decoded text; null ids are empty."""
-    (get,) = _tokenizers(config)
-    out = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = get()
-        for batch in batches:
-            texts = [tokenizer.decode(ids.as_py() or ()) for ids in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(out.field(1).type), pa.array(texts, pa.string())], schema=out)
-
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    get = _tokenizer(encoded, config)
+    return encoded.select("doc_id", "ids").mapInArrow(lambda batches: _decoded(batches, get()), "doc_id long, ids array<int>, decoded string")
 
 
 def ids_digest(ids: Iterable[int]) -> str:
@@ -213,16 +259,9 @@ def ids_digest(ids: Iterable[int]) -> str:
 
 
 def digests(docs: DataFrame, config: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
-    out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(1)
-            flat, offsets = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
-            first = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            second = [hashlib.sha256(t.as_py().encode("utf-8", "surrogatepass")).hexdigest() for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets).astype(np.int64)), pa.array(first), pa.array(second)], schema=out)
-
-    rows = decode(encode(docs, config), config)
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: encoding, decoding and digests in one pass."""
+    get = _tokenizer(docs, config)
+    return _texts(docs).mapInArrow(
+        lambda batches: _digested(_decoded(_encoded(batches, get()), get())),
+        "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string",
+    )

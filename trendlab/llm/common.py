@@ -39,11 +39,23 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, offsets
 
 
+#: Bytes of a batch that are worked on at a time inside a task.
+SLICE_BYTES = 1 << 22
+
+
+def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows of about ``limit`` bytes, so that memory does not follow the length of texts."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * limit // max(batch.nbytes, limit))
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def per_text(function: Callable[[bytes], tuple], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A mapInArrow function: ``function(text as UTF-8)`` gives the values that follow the first column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             flat, offsets = utf8(batch.column(1))
             view = memoryview(flat)
             rows = [function(bytes(view[a:b])) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
