@@ -261,13 +261,20 @@ def _by_bucket(group: int, keys: np.ndarray, payload: Callable[[int, int], bytes
 def _answer_shared(table: pa.Table) -> pa.Table:
     """Step 2, bucket: to each group those of its keys that several documents have."""
     sent = [_unpack(p) for p in table["payload"].to_pylist()]
-    keys, times = np.unique(np.concatenate(sent), return_counts=True)
-    shared = keys[times > 1]
+    keys, of = np.concatenate(sent), np.repeat(np.arange(len(sent)), [len(s) for s in sent])
+    order = np.argsort(keys)
+    keys, of = keys[order], of[order]
+    equal = np.concatenate(([False], keys[1:] == keys[:-1], [False]))
+    several = equal[:-1] | equal[1:]
+    keys, of = keys[several], of[several]
+    order = np.argsort(of, kind="stable")
+    keys, of = keys[order], of[order]
     bucket, groups, payloads = table["bucket"][0].as_py(), [], []
-    for group, own in zip(table["group"].to_pylist(), sent, strict=True):
-        if len(own := np.intersect1d(own, shared)):
+    cuts = np.searchsorted(of, np.arange(len(sent) + 1))
+    for group, a, b in zip(table["group"].to_pylist(), cuts[:-1], cuts[1:], strict=True):
+        if b > a:
             groups.append(group)
-            payloads.append(_pack(own))
+            payloads.append(_pack(keys[a:b]))
     return pa.table(
         {"bucket": pa.array([bucket] * len(groups), pa.int32()), "group": pa.array(groups, pa.int32()), "payload": pa.array(payloads, pa.binary())}
     )
@@ -357,6 +364,7 @@ def _first_documents(strings: np.ndarray, first: np.ndarray) -> np.ndarray:
     grams = strings[np.arange(len(strings))[:, None], 2 + strings[:, :1].astype(np.int64) + np.arange(GRAM)]
     _, anchor, times = np.unique(np.ascontiguousarray(grams).view(f"V{GRAM}").ravel(), return_inverse=True, return_counts=True)
     several = np.flatnonzero(times[anchor] > 1)
+    several = several[_may_share(strings[several])]
     several = several[np.argsort(anchor[several], kind="stable")]
     ends = np.flatnonzero(np.append(anchor[several][1:] != anchor[several][:-1], True)) + 1 if len(several) else several
     start, total = 0, np.concatenate(([0], np.cumsum(lengths[several] + 1)))
@@ -368,6 +376,21 @@ def _first_documents(strings: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def _may_share(strings: np.ndarray) -> np.ndarray:
+    """Whether another of the distinct strings has the anchor with the ``side`` bytes before it, or with those after it.
+
+    Each window holds the bytes of one side, so the others share no window with any string.
+    """
+    side, out = (MATCH - GRAM) // 2, np.zeros(len(strings), bool)
+    at, length = strings[:, 0].astype(np.int64), strings[:, 1].astype(np.int64)
+    for start, fits in ((at - side, at >= side), (at, at + GRAM + side <= length)):
+        own = np.flatnonzero(fits)
+        wide = np.ascontiguousarray(strings[own[:, None], 2 + start[own, None] + np.arange(GRAM + side)])
+        _, of, times = np.unique(wide.view(f"V{GRAM + side}").ravel(), return_inverse=True, return_counts=True)
+        out[own] |= times[of] > 1
+    return out
+
+
 def _ranges(answers: pa.Table) -> np.ndarray:
     """All ranges of a group, by row and start."""
     parts = [np.zeros((0, 3), np.int64)]
