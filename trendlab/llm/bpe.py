@@ -227,13 +227,14 @@ def _decoded(batches: Iterator[pa.RecordBatch], tokenizer: Tokenizer) -> Iterato
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(_ENCODED.field(1).type), pa.array(texts, pa.string())], schema=_DECODED)
 
 
-def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digested(batches: Iterator[pa.RecordBatch], with_ids: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(1)
         flat, offsets = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
         first = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         second = [hashlib.sha256(t.as_py().encode("utf-8", "surrogatepass")).hexdigest() for t in batch.column(2)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets).astype(np.int64)), pa.array(first), pa.array(second)], schema=_DIGESTS)
+        columns = [batch.column(0), pa.array(np.diff(offsets).astype(np.int64)), pa.array(first, pa.string()), pa.array(second, pa.string())]
+        yield pa.RecordBatch.from_arrays([*columns, ids], schema=_DIGESTS.append(_ENCODED.field(1))) if with_ids else pa.RecordBatch.from_arrays(columns, schema=_DIGESTS)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -258,10 +259,10 @@ def ids_digest(ids: Iterable[int]) -> str:
     return hashlib.sha256(np.fromiter(ids, "<u4").tobytes()).hexdigest()
 
 
-def digests(docs: DataFrame, config: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: encoding, decoding and digests in one pass."""
+def digests(docs: DataFrame, config: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids of every row: all in one pass over the texts."""
     get = _tokenizer(docs, config)
     return _texts(docs).mapInArrow(
-        lambda batches: _digested(_decoded(_encoded(batches, get()), get())),
-        "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string",
+        lambda batches: _digested(_decoded(_encoded(batches, get()), get()), with_ids),
+        "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else ""),
     )

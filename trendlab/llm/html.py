@@ -40,6 +40,10 @@ OTHER_NAMES = {
 }
 #: Nodes that each name above counts for in training, besides those of the pages.
 PRIOR = 2000
+#: Elements around a whole page; their label says little about what they hold.
+WHOLE = {"#page", "html", "body"}
+#: Bounds of the log odds of a feature: a name or a naming element may decide alone, looks only tip the balance.
+SURE, HINT, LOOK = 12.0, 1.0, 0.5
 _NAME = re.compile(r"[a-z]+")
 
 
@@ -155,6 +159,12 @@ def weak_labels(page: Page) -> list[bool] | None:
     return out
 
 
+def _apart(page: Page, at: int) -> bool:
+    """Whether a block stands in the page itself or has a name of its own, and so may differ from what is around it."""
+    named = {page.tags[at], *page.names[at]} & (CONTENT_NAMES | OTHER_NAMES)
+    return bool(named) or page.tags[page.parents[at]] in WHOLE
+
+
 @dataclass(frozen=True)
 class Model:
     """Log odds of each feature and log potentials of (parent label, child label)."""
@@ -162,6 +172,8 @@ class Model:
     odds: dict[str, float]
     root: float
     pairs: tuple[tuple[float, float], tuple[float, float]]
+    #: the same where a block may well differ from the one around it
+    outer: tuple[tuple[float, float], tuple[float, float]]
 
     @classmethod
     def of(cls, counts: dict[tuple[str, bool], int]) -> Model:
@@ -175,22 +187,31 @@ class Model:
         for kind in ("tag", "text", "links", "name"):
             rows = {f for f, _ in seen if f.startswith(f"{kind} ")}
             all_of = {y: sum(seen[f, y] for f in rows) + len(rows) + 1 for y in (False, True)}
-            odds |= {f: log((seen[f, True] + 1) / all_of[True]) - log((seen[f, False] + 1) / all_of[False]) for f in rows}
-        pairs = tuple(
-            tuple(log(seen[f"pair {int(a)}{int(b)}", True] + 5) - log(sum(seen[f"pair {int(a)}{int(c)}", True] + 5 for c in (0, 1))) for b in (0, 1))
-            for a in (0, 1)
-        )
-        return cls(odds, -4.0, pairs)
+            for f in rows:
+                named = f.partition(" ")[2] in CONTENT_NAMES | OTHER_NAMES
+                bound = SURE if named and kind in ("tag", "name") else HINT if kind == "links" else LOOK
+                value = log((seen[f, True] + 1) / all_of[True]) - log((seen[f, False] + 1) / all_of[False])
+                odds[f] = max(-bound, min(bound, value))
+        # a block mostly goes with the block around it, whatever the pages of the sample show
+        seen.update({("pair 00", True): PRIOR, ("pair 11", True): PRIOR})
+        log_share = lambda k, a, b: log(seen[f"{k} {a}{b}", True] + 1) - log(seen[f"{k} {a}0", True] + seen[f"{k} {a}1", True] + 2)
+        inner, outer = (tuple(tuple(log_share(k, a, b) for b in (0, 1)) for a in (0, 1)) for k in ("pair", "outer"))
+        return cls(odds, -4.0, inner, outer)
+
+    def potentials(self, page: Page, at: int) -> tuple[tuple[float, float], tuple[float, float]]:
+        """Log potentials of (label of the block around, label of the block)."""
+        return self.outer if _apart(page, at) else self.pairs
 
     def marginals(self, page: Page) -> list[float]:
         """The probability of each block being content: messages go up from the leaves and down from the root."""
-        n, pairs = len(page.tags), self.pairs
+        n = len(page.tags)
         own = [sum(self.odds.get(f, 0.0) for f in features(page, k)) for k in range(n)]
         own[0] = self.root
         # log messages as pairs (not content, content)
         inward = [[0.0, v] for v in own]
         up: list[tuple[float, float]] = [(0.0, 0.0)] * n
         for k in range(n - 1, 0, -1):
+            pairs = self.potentials(page, k)
             m = tuple(_sum(inward[k][0] + pairs[a][0], inward[k][1] + pairs[a][1]) for a in (0, 1))
             up[k] = m
             parent = inward[page.parents[k]]
@@ -200,6 +221,7 @@ class Model:
         for k in range(1, n):
             above = belief[page.parents[k]]
             rest = (above[0] - up[k][0], above[1] - up[k][1])
+            pairs = self.potentials(page, k)
             down = [_sum(rest[0] + pairs[0][b], rest[1] + pairs[1][b]) for b in (0, 1)]
             belief.append([inward[k][0] + down[0], inward[k][1] + down[1]])
         return [1 / (1 + exp(max(-500.0, min(500.0, b[0] - b[1])))) for b in belief]
@@ -231,7 +253,8 @@ def train(pages: DataFrame, limit: int = TRAIN_PAGES) -> Model:
                 if labels:
                     for k in range(1, len(labels)):
                         counts.update((f, labels[k]) for f in features(page, k))
-                        counts[f"pair {int(labels[page.parents[k]])}{int(labels[k])}", True] += 1
+                        kind = "outer" if _apart(page, k) else "pair"
+                        counts[f"{kind} {int(labels[page.parents[k]])}{int(labels[k])}", True] += 1
             rows = [{"feature": f, "label": y, "n": n} for (f, y), n in counts.items()]
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("feature", pa.string()), ("label", pa.bool_()), ("n", pa.int64())]))
 

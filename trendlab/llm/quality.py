@@ -74,7 +74,7 @@ class Rule:
 RULES = (
     Rule("few_words", lambda t: t.n_words < 10, base=True),
     Rule("repeated_words", lambda t: 100 * t.n_repeat_words > 20 * t.n_words, base=True),
-    Rule("symbols", lambda t: 10 * t.n_symbols > t.word_chars),
+    Rule("symbols", lambda t: 16 * t.n_symbols > t.word_chars),
     Rule("repeated_lines", lambda t: 3 * t.n_dup_lines > t.text.count("\n") + 1),
     Rule("word_length", lambda t: not 2 * t.n_words <= t.word_chars <= 25 * t.n_words),
 )

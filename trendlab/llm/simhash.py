@@ -111,6 +111,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stand for their group: the smallest doc_id; of repeated rows of it, all stay."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi")
+    """The rows of ``docs`` that stand for their group: those of its smallest doc_id; all columns kept.
+
+    Rows of one doc_id stay or go together. Rows without doc_id stay if one of them is in a group without any id.
+    """
+    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
