@@ -16,8 +16,11 @@ from trendlab.llm.common import slices
 
 #: Labelled rows of each class that may train the lexicon: those with the smallest hash of doc_id.
 TOXIC_ROWS, CLEAN_ROWS = 4000, 12000
-#: A feature needs this many toxic rows, this lower bound of its precision, and new toxic rows that it explains.
-LEAST_ROWS, LEAST_PRECISION, LEAST_NEW = 4, 0.7, 3
+#: A feature needs this many toxic rows, this lower bound of its precision, and so many newly explained toxic rows, or
+#: one if it is common; a clean row outweighs several toxic ones.
+LEAST_ROWS, LEAST_PRECISION, LEAST_NEW, COMMON_ROWS, CLEAN_WEIGHT = 4, 0.7, 3, 20, 4
+#: A feature that explains nothing new is taken if it is this precise and stands beside so many different sets of others.
+MORE_PRECISION, MORE_SETS = 0.95, 10
 #: Lengths of word beginnings that are features beside whole words.
 PREFIXES = (4, 5, 6, 8)
 #: Distinct words whose restored form a task remembers; beyond it the memory starts anew.
@@ -245,20 +248,32 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clea
 
 
 def _cover(rows: list[list[str]], candidates: dict[str, tuple[int, int]]) -> list[str]:
-    """Candidates by the rows they newly explain; of equal ones the more precise, then the longer."""
+    """Candidates by the rows they newly explain, less clean ones; of equal ones the commoner, then the longer.
+
+    Then the common and precise ones that stand beside many different sets of those: a word that only a group of
+    copies shares always stands beside the same few.
+    """
     holding: dict[str, set[int]] = {}
     for k, found in enumerate(rows):
         for f in found:
             holding.setdefault(f, set()).add(k)
     taken, left = [], set(range(len(rows)))
-    while holding:
-        best = max(holding, key=lambda f: (len(holding[f] & left), -candidates[f][1], len(f), f))
-        if len(new := holding.pop(best) & left) < LEAST_NEW:
-            break
+
+    def useful(f: str) -> bool:
+        new = len(holding[f] & left)
+        return new >= (1 if candidates[f][0] >= COMMON_ROWS else LEAST_NEW) and new > CLEAN_WEIGHT * candidates[f][1] * new / candidates[f][0]
+
+    while holding := {f: ks for f, ks in holding.items() if useful(f)}:
+        best = max(holding, key=lambda f: (len(holding[f] & left) - CLEAN_WEIGHT * candidates[f][1], candidates[f][0], len(f), f))
         taken.append(best)
-        left -= new
-        holding = {f: ks for f, ks in holding.items() if len(ks & left) >= LEAST_NEW}
-    return taken
+        left -= holding[best]
+    beside: dict[str, set[frozenset[str]]] = {}
+    for found in rows:
+        explained = frozenset(set(found).intersection(taken))
+        for f in found:
+            beside.setdefault(f, set()).add(explained)
+    more = [f for f, sets in beside.items() if len(f) > PREFIXES[0] and len(sets) >= MORE_SETS and candidates[f][0] >= COMMON_ROWS and _lower_bound(*candidates[f]) >= MORE_PRECISION]
+    return [*taken, *sorted(set(more).difference(taken))]
 
 
 def scores(docs: DataFrame, classifier: Classifier) -> DataFrame:
