@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from trendlab.llm import bpe, chat, decontam, html, quality, shards, simhash, suffixes, toxicity, urls
 from trendlab.llm.common import table
+from trendlab.llm.sql import SQL
+
+__all__ = ["QUERIES", "SQL", "TOKENIZER"]
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -73,4 +76,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_quality": op10_quality,
 }
-SQL: dict[str, str] = {}
