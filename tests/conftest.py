@@ -8,6 +8,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from trendlab.session import local_session  # noqa: E402
+from trendlab.sources import sinks  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -16,7 +17,10 @@ def spark():
     session = local_session(cpus=8, memory="8g", app="trendlab-tests", checkpoint_dir=shared)
     session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
+    sinks.release(session)
+    left = list(Path(shared).glob("*/*"))
     session.stop()
+    assert not left, f"intermediates left behind: {left}"
 
 
 @pytest.fixture(scope="session")

@@ -1,9 +1,11 @@
 """Calendar, quality, continuous series and sources on small hand-made tables."""
 
 import datetime as dt
+import os
 import random
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from trendlab.operators import calendar, continuous, quality
@@ -187,6 +189,68 @@ def test_csv_source_and_routing(spark, tmp_path):
         files.load_universe_prices(spark, [{"symbol": "A", "data_source": "csv", "data_symbol": str(tmp_path / "none.csv")}])
 
 
+def test_paths_in_any_spelling_find_their_rows(spark, tmp_path, monkeypatch):
+    day = dt.date(2024, 1, 3)
+    rows = [(f, y, dt.date(y, 1, 3), 10.0 * k + y) for k, f in enumerate(("ES", "a b+c")) for y in (2023, 2024)]
+    table = spark.createDataFrame(rows, "folder string, year int, date date, close double")
+    table.write.partitionBy("folder", "year").parquet(str(tmp_path / "vendor"))
+    folders = {p.name for p in (tmp_path / "vendor").iterdir() if p.is_dir()}
+    here = os.path.relpath(tmp_path)
+    for spelled in (f"{tmp_path}/vendor/{{}}", f"{here}/vendor/{{}}", f"{tmp_path}/none/../vendor/{{}}/", f"file:{tmp_path}/vendor/{{}}/year=*"):
+        items = [{"symbol": f, "data_source": "parquet", "data_symbol": spelled.format(f)} for f in folders]
+        got = _dict(files.load_universe_prices(spark, items), "symbol", "ts")
+        assert len(got) == 4 and {k[0] for k in got} == folders, spelled
+    single = next((tmp_path / "vendor" / "folder=ES" / "year=2024").glob("*.parquet"))
+    one = files.load_universe_prices(spark, [{"symbol": "S", "data_source": "parquet", "data_symbol": str(single)}])
+    assert _dict(one, "symbol", "ts") == {("S", day): 2024.0}
+    (tmp_path / "empty").mkdir()
+    with pytest.raises((FileNotFoundError, AnalysisException)):
+        files.load_universe_prices(spark, [{"symbol": "E", "data_source": "parquet", "data_symbol": str(tmp_path / "empty")}])
+
+
+def test_missing_words_in_csv(spark, tmp_path):
+    path = tmp_path / "ES.csv"
+    path.write_text("date,close\n2024-01-01,N/A\n2024-01-02,101\n2024-01-03, null\n2024-01-04,\n2024-01-05,NaN\n")
+    item = {"symbol": "ES", "data_source": "csv", "data_symbol": str(path)}
+    assert [v for v in _dict(files.load_universe_prices(spark, [item]), "symbol", "ts").values() if v is not None] == [101]
+    path.write_text("date,close\n2024-01-01,twelve\n")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        files.load_universe_prices(spark, [item]).collect()
+
+
+def test_load_panel_checks_aligns_and_checks(spark, tmp_path):
+    def item(symbol, text):
+        (tmp_path / f"{symbol}.csv").write_text("date,close\n" + text)
+        return {"symbol": symbol, "data_source": "csv", "data_symbol": str(tmp_path / f"{symbol}.csv")}
+
+    good = item("ES", "2024-01-01,100\n2024-01-03,102\n2024-01-05,103\n")
+    panel = _dict(files.load_panel(spark, [good], "2024-01-01", "2024-01-05"), "symbol", "ts")
+    assert [panel["ES", dt.date(2024, 1, d)] for d in range(1, 6)] == [100, 100, 102, 102, 103]
+    for text, problem in (
+        ("2024-01-01,100\n2024-01-01,101\n", "date"),
+        ("2024-01-01,100\n2024-01-02,-1\n", "violation"),
+        ("2024-01-01,100\n2024-01-12,101\n", "gap"),
+        ("2023-01-02,100\n", "without a price"),
+    ):
+        with pytest.raises(ValueError, match=problem):
+            files.load_panel(spark, [good, item("CL", text)], "2024-01-01", "2024-01-12" if problem == "gap" else "2024-01-05")
+
+
+def test_continuous_series_that_would_end_early_raise(spark, weekdays):
+    days = weekdays("2024-01-01", 9)
+    rows = [(c, d, 0.0 if (c, k) == ("M", 2) else 10.0 + k) for c in ("H", "M") for k, d in enumerate(days)]
+    table = spark.createDataFrame(rows, "contract string, ts date, price double")
+    plan = [("R", days[0], "H"), ("R", days[3], "M")]
+    schedule = spark.createDataFrame(plan, "root string, start_ts date, contract string")
+    with pytest.raises(ValueError, match="zero price"):
+        continuous.continuous_series(table, schedule, "ratio_adjusted")
+    assert continuous.continuous_series(table, schedule, "back_adjusted").count() == 9
+    assert continuous.continuous_series(table, schedule, "ratio_adjusted", check=False).count() == 3
+    absent = spark.createDataFrame([*plan, ("R", days[6], "Z")], schedule.schema)
+    with pytest.raises(ValueError, match="no prices"):
+        continuous.continuous_series(table, absent, "back_adjusted")
+
+
 def test_price_column_rules(spark):
     frame = spark.createDataFrame([(1.0, 2.0, "x")], "Last double, ADJ_CLOSE double, note string")
     assert files.price_column(frame) == "ADJ_CLOSE"

@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .plans.backtest import Backtest, replay_differences
-from .plans.scenarios import lookup, scenario_list, scenario_metadata, typed_row
+from .plans.backtest import Backtest, check_panel, replay_differences
+from .plans.scenarios import flatten, scenario_list, scenario_metadata, setting, typed_row
 from .plans.sensitivity import ranked
 from .plans.walkforward import folds, walk_forward_summary
 from .sources.local import small_table
@@ -18,12 +18,13 @@ from .sources.local import small_table
 def _volume_source(config: Mapping, adv):
     if adv is not None:
         return adv
-    found = lookup(config, "execution.average_daily_volume")
-    return found if found is not None else lookup(config, "execution.adv_contracts")
+    settings = flatten(config)
+    found = setting(settings, "execution.average_daily_volume")
+    return found if found is not None else setting(settings, "execution.adv_contracts")
 
 
 def _roll_table(spark: SparkSession, config: Mapping, roll_dates: DataFrame | None) -> DataFrame | None:
-    schedule = lookup(config, "execution.roll_schedule")
+    schedule = setting(flatten(config), "execution.roll_schedule")
     if roll_dates is not None or not schedule:
         return roll_dates
     pairs = [(symbol, str(day)[:10]) for symbol, days in schedule.items() for day in days]
@@ -42,6 +43,7 @@ def build(
     roll_dates: DataFrame | None = None,
 ) -> Backtest:
     rows = tuple(typed_row(s) for s in scenarios)
+    check_panel(prices, sorted({(r["start"], r["end"]) for r in rows}))
     return Backtest(spark, prices, universe, rows, _volume_source(config, adv), _roll_table(spark, config, roll_dates))
 
 
@@ -57,7 +59,7 @@ def run_backtest(
     roll_dates: DataFrame | None = None,
     check_reproducibility: bool = False,
 ) -> Backtest:
-    """A single run.  ``prices(symbol, ts, close)`` is an aligned panel, null where missing."""
+    """A single run.  ``prices(symbol, ts, close)``: missing prices are null or absent; a date may occur once."""
     scenarios = scenario_list(config, base_overrides=parameter_overrides, seeds=seed)
     first = build(spark, config, prices, universe, scenarios, adv, roll_dates)
     if check_reproducibility:

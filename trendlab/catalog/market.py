@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import os
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import calendar, continuous, quality
@@ -93,6 +96,33 @@ def a6(spark, sf):
     return price_files.load_universe_prices(spark, instruments)
 
 
+@register(
+    "a6_paths", "kind s, symbol s, n i, lost i, total 4",
+    panel.sql("""select kind, symbol, count(*) as n, 0 as lost, sum(close) as total from bars
+      cross join (values ('relative'), ('parent'), ('nested'), ('glob')) k(kind) group by 1, 2"""),
+)
+def a6_paths(spark, sf):
+    """The same files reached by other spellings of their paths, and what each of them loses."""
+    bars = panel.stored_bars(spark, sf)
+    rows = bars.select(F.col("symbol").alias("folder"), F.year("ts").alias("year"), F.col("ts").alias("date"), "close")
+    path = sinks.scratch_path(spark, "vendor")
+    rows.write.partitionBy("folder", "year").parquet(path)
+    bare = path.removeprefix("file://")
+    spelled = {
+        "relative": f"{os.path.relpath(bare)}/folder={{}}",
+        "parent": f"{bare}/folder=none/../folder={{}}",
+        "nested": f"{path}/folder={{}}",
+        "glob": f"{path}/folder={{}}/year=*",
+    }
+    there = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("there"))
+    out = []
+    for kind, pattern in spelled.items():
+        instruments = [{"symbol": s, "data_source": "parquet", "data_symbol": pattern.format(s)} for s, _, _ in panel.INSTRUMENTS]
+        read = price_files.load_universe_prices(spark, instruments).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("close").alias("total"))
+        out.append(there.join(read, "symbol", "left").withColumn("kind", F.lit(kind)))
+    return reduce(DataFrame.unionByName, out).withColumn("lost", F.col("there") - F.coalesce("n", F.lit(0)))
+
+
 @register(
     "a7_adjusted_close", "used s, symbol s, ts d, close 9",
     panel.sql("select 'Adj Close' as used, symbol, ts, low as close from bars union all select 'Close', symbol, ts, close from bars"),
@@ -400,3 +430,24 @@ for _key, _method in (("d3_back_adjusted", "back_adjusted"), ("d4_ratio_adjusted
 def d6(spark, sf):
     px = panel.stored_panel(spark, sf, BRAND)
     return continuous.continuous_matrix(_contracts(px), _schedule(px, BRAND))
+
+
+@register(
+    "d_violations", "root s, contract s, problem s",
+    _roll_sql(
+        """select distinct root, next_contract as contract, 'zero price before its roll' as problem from seg where root = 'R0' and end_ts is not null
+            and next_contract = (select min(contract) from seg where root = 'R0')
+        union all select distinct root, contract, 'no prices' from seg where root = 'R1' and contract = (select max(contract) from seg where root = 'R1')""",
+        BRAND,
+    ),
+)
+def d_violations(spark, sf):
+    """A contract of one root always at zero, and one of another root without any price."""
+    px = panel.stored_panel(spark, sf, BRAND)
+    plan = _schedule(px, BRAND)
+    names = plan.groupBy("root").agg(F.min("contract").alias("lo"), F.max("contract").alias("hi"))
+    gone = names.filter("root = 'R1'").select(F.col("hi").alias("contract"))
+    zero = names.filter("root = 'R0'").select(F.col("lo").alias("contract"), F.lit(True).alias("zero"))
+    prices = _contracts(px).join(gone, "contract", "left_anti").join(zero, "contract", "left")
+    prices = prices.withColumn("price", F.when(F.col("zero"), 0.0).otherwise(F.col("price"))).drop("zero")
+    return continuous.link_violations(prices, plan, ["ratio_adjusted"]).distinct()

@@ -9,7 +9,7 @@ from ..api import build
 from ..functions import costs, scaling
 from ..operators import attribution, execution, ledger, metrics, sizing
 from ..plans.backtest import replay_differences
-from ..plans.scenarios import overlay, scenario_list, typed_row
+from ..plans.scenarios import scenario_list, settings_of, typed_row
 from ..sources import sinks
 from . import panel
 from .registry import register
@@ -39,7 +39,7 @@ def market(spark, sf):
 
 def base_run(spark, sf, config=CONFIG, **overrides):
     prices, universe = market(spark, sf)
-    return build(spark, config, prices, universe, scenario_list(overlay(config, overrides)))
+    return build(spark, config, prices, universe, scenario_list(settings_of(config, overrides)))
 
 
 def sql(final: str, upto: str, *more: str) -> str:
@@ -164,7 +164,7 @@ _ROLL_LEGS = """legs as (
   from (select *, lag(target, 1, 0) over (partition by run_id, symbol order by i) as prev, lead(ts) over (partition by run_id, symbol order by i) as nxt from book) b
   join rolls r on r.symbol = b.symbol and r.ts = b.ts cross join (values (0), (1)) l(leg) where abs(b.prev) > 1e-8 and b.nxt is not null),
 rolled as (select *, row_number() over (partition by run_id order by submitted, leg = 2, symbol_pos, leg) as order_id from legs)"""
-_UNCAPPED = [runs_cte([typed_row(s) for s in scenario_list(overlay(CONFIG, {"execution": {"adv_limit_pct": 0.0}}))])]
+_UNCAPPED = [runs_cte([typed_row(s) for s in scenario_list(settings_of(CONFIG, {"execution": {"adv_limit_pct": 0.0}}))])]
 
 
 @register(

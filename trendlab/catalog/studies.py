@@ -138,17 +138,26 @@ def j9_models(spark, sf):
     return _sweep(spark, sf, _MODELS).backtest.summary
 
 
-@register("j18_scenario_metadata", "run_id s, grid_overrides s, seed i, hash_length i",
-          panel.sql("""select run_id, grid_overrides, 11 as seed, 64 as hash_length from (values
-            ('run-0001', '{"risk": {"target_portfolio_vol": 0.12}, "signals": {"momentum": {"lookbacks": [63, 126, 252]}}}'),
-            ('run-0002', '{"risk": {"target_portfolio_vol": 0.18}, "signals": {"momentum": {"lookbacks": [63, 126, 252]}}}'),
-            ('run-0003', '{"risk": {"target_portfolio_vol": 0.12}, "signals": {"momentum": {"lookbacks": [63, 252]}}}'),
-            ('run-0004', '{"risk": {"target_portfolio_vol": 0.18}, "signals": {"momentum": {"lookbacks": [63, 252]}}}')) t(run_id, grid_overrides)
-            where (select count(*) from px) > 0"""))
+_OVERRIDES = ", ".join(
+    f"""('run-{k:04d}', '{{"risk": {{"target_portfolio_vol": {v}}}, "signals": {{"momentum": {{"lookbacks": {lb}}}}}}}')"""
+    for k, (lb, v) in enumerate(((lb, v) for lb in GRID["signals.momentum.lookbacks"] for v in GRID["risk.target_portfolio_vol"]), start=1)
+)
+
+
+@register(
+    "j18_scenario_metadata", "run_id s, grid_overrides s, seed i, hash_length i, sharpe 6, rank i",
+    backtest_sql(
+        f"""select s.run_id, t.grid_overrides, 11 as seed, 64 as hash_length, s.sharpe,
+          row_number() over (order by s.sharpe desc nulls last, s.run_id) as rank
+        from summary s join (values {_OVERRIDES}) t(run_id, grid_overrides) using (run_id)""",
+        "summary", _grid_runs(GRID, seeds=[11]),
+    ),
+)
 def j18(spark, sf):
+    """Each run's settings beside the result they led to."""
     sweep = _sweep(spark, sf, seeds=[11])
-    ran = sweep.backtest.panel.select("run_id").distinct()
-    return sweep.metadata.join(ran, "run_id", "left_semi").withColumn("hash_length", F.length("config_hash"))
+    ranks = sweep.ranking().select("run_id", "sharpe", "rank")
+    return sweep.metadata.join(ranks, "run_id").withColumn("hash_length", F.length("config_hash"))
 
 
 def _curve_sql(values, label: str, runs: list[str]) -> str:
@@ -264,19 +273,23 @@ def _returns(spark, sf):
     return bootstrap.indexed_returns(rows)
 
 
-_SAMPLED = f"""rets as (
+def _sampled(samples: int = SAMPLES, start: str = f"s.sample * 7919 + k.block * 104729 + {SEED}") -> str:
+    return f"""rets as (
   select symbol as run_id, ret, row_number() over (partition by symbol order by ts) - 1 as idx
   from (select symbol, ts, close / lag(close) over (partition by symbol order by ts) - 1 as ret from px) where ret is not null),
 sizes as (select run_id, count(*) as n, least({BLOCK}, count(*)) as b from rets group by 1),
 draws as (
-  select z.run_id, z.n, z.b, s.sample, k.block, (s.sample * 7919 + k.block * 104729 + {SEED}) % (z.n - z.b + 1) as start
-  from sizes z cross join (select unnest(range({SAMPLES})) as sample) s cross join lateral (select unnest(range(0, cast(ceil(z.n / z.b) as bigint))) as block) k),
+  select z.run_id, z.n, z.b, s.sample, k.block, ({start}) % (z.n - z.b + 1) as start
+  from sizes z cross join (select unnest(range({samples})) as sample) s cross join lateral (select unnest(range(0, cast(ceil(z.n / z.b) as bigint))) as block) k),
 picks as (
   select d.run_id, d.sample, d.block * d.b + o.off as pos, d.start + o.off as idx
   from draws d cross join (select unnest(range({BLOCK})) as off) o where o.off < d.b and d.block * d.b + o.off < d.n),
 samples as (select p.run_id, p.sample, p.pos, r.ret from picks p join rets r on r.run_id = p.run_id and r.idx = p.idx)"""
 
 
+_SAMPLED = _sampled()
+
+
 @register(
     "j13_bootstrap_samples", "run_id s, sample i, n i, total 8, weighted 5",
     panel.sql("select run_id, sample, count(*) as n, sum(ret) as total, sum(ret * pos) as weighted from samples group by 1, 2", _SAMPLED),
@@ -314,19 +327,19 @@ def j15(spark, sf):
 _INTERVAL = "run_id s, metric s, mean 7, lower 7, upper 7"
 
 
-@register(
-    "j16_bootstrap_interval", _INTERVAL,
-    panel.sql(
-        """select run_id, metric, avg(value) as mean, quantile_cont(value, 0.025) as lower, quantile_cont(value, 0.975) as upper
-        from (select 'sharpe' as metric, * from sharpes union all select 'max_drawdown', * from falls) group by 1, 2""",
-        _SAMPLED, _STATS,
-    ),
-)
+_INTERVALS = """select run_id, metric, avg(value) as mean, quantile_cont(value, 0.025) as lower, quantile_cont(value, 0.975) as upper
+  from (select 'sharpe' as metric, * from sharpes union all select 'max_drawdown', * from falls) group by 1, 2"""
+
+
+@register("j16_bootstrap_interval", _INTERVAL, panel.sql(_INTERVALS, _SAMPLED, _STATS))
 def j16(spark, sf):
     return bootstrap.confidence_intervals(_returns(spark, sf), n_samples=SAMPLES, block_size=BLOCK, start_of=_lattice)
 
 
-@register("j16_bootstrap_default", _INTERVAL)
+_HASHED = f"cast('0x' || substr(md5('{SEED}|' || s.sample || '|' || k.block), 1, 8) as bigint)"
+
+
+@register("j16_bootstrap_default", _INTERVAL, panel.sql(_INTERVALS, _sampled(1000, _HASHED), _STATS))
 def j16_default(spark, sf):
-    """The hashed generator with the default 1,000 samples: intervals have no SQL twin (tested statistically)."""
+    """The default generator with the default 1,000 samples."""
     return bootstrap.confidence_intervals(_returns(spark, sf), seed=SEED)

@@ -110,8 +110,9 @@ def duplicate_dates(prices: DataFrame, keys: Keys = ("symbol",)) -> DataFrame:
 
 
 def validate(prices: DataFrame, keys: Keys = ("symbol",)) -> None:
-    if not duplicate_dates(prices, keys).isEmpty():
-        raise ValueError("price data contains duplicate dates")
+    found = duplicate_dates(prices, keys).limit(1).collect()
+    if found:
+        raise ValueError(f"more than one price per date, for example {found[0].asDict()}")
 
 
 def complete_panel(panel: DataFrame, scope: Keys = (), value: str = "close") -> DataFrame:

@@ -9,6 +9,7 @@ rows of a root, joined back to the daily rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,11 +36,7 @@ def intervals(schedule: DataFrame) -> DataFrame:
 
 def front_prices(contract_prices: DataFrame, schedule: DataFrame) -> DataFrame:
     """Unadjusted front contract: prices of each segment's contract inside its interval."""
-    seg = intervals(schedule)
-    inside = (F.col("ts") >= F.col("start_ts")) & (
-        F.col("end_ts").isNull() | (F.col("ts") < F.col("end_ts"))
-    )
-    rows = contract_prices.join(seg, "contract").filter(inside)
+    rows = _tagged(contract_prices, schedule).filter("contract = front")
     return rows.select("root", "k", "contract", "ts", "price")
 
 
@@ -112,32 +109,43 @@ def _adjustments(bounds: DataFrame, methods: Sequence[str]) -> DataFrame:
     return rows.select("root", "k", *adjusted)
 
 
-def zero_price_links(contract_prices: DataFrame, schedule: DataFrame, method: str) -> DataFrame:
-    """Segments whose link divides by a zero price (the reason to reject a ratio or stitched series)."""
-    bounds = _boundaries(_tagged(contract_prices, schedule))
-    if method == "ratio_adjusted":
-        return bounds.filter("next_price = 0")
-    numbered = bounds.withColumn("_n", F.row_number().over(Window.partitionBy("root").orderBy("k")))
-    return numbered.filter("first_price = 0 and _n > 1").drop("_n")
+def link_violations(contract_prices: DataFrame, schedule: DataFrame, methods: Sequence[str] = METHODS) -> DataFrame:
+    """``(root, contract, problem)``: what ends a continuous series early.
+
+    A contract of the schedule without any price, and a roll at which a ratio or stitched link divides by zero.
+    """
+    seg = intervals(schedule)
+    known = contract_prices.filter("price is not null").select("contract").distinct()
+    unknown = seg.join(known, "contract", "left_anti").select("root", "contract", F.lit("no prices").alias("problem")).distinct()
+    found = [unknown]
+    bounds = _boundaries(_tagged(contract_prices, schedule)).join(seg.select("root", "k", "contract", "next_contract"), ["root", "k"])
+    if "ratio_adjusted" in methods:
+        zero = bounds.filter("next_price = 0").select("root", F.col("next_contract").alias("contract"))
+        found.append(zero.withColumn("problem", F.lit("zero price before its roll")))
+    if "stitched" in methods:
+        opening = F.min("k").over(Window.partitionBy("root"))
+        zero = bounds.withColumn("_first", opening).filter("first_price = 0 and k > _first").select("root", "contract")
+        found.append(zero.withColumn("problem", F.lit("zero price after its roll")))
+    return reduce(DataFrame.unionByName, found)
 
 
 def continuous_matrix(
-    contract_prices: DataFrame, schedule: DataFrame, methods: Sequence[str] = METHODS, check: bool = False
+    contract_prices: DataFrame, schedule: DataFrame, methods: Sequence[str] = METHODS, check: bool = True
 ) -> DataFrame:
-    """``(method, root, ts, price)`` for every root of the schedule at once; null results are dropped.
+    """``(method, root, ts, price)`` for every root of the schedule at once.
 
-    All methods share the segments and their boundary prices and differ only in the link.
+    All methods share the segments and their boundary prices and differ only in the link.  An empty schedule and any
+    :func:`link_violations` raise; with ``check=False`` a series ends at such a link.
     """
     methods = [_ALIASES.get(m, m) for m in methods]
     unknown = sorted(set(methods) - set(METHODS))
     if unknown:
-        raise ValueError(f"unknown continuous methods: {unknown}")
+        raise ValueError(f"no continuous series by {unknown}; known are {METHODS}")
     if check:
         if schedule.isEmpty():
-            raise ValueError("roll schedule is empty")
-        for method in methods:
-            if method != "back_adjusted" and not zero_price_links(contract_prices, schedule, method).isEmpty():
-                raise ValueError("zero price at a roll")
+            raise ValueError("a continuous series needs at least one row of roll schedule")
+        if problem := link_violations(contract_prices, schedule, methods).limit(1).collect():
+            raise ValueError(f"continuous series would end early: {problem[0].asDict()}")
     tagged = _tagged(contract_prices, schedule)
     adjustments = _adjustments(_boundaries(tagged), methods)
     front = tagged.filter("contract = front").join(adjustments, ["root", "k"])
@@ -151,7 +159,7 @@ def continuous_matrix(
 
 
 def continuous_series(
-    contract_prices: DataFrame, schedule: DataFrame, method: str = "back_adjusted", check: bool = False
+    contract_prices: DataFrame, schedule: DataFrame, method: str = "back_adjusted", check: bool = True
 ) -> DataFrame:
     """``(root, ts, price)`` by one method."""
     return continuous_matrix(contract_prices, schedule, [method], check).drop("method")

@@ -54,21 +54,6 @@ def rebalance_orders(book: DataFrame) -> DataFrame:
     )
 
 
-def roll_orders(positions: DataFrame, roll_dates: DataFrame) -> DataFrame:
-    """Close and reopen the position held on a scheduled date: two legs, no order on the last session."""
-    live = positions.withColumn("_next", F.lead("ts").over(series(KEYS)))
-    due = live.join(roll_dates.select("symbol", "ts").distinct(), ["symbol", "ts"])
-    due = due.filter((F.abs("pos") > _MIN_ORDER) & F.col("_next").isNotNull())
-    legs = F.array(
-        F.struct(F.lit(0).alias("leg"), (-F.col("pos")).alias("qty")),
-        F.struct(F.lit(1).alias("leg"), F.col("pos").alias("qty")),
-    )
-    return due.select("*", F.explode(legs).alias("_l")).select(
-        *KEYS, "symbol_pos", F.col("ts").alias("submitted"), "_l.leg", "_l.qty", F.lit("roll").alias("reason"),
-        F.lit(None).cast("double").alias("target"),
-    )
-
-
 def number_orders(orders: DataFrame) -> DataFrame:
     """Add ``order_id``: 1, 2, ... per run by day, rolls before rebalances, then instrument and leg.
 

@@ -23,7 +23,7 @@ def risk_budget(panel: DataFrame, allocator="proportional", keys: Keys = ("symbo
     share to every instrument with a signal.  ``allocator`` may be a column.
     """
     if isinstance(allocator, str) and allocator not in ("proportional", "erc", "equal_active"):
-        raise ValueError(f"unknown risk allocator: {allocator}")
+        raise ValueError(f"no allocator has the name {allocator!r}")
     strength = F.abs("signal")
     equal = as_col(allocator).isin("erc", "equal_active")
     stake = F.when(equal, (strength > 0).cast("double")).otherwise(strength)

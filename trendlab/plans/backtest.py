@@ -8,11 +8,12 @@ clustering; only then does the panel fan out to its runs.  From there the plan g
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import attribution, calendar, execution, risk, signals
@@ -63,11 +64,44 @@ def _batches(rows: Sequence[Mapping]) -> list[tuple]:
     return [*batches, tuple(current)]
 
 
+def check_panel(prices: DataFrame, windows: Sequence[tuple]) -> None:
+    """Raise if an instrument has several prices on a date, or a window no price at all.
+
+    One count per date reaches the driver, as many as the calendar has.
+    """
+    per_day = prices.groupBy("symbol", "ts").agg(F.count(F.lit(1)).alias("n"), F.count("close").alias("known"))
+    days = per_day.groupBy("ts").agg(F.max("n").alias("n"), F.sum("known").alias("known")).collect()
+    if doubled := sorted(str(r["ts"]) for r in days if r["n"] > 1):
+        raise ValueError(f"{len(doubled)} dates have more than one price for an instrument, the first is {doubled[0]}")
+    quoted = sorted(r["ts"] for r in days if r["known"])
+    for start, end in windows:
+        at = bisect_left(quoted, start)
+        if at == len(quoted) or quoted[at] > end:
+            raise ValueError(f"no prices between {start} and {end}")
+
+
+def dense_panel(rows: DataFrame) -> DataFrame:
+    """A row for each instrument on every date of the table from its own first one on; new rows are null.
+
+    Each row stands for the days up to the instrument's next one, as in alignment; of these the dates of the table stay.
+    """
+    by_symbol = Window.partitionBy("symbol").orderBy("ts")
+    dates = rows.select("ts").distinct()
+    last = dates.agg(F.max("ts").alias("last")).scalar()
+    until = F.coalesce(F.date_sub(F.lead("ts").over(by_symbol), 1), last)
+    values = [c for c in rows.columns if c not in ("symbol", "ts")]
+    spans = rows.select("symbol", F.col("ts").alias("_own"), *values, F.greatest("ts", until).alias("_until"))
+    spread = spans.withColumn("ts", F.explode(F.sequence("_own", "_until")))
+    own = F.col("ts") == F.col("_own")
+    filled = spread.select("symbol", "ts", *[F.when(own, F.col(c)).alias(c) for c in values])
+    return filled.join(dates, "ts", "left_semi").select(*rows.columns)
+
+
 def window_panel(spark: SparkSession, prices: DataFrame, windows: Sequence[tuple]) -> DataFrame:
-    """The complete panel of each ``(start, end)`` window, keyed by ``window_id``."""
+    """The complete panel of each ``(start, end)`` window, keyed by ``window_id``; absent rows count as missing values."""
     rows = prices.select("symbol", "ts", "close", *[c for c in ("adv",) if c in prices.columns])
     lo, hi = min(w[0] for w in windows), max(w[1] for w in windows)
-    rows = rows.filter(F.col("ts").between(F.lit(lo), F.lit(hi)))
+    rows = dense_panel(rows.filter(F.col("ts").between(F.lit(lo), F.lit(hi))))
     table = small_table(spark, [(i, a, b) for i, (a, b) in enumerate(windows)], "window_id int, w_start date, w_end date")
     inside = rows_in_windows(rows, table, "w_start", "w_end").drop("w_start", "w_end")
     return calendar.complete_panel(inside, scope=("window_id",))

@@ -25,7 +25,13 @@ def indexed_returns(rows: DataFrame, value: str = "ret") -> DataFrame:
 
 
 def _random_start(seed: int) -> Callable[[Column, Column, Column], Column]:
-    return lambda sample, block, choices: F.pmod(F.xxhash64(F.lit(seed).cast("long"), sample, block), choices)
+    """The first 32 bits of an MD5 of seed, sample and block: other engines can draw the same."""
+
+    def start(sample: Column, block: Column, choices: Column) -> Column:
+        digest = F.md5(F.concat_ws("|", F.lit(str(seed)), sample.cast("string"), block.cast("string")).cast("binary"))
+        return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), choices)
+
+    return start
 
 
 def block_samples(
@@ -43,7 +49,7 @@ def block_samples(
     ``start_of(sample, block, choices)`` replaces the generator.
     """
     if block_size <= 0:
-        raise ValueError("block_size must be positive")
+        raise ValueError(f"blocks of {block_size} returns cannot fill a sample")
     start_of = start_of or _random_start(seed)
     source = returns.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("idx", "ret"))).alias("_rows"))
     source = source.select("run_id", F.col("_rows.ret").alias("_ret"))

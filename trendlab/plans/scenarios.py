@@ -1,13 +1,12 @@
 """Scenario tables: one typed row per run.
 
-A configuration is a nested dict with the sections ``signals.momentum``, ``risk``, ``execution`` and
-``backtest``.  Grids name settings by dotted key.  The list of scenarios is what the user wrote
+A configuration has the sections ``signals.momentum``, ``risk``, ``execution`` and ``backtest``, nested or by
+dotted name; inside, settings are flat.  Grids name settings by dotted key.  The list of scenarios is what the user wrote
 down, so it lives on the driver; everything computed from it does not.
 """
 
 from __future__ import annotations
 
-import copy
 import datetime
 import json
 from collections.abc import Iterable, Mapping, Sequence
@@ -49,46 +48,48 @@ FIELDS: tuple[tuple[str, tuple[str, ...], str, object], ...] = (
 PARAM_TYPES = {column: kind for column, _, kind, _ in FIELDS}
 
 
-def lookup(config: Mapping, dotted: str, default=None):
-    here: object = config
-    for part in dotted.split("."):
-        if not isinstance(here, Mapping) or part not in here:
-            return default
-        here = here[part]
-    return here
+def flatten(config: Mapping | None, prefix: str = "") -> dict:
+    """Settings by dotted name, whether ``config`` nests its sections or names them with dots already."""
+    flat: dict = {}
+    for name, value in (config or {}).items():
+        dotted = prefix + str(name)
+        flat.update(flatten(value, f"{dotted}.") if isinstance(value, Mapping) else {dotted: value})
+    return flat
 
 
-def nested(dotted: str, value) -> dict:
-    """``a.b`` and a value as ``{"a": {"b": value}}``."""
-    for part in reversed(dotted.split(".")):
-        value = {part: value}
-    return value
+def settings_of(*layers: Mapping | None) -> dict:
+    """Flat settings of several configurations, later ones first in force.
 
-
-def overlay(base: Mapping | None, extra: Mapping | None) -> dict:
-    """A copy of ``base`` with the settings of ``extra`` on top, section by section."""
-    out = copy.deepcopy(dict(base or {}))
-    for key, value in (extra or {}).items():
-        both = isinstance(value, Mapping) and isinstance(out.get(key), Mapping)
-        out[key] = overlay(out[key], value) if both else copy.deepcopy(value)
+    A value given to a section's own name replaces the section; a value inside it replaces the section's single value.
+    """
+    out: dict = {}
+    for layer in layers:
+        new = flatten(layer)
+        hidden = {k for k in out for n in new if k.startswith(f"{n}.") or n.startswith(f"{k}.")}
+        out = {k: v for k, v in out.items() if k not in hidden} | new
     return out
 
 
-def expand_grid(grid: Mapping[str, Sequence] | None) -> list[dict]:
-    """Every combination of the listed values as nested overrides; the last key varies fastest."""
-    if not grid:
-        return []
-    combos = []
-    for values in product(*grid.values()):
-        override: dict = {}
-        for dotted, value in zip(grid, values, strict=True):
-            override = overlay(override, nested(dotted, value))
-        combos.append(override)
-    return combos
+def setting(settings: Mapping, dotted: str, default=None):
+    """One flat setting; where only names below ``dotted`` are set, they come as a mapping."""
+    below = {k[len(dotted) + 1 :]: v for k, v in settings.items() if k.startswith(f"{dotted}.")}
+    return below or settings.get(dotted, default)
+
+
+def sections(settings: Mapping) -> dict:
+    """Flat settings as nested sections, the form in which records show them."""
+    tree: dict = {}
+    for dotted, value in sorted(settings.items()):
+        *above, name = dotted.split(".")
+        at = tree
+        for part in above:
+            at = at.setdefault(part, {})
+        at[name] = value
+    return tree
 
 
 def expand_grid_frame(rows: DataFrame, grid: Mapping[str, Sequence | Column]) -> DataFrame:
-    """The same product as a table: every row of ``rows`` times every combination of the values.
+    """A grid as a table: every row of ``rows`` times every combination of the values.
 
     Each parameter is one ``explode`` of an array (a list of literals or an array column), so a grid
     over a table needs no cross join.  ``grid_pos`` numbers the combinations, last key fastest.
@@ -112,21 +113,26 @@ def scenario_list(
     splits: Iterable[Mapping] | None = None,
     seeds: Sequence[int] | int | None = None,
 ) -> list[dict]:
-    """Splits x grid x seeds in that order of nesting, as effective configurations with metadata."""
-    overrides = expand_grid(grid) or [{}]
-    seed_list = [seeds] if seeds is None or isinstance(seeds, int) else list(seeds)
-    out = []
-    for fold, split in enumerate(list(splits or [{}]), start=1):
-        window = {k: str(split[k])[:10] for k in ("start", "end") if split.get(k) is not None}
-        for grid_override in overrides:
-            for seed in seed_list:
-                cfg = overlay(overlay(config, base_overrides), grid_override)
-                cfg = overlay(cfg, {"backtest": {**window, **({} if seed is None else {"seed": int(seed)})}})
-                out.append(
-                    {"run_id": f"run-{len(out) + 1:04d}", "fold": fold, "config": cfg,
-                     "grid_overrides": grid_override, "base_overrides": base_overrides or {}, "run_seed": seed}
-                )
-    return out
+    """Every split with every combination of grid values and seeds: flat settings and where they come from.
+
+    Runs are numbered with the seed varying fastest, then the last grid setting; splits vary slowest.
+    """
+    base = settings_of(config, base_overrides)
+    points = [dict(zip(grid, values, strict=True)) for values in product(*grid.values())] if grid else [{}]
+    windows = [{f"backtest.{edge}": str(split[edge])[:10] for edge in ("start", "end") if split.get(edge)} for split in splits or ({},)]
+    draws = seeds if isinstance(seeds, Sequence) else (seeds,)
+    runs = enumerate(product(enumerate(windows, 1), points, draws), 1)
+    return [
+        {
+            "run_id": f"run-{number:04d}",
+            "fold": fold,
+            "config": settings_of(base, point, window, {} if draw is None else {"backtest.seed": int(draw)}),
+            "grid_overrides": flatten(point),
+            "base_overrides": flatten(base_overrides),
+            "run_seed": draw,
+        }
+        for number, ((fold, window), point, draw) in runs
+    ]
 
 
 def _typed(kind: str, value):
@@ -146,18 +152,19 @@ def _date(value):
 def typed_row(scenario: Mapping) -> dict:
     """The settings of one scenario under their column names."""
     row = {"run_id": scenario["run_id"], "fold": scenario.get("fold", 1)}
+    settings = flatten(scenario["config"])
     for column, dotted, kind, default in FIELDS:
-        found = next((v for v in (lookup(scenario["config"], d) for d in dotted) if v is not None), None)
-        disabled = column == "gross_limit" and "gross_exposure_limit" in (scenario["config"].get("risk") or {})
+        found = next((v for v in (setting(settings, d) for d in dotted) if v is not None), None)
+        disabled = column == "gross_limit" and "risk.gross_exposure_limit" in settings
         row[column] = _typed(kind, found if found is not None else (None if disabled else default))
     if row["start"] is None or row["end"] is None:
-        raise ValueError("a scenario needs backtest.start and backtest.end")
+        raise ValueError(f"{row['run_id']}: backtest.start is {row['start']}, backtest.end is {row['end']}; set both")
     if any(lb <= 0 for lb in row["lookbacks"]):
-        raise ValueError("lookbacks must be positive integers")
+        raise ValueError(f"{row['run_id']}: signals.momentum.lookbacks has {min(row['lookbacks'])}, which is not above 0")
     if row["vol_model"] not in ("ewma", "rolling"):
-        raise ValueError(f"unknown volatility model: {row['vol_model']}")
+        raise ValueError(f"{row['run_id']}: risk.vol_model is {row['vol_model']!r}, neither 'ewma' nor 'rolling'")
     if row["risk_allocator"] not in ("proportional", "erc", "equal_active"):
-        raise ValueError(f"unknown risk allocator: {row['risk_allocator']}")
+        raise ValueError(f"{row['run_id']}: no allocator has the name {row['risk_allocator']!r}")
     return row
 
 
@@ -184,10 +191,10 @@ def fingerprint(rows: DataFrame, exclude: Sequence[str] = ("run_id",)) -> Column
 
 def scenario_metadata(spark: SparkSession, scenarios: Sequence[Mapping], hashes: DataFrame) -> DataFrame:
     """Overrides (JSON), seed and fingerprint per run."""
-    text = lambda part: json.dumps(part, sort_keys=True, default=str)
+    text = lambda part: json.dumps(sections(part), sort_keys=True, default=str)
     rows = [
         (s["run_id"], text(s["grid_overrides"]), text(s["base_overrides"]),
-         text(overlay(s["base_overrides"], s["grid_overrides"])), s["run_seed"])
+         text(settings_of(s["base_overrides"], s["grid_overrides"])), s["run_seed"])
         for s in scenarios
     ]
     meta = small_table(

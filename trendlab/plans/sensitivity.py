@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.metrics import METRICS
 from ..sources.local import small_table
 from .backtest import Backtest
-from .scenarios import nested, overlay, scenario_list, typed_row
+from .scenarios import scenario_list, settings_of, typed_row
 
 
 def ranked(summary: DataFrame, scenarios: DataFrame, metric: str = "sharpe") -> DataFrame:
@@ -32,12 +32,12 @@ def metric_sensitivity(
 ) -> DataFrame:
     """``(label, metric)`` for each value of one dotted setting, as a single sweep."""
     if metric not in METRICS:
-        raise KeyError(f"unknown metric: {metric}")
+        raise KeyError(f"no summary column {metric!r} to rank or plot by")
     values = list(values)
     adapt = value_adapter or (lambda v: v)
     rows = []
     for i, value in enumerate(values):
-        override = overlay(base_overrides, nested(parameter, adapt(value)))
+        override = settings_of(base_overrides, {parameter: adapt(value)})
         scenario = scenario_list(config, base_overrides=override)[0]
         rows.append(typed_row({**scenario, "run_id": f"run-{i + 1:04d}"}))
     sweep = Backtest(

@@ -18,10 +18,10 @@ def folds(
     equi-join on the position.
     """
     if insample <= 0 or oos <= 0:
-        raise ValueError("insample and oos windows must be positive")
+        raise ValueError(f"a fold of {insample} + {oos} sessions: each part needs at least one")
     step = step or oos
     if step <= 0:
-        raise ValueError("step must be positive")
+        raise ValueError(f"folds cannot advance by {step} sessions")
     days = sessions.select("ts").distinct()
     # One row per trading day: the only place where a whole calendar is numbered in one task.
     numbered = days.select("ts", (F.row_number().over(Window.orderBy("ts")) - 1).alias("pos"))

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import logging
+import re
+from bisect import bisect_left
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scaling import nan_to_null
+from ..operators.calendar import align, validate
+from ..operators.quality import assert_clean
 from .local import small_table
+from .sinks import stored
 
 logger = logging.getLogger(__name__)
 
@@ -20,6 +27,9 @@ PRICE_COLUMNS = ("settle", "close", "adj_close", "price", "last")
 
 FORMATS = ("csv", "parquet")
 
+# Words that stand for a missing price in CSV files, in any case.
+MISSING_WORDS = ("", "-", "#n/a", "n/a", "<na>", "na", "nan", "-nan", "null", "none")
+
 
 def price_column(frame: DataFrame) -> str:
     """The price column of a file: a known name, else the only numeric column."""
@@ -69,7 +79,10 @@ def read_prices(
         # the bound is a day: times inside the last day still count
         frame = frame.filter(day < F.date_add(F.lit(str(end)[:10]).cast("date"), 1))
     name = F.col(symbol_column).alias("symbol") if symbol_column else F.input_file_name().alias("path")
-    return frame.select(name, F.to_date("date").alias("ts"), nan_to_null(F.col(value)).alias("close"))
+    price = F.col(value)
+    if fmt == "csv":  # any other text that is no number still fails
+        price = F.when(~F.lower(F.trim(value)).isin(*MISSING_WORDS), price)
+    return frame.select(name, F.to_date("date").alias("ts"), nan_to_null(price).alias("close"))
 
 
 def combine_sources(sources: Sequence[DataFrame]) -> DataFrame:
@@ -89,9 +102,13 @@ def load_universe_prices(
 ) -> DataFrame:
     """Read every instrument from its own source (``data_source`` csv or parquet, path ``data_symbol``).
 
-    One scan per format covers all files of that format; rows find their symbol by file.  Unknown
-    sources are skipped with a warning; a missing path raises.
+    One scan per format covers all files of that format; rows find their symbol by file.  A path may be relative,
+    hold ``..`` or wildcards, and name a file or a folder of any depth.  Unknown sources are skipped with a warning;
+    a missing path raises, and so does an instrument whose path holds no file.
     """
+    symbols = [item["symbol"] for item in instruments]
+    if repeated := {s for s in symbols if symbols.count(s) > 1}:
+        raise ValueError(f"instruments listed twice: {sorted(repeated)}")
     by_format: dict[str, list[Mapping]] = {}
     for item in instruments:
         by_format.setdefault(str(item.get("data_source", "yahoo")).lower(), []).append(item)
@@ -112,23 +129,18 @@ def load_universe_prices(
             shapes.setdefault(shape, []).append(item)
         for (column, _), same in shapes.items():
             rows = read_prices(spark, [i["data_symbol"] for i in same], fmt, start, end, column=column)
-            names = small_table(
-                spark,
-                [(i["symbol"], str(i["data_symbol"]).rstrip("/").rsplit("/", 1)[-1], str(i["data_symbol"])) for i in same],
-                "symbol string, file string, location string",
-            )
-            frames.append(_named(rows, names))
+            frames.append(_named(rows, _owners(spark, rows, same)))
     if not frames:
         return small_table(spark, [], "symbol string, ts date, close double")
-    return combine_sources(frames)
+    return reduce(DataFrame.unionByName, frames)  # each symbol has one source, so no row competes with another
 
 
 def _open(spark: SparkSession, paths: Sequence[str], fmt: str, infer: bool = False) -> DataFrame:
     """The files as a table; CSV columns stay text unless ``infer``, so only the header is read here."""
     try:
         if fmt == "csv":
-            return spark.read.csv(list(paths), header=True, inferSchema=infer)
-        return spark.read.parquet(*paths)
+            return spark.read.csv(list(paths), header=True, inferSchema=infer, recursiveFileLookup=True)
+        return spark.read.parquet(*paths, recursiveFileLookup=True)
     except AnalysisException as exc:
         raise FileNotFoundError(f"price files {list(paths)} not found") from exc
 
@@ -140,11 +152,56 @@ def _resolve_column(spark: SparkSession, paths: Sequence[str], fmt: str, frame:
     return price_column(frame)
 
 
-def _named(rows: DataFrame, names: DataFrame) -> DataFrame:
-    """Match rows to instruments by path: a file's own path, or the folder it lies in."""
-    file_path = F.regexp_replace(F.url_decode("path"), "^[a-zA-Z0-9]+:/*", "/")
-    rows = rows.withColumn("_file", file_path).withColumn("_dir", F.regexp_replace("_file", "/[^/]*$", ""))
-    location = F.regexp_replace(F.regexp_replace("location", "^[a-zA-Z0-9]+:/*", "/"), "/+$", "")
-    known = names.select("symbol", location.alias("_loc"))
-    candidates = F.explode(F.array("_file", "_dir")).alias("_loc")
-    return rows.select("ts", "close", candidates).join(known, "_loc").select("symbol", "ts", "close")
+def _owners(spark: SparkSession, rows: DataFrame, instruments: Sequence[Mapping]) -> DataFrame:
+    """``(file, symbol)`` for every file of the scan, from the file list the scan already holds.
+
+    Instrument paths are resolved by the file system, so any way to write one leads to the same files.
+    """
+    files = sorted({_plain(f) for f in rows.inputFiles()})
+    pairs, jvm = [], spark._jvm
+    for item in instruments:
+        path = jvm.org.apache.hadoop.fs.Path(str(item["data_symbol"]))
+        system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        found = system.globStatus(system.makeQualified(path)) or ()
+        places = [_plain(status.getPath().toUri().toString()).rstrip("/") for status in found]
+        own = [f for place in places for f in files[bisect_left(files, place) : bisect_left(files, f"{place}0")] if f == place or f.startswith(f"{place}/")]
+        if not own:
+            raise FileNotFoundError(f"no price file for instrument {item['symbol']!r} under {item['data_symbol']!r}")
+        pairs += [(f, item["symbol"]) for f in own]
+    return small_table(spark, pairs, "file string, symbol string")
+
+
+def _plain(uri: str) -> str:
+    """A file's address decoded, with one form for local files."""
+    return re.sub("^file:/+", "file:/", unquote(uri))
+
+
+def _named(rows: DataFrame, owners: DataFrame) -> DataFrame:
+    """Rows under the symbol that owns their file."""
+    file = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), "^file:/+", "file:/")
+    return rows.withColumn("file", file).join(owners, "file").select("symbol", "ts", "close")
+
+
+def load_panel(
+    spark: SparkSession,
+    instruments: Sequence[Mapping],
+    start,
+    end,
+    holidays=None,
+    min_price: float | None = 0.0,
+    max_consecutive_missing: int = 3,
+) -> DataFrame:
+    """Prices of all instruments, checked, aligned to the sessions of ``[start, end]`` and checked again.
+
+    The prices as read must have one row per instrument and day and no price at or below ``min_price``; the aligned
+    panel, before gaps are filled, no gap of more than ``max_consecutive_missing`` sessions, and some price for each
+    instrument.  The rows that were read are written once, as every check and the panel start from them.
+    """
+    raw = stored(load_universe_prices(spark, instruments, start, end), "prices")
+    assert_clean(raw.where("close is not null"), min_price, max_consecutive_missing=-1)
+    validate(raw)
+    present = {r["symbol"] for r in raw.where("close is not null").select("symbol").distinct().collect()}  # at most the instruments
+    if silent := sorted({i["symbol"] for i in instruments if str(i.get("data_source", "")).lower() in FORMATS} - present):
+        raise ValueError(f"instruments without a price between {start} and {end}: {silent}")
+    assert_clean(align(raw, start, end, holidays, fill=False), min_price, max_consecutive_missing)
+    return align(raw, start, end, holidays)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Mapping
@@ -46,17 +47,38 @@ def write_bundle(
     return {name: f"{path}/{name}" for name in (*tables, "summary", "scenarios")}
 
 
+#: Folder of intermediates of each Spark application.
+_FOLDERS: dict[str, str] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh location under the session's shared ``spark.checkpoint.dir``.
+    """A fresh location under the session's shared ``spark.checkpoint.dir``, in one folder per application.
 
-    A folder of this machine is used only where no shared one is set and the master is local.
+    A folder of this machine is used only where no shared one is set and the master is local.  :func:`release` removes
+    the folder; the end of the driver's process does so too.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+            shared = tempfile.gettempdir()
+        _FOLDERS[app] = f"{shared.rstrip('/')}/{app}-{uuid.uuid4().hex}"
+        atexit.register(_release, app, spark._jvm, spark._jsc.hadoopConfiguration())
+    return f"{_FOLDERS[app]}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the intermediates of this application; tables that read them can't be read again."""
+    _release(spark.sparkContext.applicationId, spark._jvm, spark._jsc.hadoopConfiguration())
+
+
+def _release(app: str, jvm, conf) -> None:
+    folder = _FOLDERS.pop(app, None)
+    if folder is not None:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def stored(table: DataFrame, name: str) -> DataFrame:
