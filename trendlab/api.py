@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from .plans.scenarios import flatten, scenario_list, scenario_metadata, setting,
 from .plans.sensitivity import ranked
 from .plans.walkforward import folds, walk_forward_summary
 from .sources.local import small_table
+from .sources.sinks import stored
 
 
 def _volume_source(config: Mapping, adv):
@@ -110,10 +112,11 @@ class WalkForward:
     backtest: Backtest
     folds: DataFrame
 
-    @property
+    @cached_property
     def nav(self) -> DataFrame:
+        """The NAV of every fold's run, written once: phases and whole runs are summarised from it."""
         runs = self.backtest.scenarios.select("run_id", "fold")
-        return self.backtest.nav.join(runs, "run_id")
+        return stored(self.backtest.nav.join(runs, "run_id"), "fold-nav")
 
     @property
     def summary(self) -> DataFrame:

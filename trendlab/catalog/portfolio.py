@@ -291,6 +291,13 @@ def h12(spark, sf):
     return base_run(spark, sf).ledger
 
 
+@register("h12_nav_sparse", "run_id s, ts d, nav m3, asset_value m3", sql("select * from ledger", "ledger"))
+def h12_sparse(spark, sf):
+    """The same run from the bars as traded: sessions without a bar have no row."""
+    bars = panel.stored_bars(spark, sf).select("symbol", "ts", "close", F.col("volume").alias("adv"))
+    return build(spark, CONFIG, bars, panel.universe(spark), scenario_list(CONFIG)).ledger
+
+
 @register("h13_daily_pnl", "run_id s, ts d, pnl m3", sql("select * from ledger", "ledger"))
 def h13(spark, sf):
     return base_run(spark, sf).ledger

@@ -221,48 +221,49 @@ def _priced(fills: DataFrame) -> DataFrame:
     )
 
 
-def execute(book: DataFrame, roll_dates: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """``(orders, fills)`` of the whole book, still without order ids (see :func:`trade_log`).
+def events(book: DataFrame, roll_dates: DataFrame | None = None) -> DataFrame:
+    """Orders (``kind`` o) and fills (f) of the whole book in one table, still without order ids.
 
-    Series whose rolls meet a binding capacity go through a keyed fold; all others are expressions.
+    Series whose rolls meet a binding capacity go through a keyed fold that gives both kinds at once; all others are
+    expressions.
     """
     curve = service_curve(book, roll_dates)
-    order_cols = [*KEYS, "symbol_pos", "submitted", "leg", "qty", "reason", "target"]
-    if roll_dates is None:
-        orders = curve.filter("delta <> 0").select(
-            *KEYS, "symbol_pos", F.col("ts").alias("submitted"), F.lit(2).alias("leg"),
-            F.col("delta").alias("qty"), F.lit("rebalance").alias("reason"), "target",
-        )
-        return orders, _priced(_pieces(curve))
-
-    whole = Window.partitionBy(*KEYS)
-    late = F.max(F.col("arrived") - F.col("served")).over(whole) > 0
-    rolled = F.max(F.abs("roll_qty")).over(whole) > 0
-    split = curve.withColumn("_fold", late & rolled)
-
-    plain = split.filter("not _fold")
-    legs = F.array(
-        F.when(F.col("roll_qty") != 0, _leg(0, -F.col("roll_qty"), "roll", None)),
-        F.when(F.col("roll_qty") != 0, _leg(1, F.col("roll_qty"), "roll", None)),
-        F.when(F.col("delta") != 0, _leg(2, F.col("delta"), "rebalance", F.col("target"))),
-    )
+    legs = [F.when(F.col("delta") != 0, _leg(2, F.col("delta"), "rebalance", F.col("target")))]
+    if roll_dates is not None:
+        whole = Window.partitionBy(*KEYS)
+        late = F.max(F.col("arrived") - F.col("served")).over(whole) > 0
+        rolled = F.max(F.abs("roll_qty")).over(whole) > 0
+        curve = curve.withColumn("_fold", late & rolled)
+        live = F.col("roll_qty") != 0
+        legs += [F.when(live, _leg(k, sign * F.col("roll_qty"), "roll", None)) for k, sign in ((0, -1), (1, 1))]
+    plain = curve if roll_dates is None else curve.filter("not _fold")
     orders = plain.select(
-        *KEYS, "symbol_pos", F.col("ts").alias("submitted"),
-        F.explode(F.filter(legs, lambda x: x.isNotNull())).alias("l"),
-    ).select(*KEYS, "symbol_pos", "submitted", "l.*").select(order_cols)
-
+        *KEYS, "symbol_pos", F.col("ts").alias("submitted"), F.explode(F.filter(F.array(*legs), lambda x: x.isNotNull())).alias("l")
+    ).select(F.lit("o").alias("kind"), *KEYS, "symbol_pos", "submitted", "l.*")
+    out = orders.unionByName(_pieces(plain).withColumn("kind", F.lit("f")), allowMissingColumns=True)
+    if roll_dates is None:
+        return out
     scheduled = roll_dates.select("symbol", "ts").distinct().withColumn("_roll", F.lit(True))
     folded = (
-        split.filter("_fold")
+        curve.filter("_fold")
         .join(scheduled, ["symbol", "ts"], "left")
         .withColumn("_roll", F.coalesce("_roll", F.lit(False)))
         .select(*KEYS, "symbol_pos", "ts", "close", "adv", "point_value", *COST_COLUMNS, "target", "_roll")
         .groupBy(*KEYS)
         .applyInPandas(_work_queue, _EVENT_SCHEMA)
     )
-    orders = orders.unionByName(folded.filter("kind = 'o'").select(order_cols))
-    fills = _pieces(plain)
-    return orders, _priced(fills.unionByName(folded.filter("kind = 'f'").select(fills.columns)))
+    return out.unionByName(folded)
+
+
+def orders_and_fills(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two kinds of :func:`events`; fills with their price and costs."""
+    orders = table.filter("kind = 'o'").select(*KEYS, "symbol_pos", "submitted", "leg", "qty", "reason", "target")
+    return orders, _priced(table.filter("kind = 'f'"))
+
+
+def execute(book: DataFrame, roll_dates: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(orders, fills)`` of the whole book, still without order ids (see :func:`trade_log`)."""
+    return orders_and_fills(events(book, roll_dates))
 
 
 def _leg(leg: int, qty: Column, reason: str, target: Column | None) -> Column:

@@ -7,6 +7,8 @@ numbers or scenario columns, which is how one plan sizes every scenario of a swe
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -136,10 +138,12 @@ def size_positions(
     max_weight=None,
     keys: Keys = ("symbol",),
     start: str | None = None,
+    carry: Sequence[str] | None = None,
 ) -> DataFrame:
     """From ``signal``, ``vol``, ``close``, ``point_value`` (and ``sector``) to ``target`` contracts.
 
-    Order: budget, sector caps, volatility target, clip, gross limit, contracts, no-trade band.
+    Order: budget, sector caps, volatility target, clip, gross limit, contracts, no-trade band.  ``carry`` names the
+    columns that are still needed afterwards, so that the band does not move the others; None keeps all.
     """
     out = risk_budget(panel, allocator, keys)
     if sector_cap is not None:
@@ -148,6 +152,9 @@ def size_positions(
     out = clip_weight(out, max_weight)
     out = limit_gross(out, gross_limit, keys)
     out = contracts_for(out, capital)
+    if carry is not None:
+        used = [c for c in (step, threshold, start) if isinstance(c, str)]
+        out = out.select(*dict.fromkeys((*keys, "ts", *carry, "contracts", *used)))
     return no_trade_band(out, threshold, step, keys, start)
 
 

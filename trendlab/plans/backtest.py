@@ -111,7 +111,7 @@ def window_panel(spark: SparkSession, prices: DataFrame, windows: Sequence[tuple
 class Backtest:
     """Result tables of one or many runs.
 
-    All are lazy but two: ``book`` and ``raw_fills`` have several readers each and are written to
+    All are lazy but two: ``book`` and the orders and fills have several readers each and are written to
     the shared scratch folder on first use, which also cuts the lineage of a long plan.
     """
 
@@ -206,6 +206,7 @@ class Backtest:
             allocator=F.col("risk_allocator"),
             max_weight=F.col("max_weight") if any(r["max_weight"] for r in self.rows) else None,
             keys=_RUN,
+            carry=("symbol_pos", "close", "adv", "point_value", "starting_nav", *execution.COST_COLUMNS),
         )
         return sized.select(
             *_RUN, "ts", "symbol_pos", "close", "adv", "point_value", "starting_nav", *execution.COST_COLUMNS, "target"
@@ -221,12 +222,13 @@ class Backtest:
 
     @cached_property
     def _executed(self) -> tuple[DataFrame, DataFrame]:
-        return execution.execute(self.book, self.roll_dates)
+        """Orders and fills before numbering, from one table of both that is written once."""
+        return execution.orders_and_fills(stored(execution.events(self.book, self.roll_dates), "events"))
 
-    @cached_property
+    @property
     def raw_fills(self) -> DataFrame:
-        """Fills before numbering, written once: all that positions, costs and NAV need."""
-        return stored(self._executed[1], "fills")
+        """Fills before numbering: all that positions, costs and NAV need."""
+        return self._executed[1]
 
     @cached_property
     def numbered_orders(self) -> DataFrame:
