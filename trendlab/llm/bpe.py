@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from trendlab.llm.common import slices
 
 #: Words whose tokens a task remembers; beyond it the memory starts anew.
-REMEMBERED_WORDS = 1 << 18
+REMEMBERED_WORDS = 1 << 17
 #: Bytes of text whose new words are merged together.
-PARTITION_BYTES = 1 << 24
+PARTITION_BYTES = 1 << 23
 
 
 def byte_symbols() -> list[str]:

@@ -24,7 +24,9 @@ MORE_PRECISION, MORE_SETS = 0.95, 10
 #: Lengths of word beginnings that are features beside whole words.
 PREFIXES = (4, 5, 6, 8)
 #: Distinct words whose restored form a task remembers; beyond it the memory starts anew.
-REMEMBERED_WORDS = 1 << 18
+REMEMBERED_WORDS = 1 << 17
+#: Bytes of text whose features are counted together in training.
+TRAIN_BYTES = 1 << 19
 
 # Letters that a character may stand for, and characters that may stand between the letters of a word.
 LEET = {
@@ -213,8 +215,10 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clea
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restored: dict[str, str] = {}
-        for batch in slices(batches):
+        for batch in slices(batches, TRAIN_BYTES):
             counts: dict[int, Counter[str]] = {0: Counter(), 1: Counter()}
+            if len(restored) > REMEMBERED_WORDS:
+                restored.clear()
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = set()
                 for word in set(words_of(text)):
