@@ -13,7 +13,7 @@ from ..plans.scenarios import scenario_list, settings_of, typed_row
 from ..sources import sinks
 from . import panel
 from .registry import register
-from .runs_sql import backtest_sql, runs_cte
+from .runs_sql import WALK, backtest_sql, runs_cte
 
 # The run of these queries; its date range covers the whole panel.
 CONFIG = {
@@ -197,9 +197,12 @@ def h3_fills(spark, sf):
     return _rolling_run(spark, sf, execution={"adv_limit_pct": 0.0}).fills
 
 
-@register("h5_fills_rolls_capped", "run_id s, ts d, symbol s, order_id i, qty 6, reason s, partial b, cost 6")
+@register(
+    "h5_fills_rolls_capped", "run_id s, ts d, symbol s, order_id i, qty 6, reason s, partial b, cost 6",
+    backtest_sql("select * from walked_fills", "book", RUNS, _ROLL_DAYS, WALK),
+)
 def h5_rolls(spark, sf):
-    """Rolls under a binding capacity: path dependent, so there is no SQL (tested against a loop)."""
+    """Rolls under a binding capacity; the SQL walks the sessions one by one."""
     return _rolling_run(spark, sf).fills
 
 
@@ -222,7 +225,7 @@ def h5_curve(spark, sf):
 
 @register(
     "h5_fills", "run_id s, ts d, symbol s, submitted d, qty 6, partial b",
-    sql("select run_id, ts, symbol, submitted, qty, partial from costed", "fills"),
+    sql("select run_id, ts, symbol, submitted, qty, partial from walked_fills", "book", "rolls as (select symbol, ts from book where false)", WALK),
 )
 def h5(spark, sf):
     return execution.execute(base_run(spark, sf).book)[1]

@@ -147,6 +147,48 @@ fills as (
   from overlap),
 costed as (select *, commission + slippage as cost, 'rebalance' as reason from fills)"""
 
+# Execution day by day, independent of the closed form above: each series walks its sessions with its queue of open
+# orders as a list.  ``rolls`` (symbol, ts) names the roll dates.
+_QUEUE = "struct(open double, sub bigint, leg integer)[]"
+WALK = f"""steps as (
+  select b.*, r.ts is not null as due, lead(b.ts) over (partition by b.run_id, b.symbol order by b.i) is null as final,
+    case when b.advp > 0 then greatest(b.advp * b.adv, 0) else 1e300 end as room
+  from book b left join (select distinct symbol, ts from rolls) r on r.symbol = b.symbol and r.ts = b.ts),
+walk as (
+  select run_id, symbol, i, 0.0::double as position, case when final or abs(target) <= 1e-8 then 0.0 else target end as goal,
+    (case when final or abs(target) <= 1e-8 then [] else [{{'open': target, 'sub': i, 'leg': 2}}] end)::{_QUEUE} as sent,
+    (case when final or abs(target) <= 1e-8 then [] else [{{'open': target, 'sub': i, 'leg': 2}}] end)::{_QUEUE} as queue,
+    []::struct(sub bigint, leg integer, qty double, partial boolean)[] as done
+  from steps where i = 0
+  union all
+  select run_id, symbol, i, position, case when wants then target else goal end, sent, list_concat(rest, sent), done from (
+    select *, list_concat(
+        (case when due and not final and abs(position) > 1e-8
+          then [{{'open': -position, 'sub': i, 'leg': 0}}, {{'open': position, 'sub': i, 'leg': 1}}] else [] end)::{_QUEUE},
+        (case when wants then [{{'open': target - goal, 'sub': i, 'leg': 2}}] else [] end)::{_QUEUE}) as sent
+    from (
+      select run_id, symbol, i, due, final, target, goal, not final and abs(target - goal) > 1e-8 as wants,
+        position + coalesce(list_sum(list_transform(cut, lambda c: c.qty)), 0) as position,
+        list_transform(list_filter(cut, lambda c: abs(c.qty) > 1e-9), lambda c: {{'sub': c.sub, 'leg': c.leg, 'qty': c.qty, 'partial': abs(c.left) > 1e-9}}) as done,
+        list_transform(list_filter(cut, lambda c: abs(c.left) > 1e-9), lambda c: {{'open': c.left, 'sub': c.sub, 'leg': c.leg}}) as rest
+      from (
+        select n.run_id, n.symbol, n.i, n.due, n.final, n.target, h.goal, h.position,
+          list_transform(range(1, len(h.queue) + 1), lambda k: {{'sub': h.queue[k].sub, 'leg': h.queue[k].leg,
+            'qty': sign(h.queue[k].open) * greatest(0, least(abs(h.queue[k].open), n.room - coalesce(list_sum(list_transform(h.queue[1:k-1], lambda x: abs(x.open))), 0))),
+            'left': h.queue[k].open - sign(h.queue[k].open) * greatest(0, least(abs(h.queue[k].open), n.room - coalesce(list_sum(list_transform(h.queue[1:k-1], lambda x: abs(x.open))), 0)))}}) as cut
+        from walk h join steps n on n.run_id = h.run_id and n.symbol = h.symbol and n.i = h.i + 1)))),
+walked_orders as (
+  select w.run_id, w.symbol, w.o.sub as sub, w.o.leg as leg, b.ts as submitted,
+    row_number() over (partition by w.run_id order by b.ts, w.o.leg = 2, b.symbol_pos, w.o.leg) as order_id
+  from (select run_id, symbol, i, unnest(sent) as o from walk) w join book b on b.run_id = w.run_id and b.symbol = w.symbol and b.i = w.i),
+walked_fills as (
+  select b.run_id, b.symbol, b.ts, b.close, b.adv, b.pv, o.order_id, o.submitted, w.d.qty as qty, w.d.partial as partial,
+    case when w.d.leg = 2 then 'rebalance' else 'roll' end as reason, b.comm * abs(w.d.qty) + abs(w.d.qty) * b.tick *
+      (case when b.adv <= 0 then greatest(b.mint, b.k) else greatest(b.mint, b.k * pow(least(abs(w.d.qty) / b.adv, 1.0), b.alpha)) end) as cost
+  from (select run_id, symbol, i, unnest(done) as d from walk) w
+  join book b on b.run_id = w.run_id and b.symbol = w.symbol and b.i = w.i
+  join walked_orders o on o.run_id = w.run_id and o.symbol = w.symbol and o.sub = w.d.sub and o.leg = w.d.leg)"""
+
 LEDGER = f"""positions as (
   select b.run_id, b.symbol, b.ts, b.i, b.close, b.pv, b.sector, b.nav0, sum(coalesce(f.q, 0)) over (partition by b.run_id, b.symbol order by b.i rows unbounded preceding) as pos
   from book b left join (select run_id, symbol, ts, sum(qty) as q from costed group by 1, 2, 3) f using (run_id, symbol, ts)),

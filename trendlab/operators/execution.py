@@ -183,7 +183,7 @@ def _work_queue(pdf: pd.DataFrame) -> pd.DataFrame:
         room = max(day["adv_limit_pct"] * day["adv"], 0.0) if day["adv_limit_pct"] > 0 else float("inf")
         for item in queue:
             take = min(abs(item["open"]), room)
-            if take <= 1e-12:
+            if take <= _MIN_FILL:
                 break
             signed = take if item["open"] > 0 else -take
             item["open"] -= signed
