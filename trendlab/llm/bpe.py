@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendlab.llm.common import slices
+from trendlab.llm.common import gathered, slices, small_batches
 
 #: Words whose tokens a task remembers; beyond it the memory starts anew.
 REMEMBERED_WORDS = 1 << 17
@@ -214,7 +214,7 @@ _DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sh
 
 def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: Tokenizer) -> Iterator[pa.RecordBatch]:
     memory = Memory(tokenizer)
-    for batch in slices(batches, PARTITION_BYTES):
+    for batch in gathered(batches, PARTITION_BYTES):
         ids = memory.encode([t or "" for t in batch.column(1).to_pylist()])
         offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
         flat = np.concatenate([np.zeros(0, np.uint32), *ids]).astype(np.int32)
@@ -245,13 +245,13 @@ def encode(docs: DataFrame, config: str) -> DataFrame:
     """doc_id and ids (array of int) of every row; null text is empty. Repeated rows come back each, an empty table
     gives no rows, other columns are not read."""
     get = _tokenizer(docs, config)
-    return _texts(docs).mapInArrow(lambda batches: _encoded(batches, get()), "doc_id long, ids array<int>")
+    return small_batches(_texts(docs)).mapInArrow(lambda batches: _encoded(batches, get()), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, config: str) -> DataFrame:
     """The rows of ``encoded`` (doc_id, ids) with their decoded text; null ids are empty."""
     get = _tokenizer(encoded, config)
-    return encoded.select("doc_id", "ids").mapInArrow(lambda batches: _decoded(batches, get()), "doc_id long, ids array<int>, decoded string")
+    return small_batches(encoded.select("doc_id", "ids")).mapInArrow(lambda batches: _decoded(batches, get()), "doc_id long, ids array<int>, decoded string")
 
 
 def ids_digest(ids: Iterable[int]) -> str:
@@ -262,7 +262,7 @@ def ids_digest(ids: Iterable[int]) -> str:
 def digests(docs: DataFrame, config: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids of every row: all in one pass over the texts."""
     get = _tokenizer(docs, config)
-    return _texts(docs).mapInArrow(
+    return small_batches(_texts(docs)).mapInArrow(
         lambda batches: _digested(_decoded(_encoded(batches, get()), get()), with_ids),
         "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else ""),
     )

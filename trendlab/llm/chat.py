@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendlab.llm.common import utf8
+from trendlab.llm.common import small_batches, utf8
 
 #: The template: ``<s>role\ntext</s>\n`` per turn. Fixed values.
 OPEN, ROLE_END, CLOSE = "<s>", "\n", "</s>\n"
@@ -124,7 +124,7 @@ def format_conversations(conversations: DataFrame, part_bytes: int = PART_BYTES)
         F.col("turn").cast("long").alias("turn"),
     )
     ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn")
-    return ordered.mapInArrow(run, "conv_id long, part int, formatted string, loss array<struct<start: long, end: long>>")
+    return small_batches(ordered).mapInArrow(run, "conv_id long, part int, formatted string, loss array<struct<start: long, end: long>>")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -172,4 +172,4 @@ def digests(formatted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(row(at), out, strict=True)], schema=out)
 
     fields = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return formatted.mapInArrow(run, fields)
+    return small_batches(formatted).mapInArrow(run, fields)

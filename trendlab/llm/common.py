@@ -22,6 +22,18 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+#: Rows of an Arrow batch between Spark and Python: texts are long, and both sides hold whole batches outside the heap.
+BATCH_ROWS = 1000
+
+
+def small_batches(rows: DataFrame) -> DataFrame:
+    """``rows``, in a session whose Arrow batches have at most ``BATCH_ROWS`` rows from now on."""
+    conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+    return rows
+
+
 def tasks(spark: SparkSession) -> int:
     """Partitions of a shuffle in this session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -51,6 +63,20 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Itera
             yield batch.slice(start, rows)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold ``limit`` bytes; larger ones are cut as by :func:`slices`."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in slices(batches, limit):
+        held.append(batch)
+        size += batch.nbytes
+        if size >= limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def per_text(function: Callable[[bytes], tuple], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A mapInArrow function: ``function(text as UTF-8)`` gives the values that follow the first column."""
 

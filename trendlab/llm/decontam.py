@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trendlab.llm.common import slices
+from trendlab.llm.common import slices, small_batches
 
 #: Words that make a window; a shorter item is one window of its own.
 WINDOW = 10
@@ -190,30 +190,44 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     schema = T.StructType(
         [*docs.schema.fields, T.StructField("_hits", T.StructType.fromDDL("n_words long, starts array<long>, ends array<long>, items array<long>"))]
     )
-    at = [f.name for f in docs.schema.fields].index("text")
-    found = automata(benchmark, window, block_words)
+    search = _searcher(docs, benchmark, window, block_words)
     kind = pa.struct(
         [("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.int64()))]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in search(batches):
+            rows = [{"n_words": n, "starts": [s for s, _ in spans], "ends": [e for _, e in spans], "items": items} for n, spans, items in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, type=kind)], names=schema.names)
+
+    return small_batches(docs).mapInArrow(run, schema)
+
+
+Found = list[tuple[int, list[tuple[int, int]], list[int]]]
+
+
+def _searcher(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, Found]]]:
+    """A function that gives each batch with the word count, merged hit spans and items of its texts."""
+    at = docs.schema.names.index("text")
+    blocks = automata(benchmark, window, block_words)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Found]]:
         for batch in slices(batches):
-            rows = []
+            found: Found = []
             for value in batch.column(at):
                 words = words_of((value.as_py() or "").encode())
                 spans: list[tuple[int, int]] = []
                 items: set[int] = set()
-                for block in found:
+                for block in blocks:
                     automaton = block.value
                     codes = np.fromiter((automaton.vocabulary.get(w, -1) for w in words), np.int64, len(words))
                     more, ids = automaton.search(codes)
                     spans += more
                     items |= ids
-                spans = merged(spans)
-                rows.append({"n_words": len(words), "starts": [s for s, _ in spans], "ends": [e for _, e in spans], "items": sorted(items)})
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, type=kind)], names=schema.names)
+                found.append((len(words), merged(spans), sorted(items)))
+            yield batch, found
 
-    return docs.mapInArrow(run, schema)
+    return search
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -249,21 +263,18 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_cov
     Hit spans go from the text; a row goes as a whole if more than ``max_coverage`` of its words are hit. Rows without
     hits are returned as they are, null and empty texts too. An ``n_chars`` column is set anew where a text changes.
     """
-    found = hits(docs, benchmark, window)
-    kept_schema = docs.schema
-    names = kept_schema.names
+    search = _searcher(docs, benchmark, window, BLOCK_WORDS)
+    names = docs.schema.names
     at, length = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            found = batch.column(len(names)).to_pylist()
-            keep = [sum(h["ends"]) - sum(h["starts"]) <= max_coverage * h["n_words"] for h in found]
-            columns = list(batch.columns[: len(names)])
-            if any(h["starts"] for h in found):
+        for batch, found in search(batches):
+            keep = [sum(b - a for a, b in spans) <= max_coverage * n for n, spans, _ in found]
+            columns = list(batch.columns)
+            changed = {k: spans for k, (_, spans, _) in enumerate(found) if spans}
+            if changed:
                 texts = columns[at].to_pylist()
-                changed = {k for k, h in enumerate(found) if h["starts"]}
-                for k in changed:
-                    spans = list(zip(found[k]["starts"], found[k]["ends"], strict=True))
+                for k, spans in changed.items():
                     texts[k] = without_words(texts[k].encode(), spans).decode()
                 columns[at] = pa.array(texts, type=columns[at].type)
                 if length is not None:
@@ -271,7 +282,7 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_cov
                     columns[length] = pa.array(sizes, type=columns[length].type)
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
-    return found.mapInArrow(run, kept_schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def items_digest(items: set[int]) -> str:

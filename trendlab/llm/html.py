@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendlab.llm.common import slices
+from trendlab.llm.common import slices, small_batches
 
 #: Pages that train the model: those with the smallest hash of page_id.
 TRAIN_PAGES = 1000
@@ -260,7 +260,7 @@ def train(pages: DataFrame, limit: int = TRAIN_PAGES) -> Model:
 
     ids = pages.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(limit)
     chosen = pages.select("page_id", "html").join(F.broadcast(ids), "page_id", "left_semi").select("html")
-    counts = chosen.mapInArrow(count, "feature string, label boolean, n long").groupBy("feature", "label").agg(F.sum("n").alias("n"))
+    counts = small_batches(chosen).mapInArrow(count, "feature string, label boolean, n long").groupBy("feature", "label").agg(F.sum("n").alias("n"))
     return Model.of({(r["feature"], r["label"]): r["n"] for r in counts.collect()})  # bounded by the pages in training
 
 
@@ -279,4 +279,4 @@ def extract(pages: DataFrame, model: Model | None = None, limit: int = TRAIN_PAG
             yield pa.RecordBatch.from_arrays(columns, schema=out)
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return small_batches(rows).mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendlab.llm.common import slices
+from trendlab.llm.common import slices, small_batches
 
 #: Words of a window whose repetition counts, and the characters that count as symbols.
 WINDOW = 5
@@ -99,7 +99,7 @@ def measured_order(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows:
 
     ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").select("text")
-    found = chosen.mapInArrow(probe, "rule int, rejected long, seconds double").groupBy("rule").agg(F.sum("rejected").alias("rejected"), F.sum("seconds").alias("seconds"))
+    found = small_batches(chosen).mapInArrow(probe, "rule int, rejected long, seconds double").groupBy("rule").agg(F.sum("rejected").alias("rejected"), F.sum("seconds").alias("seconds"))
     gain = {row["rule"]: row["rejected"] / max(row["seconds"], 1e-9) for row in found.collect()}  # a row per rule
     return [rules[k] for k in sorted(range(len(rules)), key=lambda k: (-gain.get(k, 0.0), k))]
 
@@ -135,4 +135,4 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAM
 
     measures = ", ".join(f"{m} long" for m in MEASURES)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, {measures}, base_failed boolean, kept boolean, rejected_by string")
+    return small_batches(rows).mapInArrow(run, f"doc_id long, {measures}, base_failed boolean, kept boolean, rejected_by string")

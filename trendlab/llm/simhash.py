@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from trendlab.llm.common import per_text
+from trendlab.llm.common import per_text, small_batches
 from trendlab.sources.sinks import stored
 
 #: Words per shingle, seed of their hash, differing bits that still link two fingerprints.
@@ -40,7 +40,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
     """doc_id and fp (long) of every row. Null and empty texts have fingerprint 0."""
     out = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(per_text(lambda text: (fingerprint(text, shingle, seed),), out), "doc_id long, fp long")
+    return small_batches(rows).mapInArrow(per_text(lambda text: (fingerprint(text, shingle, seed),), out), "doc_id long, fp long")
 
 
 def ball_links(prints: DataFrame) -> DataFrame:

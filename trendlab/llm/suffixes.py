@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trendlab.llm.common import utf8
+from trendlab.llm.common import small_batches, utf8
 
 #: Bytes of a string that repeats, and of the grams that anchor it.
 MATCH, GRAM = 50, 24
@@ -429,7 +429,7 @@ def _with_spans(docs: DataFrame, finish: Callable[[pa.Table, list[bytes], list[l
     groups = int(1 + held // group_bytes)
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     # one exchange of the texts, which the plan reads three times
-    dealt = docs.select(F.pmod(F.xxhash64(order), F.lit(groups)).cast("int").alias("_group"), order.alias("_id"), *docs.columns)
+    dealt = small_batches(docs).select(F.pmod(F.xxhash64(order), F.lit(groups)).cast("int").alias("_group"), order.alias("_id"), *docs.columns)
     by_group = dealt.groupBy("_group")
     packed = "bucket int, group int, payload binary"
     sent = by_group.applyInArrow(_send_hashes(groups), packed)

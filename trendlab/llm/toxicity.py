@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendlab.llm.common import slices
+from trendlab.llm.common import slices, small_batches
 
 #: Labelled rows of each class that may train the lexicon: those with the smallest hash of doc_id.
 TOXIC_ROWS, CLEAN_ROWS = 4000, 12000
@@ -80,7 +80,7 @@ def language_model(docs: DataFrame) -> LanguageModel:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["signs", "n"])
 
-    sums = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "signs long, n long").groupBy("signs").agg(F.sum("n").alias("n"))
+    sums = small_batches(docs.select(F.col("text").cast("string").alias("text"))).mapInArrow(count, "signs long, n long").groupBy("signs").agg(F.sum("n").alias("n"))
     counts = np.zeros(SIGNS**3)
     for row in sums.collect():
         counts[row["signs"]] = row["n"]
@@ -234,7 +234,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clea
                     )
 
     rows = training_rows(docs, labels, toxic_rows, clean_rows)
-    sums = rows.mapInArrow(count, "feature string, label int, n long").groupBy("feature")
+    sums = small_batches(rows).mapInArrow(count, "feature string, label int, n long").groupBy("feature")
     sums = sums.agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("clean"))
     frequent = sums.where((F.col("toxic") >= LEAST_ROWS) & (F.col("toxic") > F.col("clean"))).collect()  # bounded by the rows in training
     candidates = {r["feature"]: (r["toxic"], r["clean"]) for r in frequent if _lower_bound(r["toxic"], r["clean"]) >= LEAST_PRECISION}
@@ -245,7 +245,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clea
             found = [sorted(lexicon.hits(text)) for text in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], names=["found"])
 
-    toxic = [r["found"] for r in rows.where("label = 1").select("text").mapInArrow(find, "found array<string>").collect()]  # at most toxic_rows
+    toxic = [r["found"] for r in small_batches(rows.where("label = 1").select("text")).mapInArrow(find, "found array<string>").collect()]  # at most toxic_rows
     weights = {f: (candidates[f][0] + 0.1) / (sum(candidates[f]) + 0.2) for f in _cover(toxic, candidates)}
     unexplained = sum(not set(weights) & set(f) for f in toxic)
     return Classifier(weights, min(0.4, (unexplained + 0.5) / (unexplained + clean_rows)), model)
@@ -297,7 +297,7 @@ def scores(docs: DataFrame, classifier: Classifier) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], schema=out)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = rows.mapInArrow(run, "doc_id long, score double")
+    scored = small_batches(rows).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -314,4 +314,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             keep = [by.score(sorted(lexicon.hits(text.as_py() or ""))) < 0.5 for text in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
