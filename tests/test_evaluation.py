@@ -95,7 +95,9 @@ def test_cost_breakdown_and_other(spark):
     assert attribution.top_and_other(totals, 4).filter("symbol = 'Other'").count() == 0
 
 
-def test_correlation_against_pandas(spark, weekdays):
+@pytest.mark.parametrize("block", [1, 2, 64])
+def test_correlation_against_pandas(spark, weekdays, monkeypatch, block):
+    monkeypatch.setattr(attribution, "_BLOCK", block)
     rng = np.random.default_rng(2)
     days = weekdays("2021-01-01", 80)
     wide = pd.DataFrame(100 * np.exp(rng.normal(0, 0.01, (80, 4)).cumsum(axis=0)), columns=list("ABCD"))

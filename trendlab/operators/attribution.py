@@ -16,7 +16,8 @@ from ..functions.series import pct_change, rolling, series
 
 KEYS = ("run_id", "symbol")
 
-_MATRIX_CELLS = 20_000_000  # what a task keeps of unfinished cross-product matrices (160 MB)
+_BLOCK = 64  # symbols whose rows of the correlation matrix are worked out together
+_PAIRS = pa.schema([("run_id", pa.string()), ("symbol_a", pa.string()), ("symbol_b", pa.string()), ("corr", pa.float64())])
 
 
 def _point_value() -> Column:
@@ -109,8 +110,9 @@ def cumulative(rows: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("
 def return_correlation(prices: DataFrame) -> DataFrame:
     """Pearson correlation ``(run_id, symbol_a, symbol_b, corr)`` over dates complete in all symbols.
 
-    Each date is one vector ordered by symbol.  Tasks add up the cross products of their dates, so
-    what is shuffled per task is one matrix, not one row per date and pair.
+    Each date is one vector ordered by symbol.  A block of ``_BLOCK`` symbols of a run meets all vectors of the run in one
+    sorted stream, so a task holds one block of rows of the cross products at a time; only pairs in symbol order are
+    computed, and their mirror images are added at the end.
     """
     returns = prices.withColumn("ret", pct_change("close", KEYS))
     first = Window.partitionBy("run_id", "symbol").orderBy("ts")
@@ -122,52 +124,40 @@ def return_correlation(prices: DataFrame) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("symbol", "ret"))).alias("v"))
         .join(names, "run_id")
         .filter(F.size("v") == F.col("_width"))
-        .select("run_id", F.col("v.symbol").alias("symbols"), F.col("v.ret").alias("rets"))
+        .select("run_id", "ts", F.col("v.symbol").alias("symbols"), F.col("v.ret").alias("rets"), (F.floor((F.col("_width") - 1) / _BLOCK)).alias("_last"))
     )
-
-    def matrices(sums: dict) -> Iterator[pa.RecordBatch]:
-        for run, (symbols, gram) in sums.items():
-            width = len(symbols)
-            for a in range(width):
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "run_id": [run] * width,
-                        "symbol_a": [symbols[a]] * width,
-                        "symbol_b": list(symbols),
-                        "n": [gram[0, 0]] * width,
-                        "sa": [gram[0, a + 1]] * width,
-                        "sb": gram[0, 1:],
-                        "saa": [gram[a + 1, a + 1]] * width,
-                        "sbb": np.diag(gram)[1:],
-                        "sab": gram[a + 1, 1:],
-                    }
-                )
+    blocks = vectors.select("run_id", F.explode(F.sequence(F.lit(0).cast("long"), "_last")).alias("block"), "ts", "symbols", "rets")
+    ordered = blocks.repartition("run_id", "block").sortWithinPartitions("run_id", "block", "ts").drop("ts")
+
+    def finished(key: tuple, symbols: Sequence[str], n: int, sums: list[np.ndarray]) -> pa.RecordBatch:
+        run, block = key
+        total, squares, cross = sums
+        left, right = np.nonzero(np.arange(len(symbols)) >= np.arange(block * _BLOCK, block * _BLOCK + len(cross))[:, None])
+        cov = n * cross[left, right] - total[left + block * _BLOCK] * total[right]
+        spread = np.sqrt(np.maximum(n * squares - total**2, 0.0))
+        scale = spread[left + block * _BLOCK] * spread[right]
+        corr = np.divide(cov, scale, out=np.full(len(cov), np.nan), where=scale > 0)
+        held = np.asarray(symbols, dtype=object)
+        columns = [[run] * len(cov), held[left + block * _BLOCK].tolist(), held[right].tolist(), pa.array(corr, from_pandas=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) if isinstance(c, list) else c for c, f in zip(columns, _PAIRS, strict=True)], schema=_PAIRS)
 
     def cross_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, list] = {}
-        cells = 0
+        key, symbols, n, sums = None, [], 0, []
         for batch in batches:
-            frame = batch.to_pandas()
-            for run, part in frame.groupby("run_id", sort=False):
+            for found, part in batch.to_pandas().groupby(["run_id", "block"], sort=False):
+                if found != key:
+                    if key is not None:
+                        yield finished(key, symbols, n, sums)
+                    key, symbols, n, sums = found, part["symbols"].iloc[0], 0, [0.0, 0.0, 0.0]
                 x = np.stack(part["rets"].to_numpy())
-                ones = np.column_stack([np.ones(len(x)), x])
-                if run not in sums:
-                    sums[run] = [part["symbols"].iloc[0], 0.0]
-                    cells += ones.shape[1] ** 2
-                sums[run][1] = sums[run][1] + ones.T @ ones
-            if cells > _MATRIX_CELLS:  # sums are additive: hand over and start again
-                yield from matrices(sums)
-                sums, cells = {}, 0
-        yield from matrices(sums)
-
-    fields = ", ".join(f"{c} double" for c in ("n", "sa", "sb", "saa", "sbb", "sab"))
-    partial = vectors.mapInArrow(cross_products, f"run_id string, symbol_a string, symbol_b string, {fields}")
-    s = partial.groupBy("run_id", "symbol_a", "symbol_b").agg(
-        *[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")]
-    )
-    n = F.col("n")
-    cov = n * F.col("sab") - F.col("sa") * F.col("sb")
-    var_a = n * F.col("saa") - F.col("sa") * F.col("sa")
-    var_b = n * F.col("sbb") - F.col("sb") * F.col("sb")
-    corr = cov / F.nullif(F.sqrt(var_a) * F.sqrt(var_b), F.lit(0.0))
-    return s.select("run_id", "symbol_a", "symbol_b", corr.alias("corr"))
+                own = x[:, key[1] * _BLOCK : (key[1] + 1) * _BLOCK]
+                n += len(x)
+                sums = [s + more for s, more in zip(sums, (x.sum(axis=0), (x * x).sum(axis=0), own.T @ x), strict=True)]
+        if key is not None:
+            yield finished(key, symbols, n, sums)
+
+    half = ordered.mapInArrow(cross_products, "run_id string, symbol_a string, symbol_b string, corr double")
+    mirrored = F.struct(F.col("symbol_b").alias("symbol_a"), F.col("symbol_a").alias("symbol_b"))
+    sides = F.array(F.struct("symbol_a", "symbol_b"), F.when(F.col("symbol_a") != F.col("symbol_b"), mirrored))
+    pairs = half.select("run_id", F.explode(F.filter(sides, lambda p: p.isNotNull())).alias("p"), "corr")
+    return pairs.select("run_id", "p.symbol_a", "p.symbol_b", "corr")
