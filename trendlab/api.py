@@ -59,14 +59,18 @@ def run_backtest(
     seed: int | None = None,
     adv=None,
     roll_dates: DataFrame | None = None,
-    check_reproducibility: bool = False,
+    check_reproducibility: bool | None = None,
 ) -> Backtest:
     """A single run.  ``prices(symbol, ts, close)``: missing prices are null or absent; a date may occur once."""
     scenarios = scenario_list(config, base_overrides=parameter_overrides, seeds=seed)
-    first = build(spark, config, prices, universe, scenarios, adv, roll_dates)
-    if check_reproducibility:
-        again = build(spark, config, prices, universe, scenarios, adv, roll_dates)
-        assert_reproducible(first.tables(), again.tables())
+    return _replayed(check_reproducibility, spark, config, prices, universe, scenarios, adv, roll_dates)
+
+
+def _replayed(check: bool | None, spark: SparkSession, config: Mapping, *parts) -> Backtest:
+    """The runs, computed twice and compared if ``check`` or else the setting ``backtest.check_reproducibility`` says so."""
+    first = build(spark, config, *parts)
+    if setting(flatten(config), "backtest.check_reproducibility", False) if check is None else check:
+        assert_reproducible(first.tables(), build(spark, config, *parts).tables())
     return first
 
 
@@ -101,10 +105,12 @@ def run_parameter_sweep(
     seeds: Sequence[int] | int | None = None,
     adv=None,
     roll_dates: DataFrame | None = None,
+    check_reproducibility: bool | None = None,
 ) -> Sweep:
     """All scenarios of a grid (times splits and seeds) as one plan."""
     scenarios = scenario_list(config, parameter_grid, base_overrides, splits, seeds)
-    return Sweep(build(spark, config, prices, universe, scenarios, adv, roll_dates), tuple(scenarios))
+    runs = _replayed(check_reproducibility, spark, config, prices, universe, scenarios, adv, roll_dates)
+    return Sweep(runs, tuple(scenarios))
 
 
 @dataclass(frozen=True)
@@ -137,6 +143,7 @@ def run_walk_forward(
     seed: int | None = None,
     adv=None,
     roll_dates: DataFrame | None = None,
+    check_reproducibility: bool | None = None,
 ) -> WalkForward | None:
     """One run per fold, from its in-sample start to its out-of-sample end; None without a fold.
 
@@ -148,6 +155,6 @@ def run_walk_forward(
         return None
     splits = [{"start": r["is_start"], "end": r["oos_end"]} for r in bounds]
     scenarios = scenario_list(config, base_overrides=parameter_overrides, splits=splits, seeds=seed)
-    backtest = build(spark, config, prices, universe, scenarios, adv, roll_dates)
+    backtest = _replayed(check_reproducibility, spark, config, prices, universe, scenarios, adv, roll_dates)
     known = small_table(spark, bounds, table.schema)
     return WalkForward(backtest, known)

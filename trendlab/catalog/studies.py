@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..api import build, run_parameter_sweep, run_walk_forward
 from ..operators.risk import simple_returns
 from ..plans import bootstrap, scenarios, sensitivity, walkforward
-from ..plans.backtest import Backtest
+from ..plans.backtest import Backtest, replay_differences
 from . import panel
 from .portfolio import CONFIG, market
 from .registry import register
@@ -127,6 +129,23 @@ def j9_nine(spark, sf):
     return _sweep(spark, sf, NINE).ranking()
 
 
+@register(
+    "j17_replay_sweep", "artefact s, n_rows i, n_missing i, n_extra i",
+    backtest_sql(
+        """select 'nav' as artefact, count(*) as n_rows, 0 as n_missing, 0 as n_extra from ledger
+        union all select 'trades', count(*), 0, 0 from costed""",
+        "ledger", _grid_runs(GRID),
+    ),
+)
+def j17_sweep(spark, sf):
+    """Every run of a sweep computed twice: rows, and how many of them differ."""
+    first, second = (_sweep(spark, sf).backtest.tables() for _ in range(2))
+    names = ("nav", "trades")
+    found = replay_differences({n: first[n] for n in names}, {n: second[n] for n in names})
+    rows = reduce(DataFrame.unionByName, (first[n].agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("artefact"), "n_rows") for n in names))
+    return rows.join(found, "artefact")
+
+
 _MODELS = {"risk.vol_model": ["ewma", "rolling"], "risk.risk_allocator": ["proportional", "erc"], "risk.ewma_lambda": [0.9, 0.97]}
 
 
