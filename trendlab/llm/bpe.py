@@ -21,7 +21,10 @@ from trendlab.llm.common import gathered, slices, small_batches
 #: Words whose tokens a task remembers; beyond it the memory starts anew.
 REMEMBERED_WORDS = 1 << 17
 #: Bytes of text whose new words are merged together.
-PARTITION_BYTES = 1 << 23
+PARTITION_BYTES = 1 << 22
+
+#: Bytes of ids that are decoded at a time.
+DECODED_BYTES = 1 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -222,7 +225,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: Tokenizer) -> Iterato
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], tokenizer: Tokenizer) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+    for batch in slices(batches, DECODED_BYTES):
         texts = [tokenizer.decode(ids.as_py() or ()) for ids in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(_ENCODED.field(1).type), pa.array(texts, pa.string())], schema=_DECODED)
 
