@@ -121,6 +121,48 @@ def test_near_duplicates_equal_all_pairs(documents):
     assert sorted(as_rows(simhash.keep_one(docs), "doc_id"), key=repr) == sorted(((i,) for i, _ in rows if i in kept), key=repr)
 
 
+def jaccard_by_hand(a, b):
+    sets = []
+    for text in (a, b):
+        words = re.split("[\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").strip("\x20\x09\x0a\x0b\x0c\x0d"))
+        sets.append({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def groups_by_hand(texts):
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if jaccard_by_hand(texts[a], texts[b]) >= 0.8]
+    return closed(links, range(len(texts)))
+
+
+def test_near_copies_equal_all_pairs(spark):
+    rnd = random.Random(8)
+    texts = ["", None, " \n", "a b", "A  b", "short text of six words here", "short text of six words there"]
+    for _ in range(25):
+        words = [rnd.choice("one two three four five six seven eight nine ten".split()) + str(rnd.randint(0, 99)) for _ in range(rnd.randint(5, 300))]
+        for copies in range(rnd.randint(1, 7)):
+            texts.append(" ".join(words))
+            words = [w if rnd.random() > rnd.choice([0, 0.01, 0.02, 0.04]) else "changed" + str(rnd.random()) for w in words]
+    root = groups_by_hand(texts)
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(3)
+    kept = [k for k in range(len(texts)) if root[k] == k]
+    assert 25 <= len(kept) < len(set(texts))
+    assert as_rows(simhash.keep_one_copy(frame), "doc_id") == sorted(((k,) for k in kept), key=repr)
+    assert simhash.keep_one_copy(frame.limit(0)).count() == 0
+
+
+def test_near_copies_of_the_small_table(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in frame.select("doc_id", "text").collect())
+    firsts = {}
+    for i, t in rows:
+        firsts.setdefault(t, i)
+    sets = {i: {h for h in simhash.shingle_set((t or "").encode()).tolist()} for t, i in firsts.items()}
+    links = [(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    assert links  # near copies are planted
+    root = closed(links, sorted(sets))
+    assert as_rows(simhash.keep_one_copy(frame), "doc_id") == sorted(((i,) for i in sets if root[i] == i), key=repr)
+
+
 def test_ball_links_reach_radius_two_and_no_further(spark):
     rnd = random.Random(3)
     prints = {rnd.getrandbits(64) for _ in range(40)}

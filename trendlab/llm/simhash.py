@@ -1,8 +1,9 @@
-"""Near-duplicates by SimHash and meet-in-the-middle ball hashing."""
+"""Near-duplicates by SimHash and meet-in-the-middle ball hashing; near copies by MinHash and exact similarity."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -16,8 +17,14 @@ from trendlab.sources.sinks import stored
 
 #: Words per shingle, seed of their hash, differing bits that still link two fingerprints.
 SHINGLE, SEED, RADIUS = 3, 42, 2
+#: Near copies: words per shingle, tenths of the shingles of both texts that they share at least (Jaccard).
+COPY_SHINGLE, COPY_TENTHS = 5, 8
+#: MinHash bands of a text and minima in each: at a similarity of 0.8 all bands of two texts differ with 3 in a million.
+BANDS, MINIMA = 24, 4
 #: Shingles of a text that are hashed at a time.
 _CHUNK = 1 << 16
+# Odd multipliers and masks of the MinHash orders, made by a rule: hashes of their numbers.
+_ORDERS = np.array([xxh64_intdigest(k.to_bytes(4, "little"), SEED) for k in range(2 * BANDS * MINIMA)], np.uint64).reshape(2, -1)
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -117,3 +124,97 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+
+
+def shingle_set(text: bytes, shingle: int = COPY_SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The distinct shingle hashes of a text in order; a text of fewer words is one shingle, one without words none."""
+    words = text.lower().split()
+    if len(words) < shingle:
+        words, shingle = [b" ".join(words)] if words else [], 1
+    grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
+    return np.unique(np.fromiter(map(xxh64_intdigest, grams, repeat(seed)), np.uint64))
+
+
+def band_keys(shingles: np.ndarray) -> list[int]:
+    """A signed key per band: the hash of its minima. Two texts agree in a band with their similarity to the power of MINIMA."""
+    if not len(shingles):
+        return []
+    least = np.full(BANDS * MINIMA, np.iinfo(np.uint64).max, np.uint64)
+    for start in range(0, len(shingles), 1 << 10):
+        part = (shingles[start : start + (1 << 10), None] ^ _ORDERS[0]) * (_ORDERS[1] | np.uint64(1))
+        np.minimum(least, part.min(axis=0), out=least)
+    keys = [xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, MINIMA))]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def _copy_prints(text: bytes) -> tuple[int, int, list[int]]:
+    shingles = shingle_set(text)
+    return int(np.uint64(xxh64_intdigest(shingles.tobytes(), SEED)).view(np.int64)), len(shingles), band_keys(shingles)
+
+
+def _similar(links: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``links`` (a, b) whose shingle sets reach the similarity, counted exactly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for first, second in zip(batch.column(2), batch.column(3), strict=True):
+                both = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in (first, second)]), kind="stable")
+                shared = int((both[1:] == both[:-1]).sum())
+                keep.append(10 * shared >= COPY_TENTHS * (len(both) - shared))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    of = lambda name: sets.select(F.col("fp").alias(name), F.col("shingles").alias(f"of_{name}"))
+    pairs = links.join(of("b"), "b").join(of("a"), "a").select("a", "b", "of_a", "of_b")
+    return small_batches(pairs).mapInArrow(run, "a long, b long")
+
+
+def copy_links(texts: DataFrame, prints: DataFrame) -> DataFrame:
+    """Links (a < b) between shingle sets that share 0.8 of their shingles. ``texts``: _row and text; ``prints``: _row, fp, n, keys.
+
+    Sets with a band in common are candidates. In each band key the members are tried with one of them, the first in an
+    order that changes from round to round, not with each other; those not linked to it go on to the next round among
+    themselves. It ends when no key has two members left, or a round in which no candidate is similar.
+    """
+    members = prints.groupBy("fp").agg(F.first("n").alias("n"), F.first("keys").alias("keys")).select("fp", "n", F.explode("keys").alias("key"))
+    found, sets, turn = [], None, 0
+    while True:
+        rank = F.struct(F.xxhash64("fp", F.lit(turn)).alias("rank"), "fp", "n")
+        centres = members.groupBy("key").agg(F.min(rank).alias("c"), F.count("*").alias("size")).where("size > 1").drop("size")
+        tried = stored(members.join(centres, "key").where("fp <> c.fp").select("key", "fp", "n", F.col("c.fp").alias("centre"), F.col("c.n").alias("m")), "tried")
+        if sets is None:
+            chosen = tried.select(F.explode(F.array("fp", "centre")).alias("fp")).distinct()
+            rows = stored(prints.groupBy("fp").agg(F.min("_row").alias("_row")).join(chosen, "fp").select("_row", "fp"), "tried-rows")
+            out = pa.schema([("fp", pa.int64()), ("shingles", pa.binary())])
+            read = texts.join(rows, "_row").select("fp", "text")
+            sets = stored(small_batches(read).mapInArrow(per_text(lambda text: (shingle_set(text).tobytes(),), out), "fp long, shingles binary"), "sets")
+        fits = 10 * F.least("n", "m") >= COPY_TENTHS * F.greatest("n", "m")
+        links = tried.where(fits).select(F.least("fp", "centre").alias("a"), F.greatest("fp", "centre").alias("b")).distinct()
+        similar = stored(_similar(links, sets), "similar")
+        found.append(similar)
+        if similar.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        linked = (F.least("fp", "centre") == similar["a"]) & (F.greatest("fp", "centre") == similar["b"])
+        members, turn = tried.join(similar, linked, "left_anti").select("fp", "n", "key"), turn + 1
+
+
+def keep_one_copy(docs: DataFrame) -> DataFrame:
+    """One row of each group of near copies, the first by doc_id (nulls last), then by place; all columns kept.
+
+    Near copies share 0.8 or more of their 5-word shingles (Jaccard, A-Z lower-cased); groups are closed over such links.
+    Texts without words are copies of each other. ``docs`` is read several times and must return its rows in one order.
+    """
+    placed = docs.withColumn("_row", F.monotonically_increasing_id())
+    texts = placed.select("_row", F.col("text").cast("string").alias("text"))
+    out = pa.schema([("_row", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    made = small_batches(texts).mapInArrow(per_text(_copy_prints, out), "_row long, fp long, n long, keys array<long>")
+    prints = stored(made, "copy-prints")
+    roots = components(copy_links(texts, prints))
+    ids = placed.select("_row", F.col("doc_id").cast("long").alias("doc_id"))
+    grouped = stored(
+        prints.select("_row", "fp").join(ids, "_row").join(roots, F.col("fp") == F.col("node"), "left").select("_row", "doc_id", F.coalesce("root", "fp").alias("root")),
+        "copy-groups",
+    )
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    kept = grouped.groupBy("root").agg(F.min(place).alias("first")).select(F.col("first._row").alias("_row"))
+    return placed.join(kept, "_row", "left_semi").drop("_row")
