@@ -213,6 +213,23 @@ def test_chat_round_trip(spark):
     assert all(t.count("</s>") == len(chat.read_turns(t)) and "[INST]" not in t for t in texts)
 
 
+@pytest.mark.parametrize("batch", [1, 2, 3])
+def test_chat_conversations_that_end_with_a_batch(spark, batch):
+    rows = [(c, t, "assistant", f"turn {t} of {c} " + "x" * 40) for c in [*range(12), None] for t in range(1 + (c or 3) % 4)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, batch)
+    try:
+        made = chat.format_conversations(frame, 20)
+        parts = as_rows(made, "conv_id", "part")
+        got = as_rows(chat.digests(made), "conv_id", "n_turns")
+    finally:
+        spark.conf.set(name, old)
+    assert got == sorted(Counter(r[0] for r in rows).items(), key=repr)
+    assert {c: sorted(p for d, p in parts if d == c) for c, _ in parts} == {c: list(range(sum(d == c for d, _ in parts))) for c, _ in parts}
+
+
 # ------------------------------------------------------------------ suffix arrays
 
 

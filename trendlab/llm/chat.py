@@ -86,6 +86,7 @@ def format_conversations(conversations: DataFrame, part_bytes: int = PART_BYTES)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         part = 0  # of the first conversation in held
+        sent: list[int | None] = []  # conv_id of rows that were emitted before the end of their conversation was seen
 
         def made(rows: pa.Table, part: int) -> pa.RecordBatch:
             ids, firsts = _runs(rows)
@@ -100,13 +101,15 @@ def format_conversations(conversations: DataFrame, part_bytes: int = PART_BYTES)
             held = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
             if not len(held):
                 continue
+            if sent:
+                part, sent = part + 1 if held["conv_id"][0].as_py() == sent[0] else 0, []
             last = int(_runs(held)[1][-1])
             if last:
                 yield made(held.slice(0, last), part)
                 held, part = held.slice(last).combine_chunks(), 0
             if held.nbytes > part_bytes:
                 yield made(held, part)
-                held, part = held.slice(0, 0), part + 1
+                held, sent = held.slice(0, 0), [held["conv_id"][0].as_py()]
         if held is not None and len(held):
             yield made(held, part)
 
