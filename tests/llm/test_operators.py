@@ -421,6 +421,13 @@ def test_html_edges(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def test_a_head_without_end_tag_hides_no_text():
+    model = html.Model.of({})
+    for body in ("<body><article><p>text", "<article><p>text", "<meta name=x><link><article><p>text", "</head><body><article><p>text", "<img><main><p>text"):
+        assert html.main_text(f"<html><head><title>T</title><script>var x</script>{body}", model) == "text"
+    assert [t for _, t in html.parse("<head><title>T</title> bare words").texts] == [[" bare words"]]
+
+
 def test_messages_give_exact_marginals():
     rnd = random.Random(6)
     for _ in range(30):

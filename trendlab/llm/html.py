@@ -25,6 +25,8 @@ INLINE = {
     "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var",
 }
 UNSEEN = {"script", "style", "head", "title", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "select", "textarea", "button"}
+#: Elements that a head holds; any other ends an open head.
+HEAD = {"title", "meta", "link", "base", "script", "style", "noscript", "template", "head", "html"}
 #: An opening tag ends an open element of these kinds.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements that a search for an element to end does not leave.
@@ -89,6 +91,8 @@ class _Builder(HTMLParser):
         self.fresh |= tag not in INLINE
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in HEAD:
+            self._leave_head()
         if tag == "br":
             self.handle_data(" ")
         if tag in VOID:
@@ -105,6 +109,11 @@ class _Builder(HTMLParser):
         self.hidden += tag in UNSEEN
         self.links += tag == "a"
 
+    def _leave_head(self) -> None:
+        """What a head can't hold ends it: its end tag may be left out."""
+        if self.open[-1][0] == "head":
+            self._pop()
+
     def _end(self, tags: set[str]) -> None:
         """Close the innermost open element of ``tags`` with all in it, unless a scope stands between."""
         for k in range(len(self.open) - 1, 0, -1):
@@ -122,6 +131,8 @@ class _Builder(HTMLParser):
             self._pop()
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self._leave_head()
         if self.hidden:
             return
         page, block = self.page, self.open[-1][1]
