@@ -163,6 +163,13 @@ def test_near_copies_of_the_small_table(spark):
     assert as_rows(simhash.keep_one_copy(frame), "doc_id") == sorted(((i,) for i in sets if root[i] == i), key=repr)
 
 
+def test_one_row_of_repeated_rows_and_null_ids_stays(spark):
+    rows = [(7, "a text of its own"), (7, "a text of its own"), (7, "another one"), (None, "with id once"), (None, "without any id"), (None, "without any id"), (3, "with id once")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = [(7, "a text of its own"), (7, "another one"), (3, "with id once"), (None, "without any id")]
+    assert as_rows(simhash.keep_one_copy(frame), "doc_id", "text") == sorted(want, key=repr)
+
+
 def test_ball_links_reach_radius_two_and_no_further(spark):
     rnd = random.Random(3)
     prints = {rnd.getrandbits(64) for _ in range(40)}
