@@ -29,5 +29,5 @@ def test_rows_equal_those_of_the_sql(spark, key):
 
 def test_one_query_for_each_operator_and_the_pipeline():
     known = entry.queries()
-    assert [sum(key.startswith(f"op{n}_") for key in known) for n in range(1, 11)] == [1] * 10
+    assert [sum(key.startswith(f"op{n}_") for key in known) for n in range(1, 14)] == [1] * 13
     assert "pipeline" in known and set(SQL) <= set(entry.oracle_sql())

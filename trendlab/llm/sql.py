@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from trendlab.llm.chat import CONTROLS
 from trendlab.llm.common import LOWER, UPPER
+from trendlab.llm.infill import MIDDLE, PLAIN_PERCENT, PREFIX, SPM_PERCENT, SUFFIX
 from trendlab.llm.shards import HASH_BITS, LIMIT_BYTES
 from trendlab.llm.urls import RULES
 
@@ -136,6 +137,30 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from r"""
 
 
+def _infill() -> str:
+    marks = " or ".join(f"contains(t, '{mark}')" for mark in (PREFIX, SUFFIX, MIDDLE))
+    number = lambda k: f"cast('0x' || substr(d, {8 * k + 1}, 8) as bigint)"
+    return f"""
+with u as (
+  select doc_id, coalesce(text, '') as t, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as d,
+    regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as units
+  from documents),
+h as (
+  select *, cast(len(units) as bigint) as n, {number(0)} % (len(units) + 1) as x, {number(1)} % (len(units) + 1) as y,
+    case when t = '' or {marks} or {number(2)} % 100 >= {100 - PLAIN_PERCENT} then 'plain' when {number(3)} % 100 < {SPM_PERCENT} then 'spm' else 'psm' end as form
+  from u),
+c as (
+  select *, array_to_string(units[1:least(x, y)], '') as a, array_to_string(units[least(x, y) + 1:greatest(x, y)], '') as b,
+    array_to_string(units[greatest(x, y) + 1:], '') as c
+  from h)
+select doc_id, n, form, case when form <> 'plain' then cast(length(a) as bigint) end as prefix_chars,
+  case when form <> 'plain' then cast(length(b) as bigint) end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '{PREFIX}' || a || '{SUFFIX}' || c || '{MIDDLE}' || b
+    else '{SUFFIX}' || c || '{PREFIX}' || a || '{MIDDLE}' || b end) as output_sha256,
+  sha256(t) as restored_sha256
+from c"""
+
+
 SQL: dict[str, str] = {
     "op1_sharding": _sharding(),
     "op3_chat": _chat(),
@@ -143,4 +168,5 @@ SQL: dict[str, str] = {
     "op5_decontamination": _decontamination(),
     "op7_url_filters": _urls(),
     "op10_quality": _quality(),
+    "op13_fill_in_middle": _infill(),
 }
