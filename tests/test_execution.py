@@ -130,6 +130,23 @@ def test_fills_match_the_loop(spark, weekdays, pct, with_rolls):
     assert ledger.identity_violations(rows, attribution.pnl_contributions(positions)).count() == 0
 
 
+def test_rolls_that_meet_a_backlog_of_earlier_rolls(spark, weekdays):
+    """A roll on nearly every session under a capacity that never clears the queue."""
+    rng = random.Random(11)
+    days = weekdays("2024-01-01", 45)
+    series = {
+        s: ([rng.randint(-9, 9) for _ in days], [100.0] * 45, [rng.choice([0, 1, 3, 40]) for _ in days]) for s in ("A", "B", "C", "D")
+    }
+    rolls = {(s, d) for s in series for d in days if rng.random() < 0.6}
+    table = spark.createDataFrame(sorted(rolls), "symbol string, ts date")
+    orders, fills = execution.trade_log(*execution.execute(make_book(spark, days, series, pct=0.5), table))
+    want_orders, want_fills = loop(days, series, 0.5, rolls)
+    got = sorted((r.order_id, r.submitted, r.symbol, r.reason, round(r.qty, 6)) for r in orders.collect())
+    assert got == [(o[0], o[1], o[2], o[4], round(o[3], 6)) for o in want_orders]
+    filled = sorted((r.ts, r.symbol, r.order_id, round(r.qty, 6), r.reason, r.partial) for r in fills.collect())
+    assert filled == [(*w[:3], round(w[3], 6), *w[4:]) for w in sorted(want_fills)]
+
+
 def test_notional_slippage_floor(spark):
     rows = spark.createDataFrame([(0.0,), (1_000_000.0,), (-4_000_000.0,)], "n double")
     assert [r[0] for r in rows.select(notional_slippage(F.col("n"))).collect()] == [5.0, 50.0, 100.0]

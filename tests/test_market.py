@@ -158,6 +158,68 @@ def test_continuous_matches_loop_with_an_empty_segment(spark, weekdays, method):
         assert value == pytest.approx(want[day], rel=1e-12)
 
 
+def _loop_links(quotes, days, plan):
+    """The last session before each roll, in or before the segment, on which both contracts are quoted."""
+    found = {}
+    for k, (start, contract) in enumerate(plan[:-1]):
+        end, following = plan[k + 1]
+        inside = [d for d in days if start <= d < end]
+        common = [d for d in days if d < end and quotes.get((contract, d)) is not None and quotes.get((following, d)) is not None]
+        if inside:
+            found[k] = (max(common, default=None), max(inside))
+    return found
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_rolls_without_quotes_are_linked_on_the_last_common_session(spark, weekdays, seed):
+    rng = random.Random(seed)
+    days = weekdays("2024-01-01", 40)
+    quotes = {(c, d): rng.choice([None, rng.uniform(50, 150), rng.uniform(50, 150)]) for c in "HMUZ" for d in days if rng.random() > 0.3}
+    quotes |= {("H", days[0]): 100.0, ("H", days[39]): None, **{(c, days[1]): 90.0 for c in "HMUZ"}}
+    plan = [(days[2], "H"), (days[9], "M"), (days[11], "U"), (days[12], "Z"), (days[25], "H"), (days[33], "M")]
+    table = spark.createDataFrame([(c, d, p) for (c, d), p in quotes.items()], "contract string, ts date, price double")
+    schedule = spark.createDataFrame([("R", d, c) for d, c in plan], "root string, start_ts date, contract string")
+    seen = sorted({d for _, d in quotes})
+    want = _loop_links(quotes, seen, plan)
+    got = {r["k"]: r for r in continuous.roll_links(table, schedule).collect() if r["next_contract"]}
+    assert {k: r["link_ts"] for k, r in got.items()} == {k: link for k, (link, _) in want.items()}
+    assert all(r["gap_days"] == (want[k][1] - r["link_ts"]).days for k, r in got.items() if r["link_ts"])
+    expected = {m: {} for m in continuous.METHODS}
+    offset, factor, last = 0.0, 1.0, None
+    for k, (start, contract) in enumerate(plan):
+        end = plan[k + 1][0] if k + 1 < len(plan) else None
+        inside = [d for d in seen if d >= start and (end is None or d < end) and quotes.get((contract, d)) is not None]
+        scale = 1.0 if last is None or not inside else last / quotes[contract, inside[0]]
+        for d in inside:
+            price = quotes[contract, d]
+            expected["back_adjusted"][d], expected["ratio_adjusted"][d], expected["stitched"][d] = price + offset, price * factor, price * scale
+            last = price * scale
+        if k in want:
+            one, two = quotes[contract, want[k][0]], quotes[plan[k + 1][1], want[k][0]]
+            offset, factor = offset + one - two, factor * one / two
+    rows = continuous.continuous_matrix(table, schedule).collect()
+    assert {(r["method"], r["ts"]) for r in rows} == {(m, d) for m, series in expected.items() for d in series}
+    for r in rows:
+        assert r["price"] == pytest.approx(expected[r["method"]][r["ts"]], rel=1e-12)
+
+
+def test_a_roll_without_any_common_session_is_named(spark, weekdays):
+    days = weekdays("2024-01-01", 9)
+    rows = [("H", d, 100.0) for d in days[:6]] + [("M", d, 110.0) for d in days[3:]] + [("U", d, 120.0) for d in days[6:]]
+    table = spark.createDataFrame(rows, "contract string, ts date, price double")
+    schedule = spark.createDataFrame([("R", days[0], "H"), ("R", days[3], "M"), ("R", days[6], "U")], "root string, start_ts date, contract string")
+    problems = {(r["contract"], r["problem"]) for r in continuous.link_violations(table, schedule).collect()}
+    assert problems == {("M", "no common quote before its roll"), ("U", "no common quote before its roll")}
+    with pytest.raises(ValueError, match="no common quote"):
+        continuous.continuous_series(table, schedule)
+    assert continuous.continuous_series(table, schedule, "stitched").count() == 9  # needs no common session
+    assert continuous.continuous_series(table, schedule, check=False).count() == 3
+    late = spark.createDataFrame([r for r in rows if r[:2] not in {("H", days[2])}] + [("M", days[0], 109.0), ("U", days[5], 121.0)], table.schema)
+    assert continuous.continuous_series(late, schedule).count() == 8  # linked one day before the last session
+    with pytest.raises(ValueError, match="within 0 days"):
+        continuous.continuous_series(late, schedule, max_gap_days=0)
+
+
 def test_continuous_errors(spark, long_prices, weekdays):
     days = weekdays("2024-01-01", 6)
     schedule = spark.createDataFrame([("ES", days[0], "ES_H")], "root string, start_ts date, contract string")

@@ -432,22 +432,71 @@ def d6(spark, sf):
     return continuous.continuous_matrix(_contracts(px), _schedule(px, BRAND))
 
 
+# Quotes as they are, sessions without one left empty: many rolls fall on a session on which a contract is not quoted.
+_LINKS_GAPS = """links as (
+  select s.root, s.k, s.contract, s.next_contract, s.end_ts, max(a.ts) as link_ts, arg_max(a.close, a.ts) as p1, arg_max(b.close, a.ts) as pn
+  from seg s left join (gaps a join gaps b on a.ts = b.ts and a.close is not null and b.close is not null)
+    on a.symbol = s.contract and b.symbol = s.next_contract and a.ts < s.end_ts
+  group by all),
+last_session as (select s.root, s.k, max(t.ts) as last_ts from seg s join sess t on t.ts >= s.start_ts and (s.end_ts is null or t.ts < s.end_ts) group by all)"""
+_FRONT_GAPS = """front as (select s.root, s.k, s.contract, p.ts, p.close as price from seg s join gaps p
+  on p.symbol = s.contract and p.ts >= s.start_ts and (s.end_ts is null or p.ts < s.end_ts) where p.close is not null)"""
+_ADJ_GAPS = """quoted as (select root, k, first(price order by ts) as p0, last(price order by ts) as plast from front group by all),
+steps as (
+  select l.root, l.k, p1, pn, p0, last_value(plast ignore nulls) over (partition by l.root order by l.k rows between unbounded preceding and 1 preceding) as before
+  from links l left join quoted q on l.root = q.root and l.k = q.k),
+adj as (
+  select root, k, coalesce(sum(p1 - pn) over w, 0) as back, coalesce(product(p1 / pn) over w, 1) as ratio,
+    product(case when p0 is null or before is null then 1 else before / p0 end) over (partition by root order by k) as stitch
+  from steps
+  window w as (partition by root order by k rows between unbounded preceding and 1 preceding))"""
+
+
+@register(
+    "d_roll_links", "root s, k i, contract s, next_contract s, end_ts d, link_ts d, gap_days i, link_price 6, next_price 6",
+    _roll_sql(
+        """select l.*, p1 as link_price, pn as next_price, datediff('day', link_ts, last_ts) as gap_days
+        from links l join last_session using (root, k)""",
+        BRAND, _LINKS_GAPS,
+    ),
+)
+def d_roll_links(spark, sf):
+    """Where each roll is linked when contracts are not quoted every session."""
+    px = sinks.stored(panel.gaps(spark, sf, BRAND), "gaps")
+    return continuous.roll_links(_contracts(px), _schedule(px, BRAND))
+
+
+@register(
+    "d6_unquoted_rolls", "method s, root s, ts d, price 6",
+    _roll_sql(
+        " union all ".join(f"select '{m}' as method, * from ({q})" for m, q in _SERIES.items()),
+        BRAND, _LINKS_GAPS, _FRONT_GAPS, _ADJ_GAPS,
+    ),
+)
+def d6_unquoted_rolls(spark, sf):
+    px = sinks.stored(panel.gaps(spark, sf, BRAND), "gaps")
+    return continuous.continuous_matrix(_contracts(px), _schedule(px, BRAND))
+
+
 @register(
     "d_violations", "root s, contract s, problem s",
     _roll_sql(
         """select distinct root, next_contract as contract, 'zero price before its roll' as problem from seg where root = 'R0' and end_ts is not null
             and next_contract = (select min(contract) from seg where root = 'R0')
-        union all select distinct root, contract, 'no prices' from seg where root = 'R1' and contract = (select max(contract) from seg where root = 'R1')""",
+        union all select distinct root, contract, 'no prices' from seg where root = 'R1' and contract = (select max(contract) from seg where root = 'R1')
+        union all select distinct root, contract, 'no common quote before its roll' from seg where root = 'R2' and k = 2""",
         BRAND,
     ),
 )
 def d_violations(spark, sf):
-    """A contract of one root always at zero, and one of another root without any price."""
+    """A contract of one root always at zero, one of another root without any price, and one of a third without a quote before its roll."""
     px = panel.stored_panel(spark, sf, BRAND)
     plan = _schedule(px, BRAND)
     names = plan.groupBy("root").agg(F.min("contract").alias("lo"), F.max("contract").alias("hi"))
     gone = names.filter("root = 'R1'").select(F.col("hi").alias("contract"))
     zero = names.filter("root = 'R0'").select(F.col("lo").alias("contract"), F.lit(True).alias("zero"))
-    prices = _contracts(px).join(gone, "contract", "left_anti").join(zero, "contract", "left")
-    prices = prices.withColumn("price", F.when(F.col("zero"), 0.0).otherwise(F.col("price"))).drop("zero")
+    late = continuous.intervals(plan).filter("root = 'R2' and k = 2").select("contract", F.col("start_ts").alias("from"))
+    prices = _contracts(px).join(gone, "contract", "left_anti").join(zero, "contract", "left").join(late, "contract", "left")
+    prices = prices.filter("from is null or ts >= from")
+    prices = prices.withColumn("price", F.when(F.col("zero"), 0.0).otherwise(F.col("price"))).drop("zero", "from")
     return continuous.link_violations(prices, plan, ["ratio_adjusted"]).distinct()

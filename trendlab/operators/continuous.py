@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.series import ratio
+from ..sources.sinks import stored
 
 METHODS = ("back_adjusted", "ratio_adjusted", "stitched")
 _ALIASES = {"stitch_returns": "stitched"}
@@ -69,38 +70,72 @@ def _tagged(contract_prices: DataFrame, schedule: DataFrame) -> DataFrame:
 
 
 def _boundaries(tagged: DataFrame) -> DataFrame:
-    """One row per non-empty segment: first and last front price and the next contract's price.
+    """One row per non-empty segment: its first and last front quote, its last session, and the link to the next contract.
 
-    Prices must stand on the segment's first or last date; an absent one is null.
+    The link is the last session of the segment on which the front and the next contract are both quoted.
     """
+    quote = lambda name: F.max(F.when(F.col("contract") == F.col(name), F.col("price")))
+    daily = tagged.groupBy("root", "k", "ts").agg(quote("front").alias("front"), quote("next").alias("next"))
+    quoted = F.when(F.col("front").isNotNull(), F.struct("ts", "front"))
+    both = F.when(F.col("front").isNotNull() & F.col("next").isNotNull(), F.struct("ts", "front", "next"))
+    return daily.groupBy("root", "k").agg(
+        F.min(quoted)["front"].alias("first_price"),
+        F.max(quoted)["front"].alias("last_price"),
+        F.max("ts").alias("last_ts"),
+        F.max(both).alias("link"),
+    )
+
+
+def _earlier_links(contract_prices: DataFrame, unlinked: DataFrame) -> DataFrame:
+    """``(root, k, link)``: the last session before its start on which a segment's contract and the next one are both quoted."""
+    quotes = contract_prices.filter("price is not null")
+    of = lambda name: quotes.select(F.col("contract").alias(name), "ts", F.col("price").alias(f"{name}_price"))
+    both = unlinked.join(of("contract"), "contract").filter("ts < start_ts").join(of("next_contract"), ["next_contract", "ts"])
+    link = F.struct("ts", F.col("contract_price").alias("front"), F.col("next_contract_price").alias("next"))
+    return both.groupBy("root", "k").agg(F.max(link).alias("earlier"))
 
-    def on_edge(edge, day: Column, contract: str) -> Column:
-        hit = edge(F.when(F.col("contract") == F.col(contract), F.struct("ts", "price")))
-        return F.when(hit["ts"] == day, hit["price"])
 
-    first_day, last_day = F.min("ts"), F.max("ts")
-    return tagged.groupBy("root", "k").agg(
-        on_edge(F.min, first_day, "front").alias("first_price"),
-        on_edge(F.max, last_day, "front").alias("last_price"),
-        on_edge(F.max, last_day, "next").alias("next_price"),
+def roll_links(contract_prices: DataFrame, schedule: DataFrame) -> DataFrame:
+    """One row per segment with sessions: what ties it to the next one.
+
+    ``(root, k, contract, next_contract, start_ts, end_ts, first_price, last_price, link_ts, link_price, next_price, gap_days)``.
+    The contracts are compared on the last session before the roll on which both are quoted, inside the segment or, where it has
+    none, before it; ``gap_days`` is how long before the segment's last session that was. Without any such session
+    the link is null. The rows are few, and written once, as checks and adjustments both read them.
+    """
+    seg = intervals(schedule)
+    tagged = _tagged(contract_prices, schedule)
+    bounds = stored(_boundaries(tagged).join(seg, ["root", "k"]), "roll-bounds")
+    unlinked = bounds.filter("link is null and next_contract is not null")
+    if not unlinked.isEmpty():
+        earlier = _earlier_links(contract_prices, unlinked.select("root", "k", "contract", "next_contract", "start_ts"))
+        bounds = stored(bounds.join(earlier, ["root", "k"], "left").withColumn("link", F.coalesce("link", "earlier")).drop("earlier"), "roll-links")
+    return bounds.select(
+        "root", "k", "contract", "next_contract", "start_ts", "end_ts", "first_price", "last_price",
+        F.col("link.ts").alias("link_ts"), F.col("link.front").alias("link_price"), F.col("link.next").alias("next_price"),
+        F.datediff("last_ts", "link.ts").alias("gap_days"),
     )
 
 
-def _adjustments(bounds: DataFrame, methods: Sequence[str]) -> DataFrame:
-    """``(root, k, <method>...)``: offset or factor per segment; null once a link is missing."""
+def _adjustments(links: DataFrame, methods: Sequence[str]) -> DataFrame:
+    """``(root, k, <method>...)``: offset or factor per segment; null once a link is missing.
+
+    Stitching ties the first quote of a segment to the last one before it, so a segment without quotes is passed over.
+    """
     by_root = Window.partitionBy("root").orderBy("k")
     upto = by_root.rowsBetween(Window.unboundedPreceding, 0)
-    last, following, first = F.col("last_price"), F.col("next_price"), F.col("first_price")
-    links = {
+    last, following, first = F.col("link_price"), F.col("next_price"), F.col("first_price")
+    before = F.last("last_price", ignorenulls=True).over(by_root.rowsBetween(Window.unboundedPreceding, -1))
+    steps = {
         "back_adjusted": F.lag(last - following).over(by_root),
         "ratio_adjusted": F.lag(ratio(last, following)).over(by_root),
-        "stitched": ratio(F.lag(last).over(by_root), first),
+        "stitched": F.when(first.isNull() | before.isNull(), 1.0).otherwise(ratio(before, first)),
     }
     opening = F.row_number().over(by_root) == 1
-    rows = bounds
+    rows = links
     for name in methods:
         neutral = 0.0 if name == "back_adjusted" else 1.0
-        rows = rows.withColumn(f"_{name}", F.when(opening, neutral).otherwise(links[name]))
+        rows = rows.withColumn(f"_{name}", F.when(opening, neutral).otherwise(steps[name]))
     adjusted = []
     for name in methods:
         combine = F.sum if name == "back_adjusted" else F.product
@@ -109,46 +144,64 @@ def _adjustments(bounds: DataFrame, methods: Sequence[str]) -> DataFrame:
     return rows.select("root", "k", *adjusted)
 
 
-def link_violations(contract_prices: DataFrame, schedule: DataFrame, methods: Sequence[str] = METHODS) -> DataFrame:
-    """``(root, contract, problem)``: what ends a continuous series early.
+def link_violations(
+    contract_prices: DataFrame,
+    schedule: DataFrame,
+    methods: Sequence[str] = METHODS,
+    max_gap_days: int | None = None,
+    links: DataFrame | None = None,
+) -> DataFrame:
+    """``(root, contract, problem)``: what ends a continuous series early, or ties it over too long a gap.
 
-    A contract of the schedule without any price, and a roll at which a ratio or stitched link divides by zero.
+    A contract of the schedule without any price; a roll before which the two contracts were never quoted together, or
+    not within ``max_gap_days`` of the segment's last session; a roll at which a ratio or stitched link divides by zero.
     """
-    seg = intervals(schedule)
+    links = roll_links(contract_prices, schedule) if links is None else links
     known = contract_prices.filter("price is not null").select("contract").distinct()
-    unknown = seg.join(known, "contract", "left_anti").select("root", "contract", F.lit("no prices").alias("problem")).distinct()
+    unknown = intervals(schedule).join(known, "contract", "left_anti").select("root", "contract", F.lit("no prices").alias("problem")).distinct()
+    by_root = Window.partitionBy("root")
+    edges = links.withColumn("_first", F.min("k").over(by_root)).withColumn("_last", F.max("k").over(by_root))
+    rolls = edges.filter("k < _last")
+    incoming = lambda rows, problem: rows.select("root", F.col("next_contract").alias("contract"), F.lit(problem).alias("problem"))
     found = [unknown]
-    bounds = _boundaries(_tagged(contract_prices, schedule)).join(seg.select("root", "k", "contract", "next_contract"), ["root", "k"])
+    if {"back_adjusted", "ratio_adjusted"} & set(methods):
+        apart = rolls.filter("link_ts is null").join(known, "contract", "left_semi")
+        apart = apart.join(known.withColumnRenamed("contract", "next_contract"), "next_contract", "left_semi")
+        found.append(incoming(apart, "no common quote before its roll"))
+        if max_gap_days is not None:
+            found.append(incoming(rolls.filter(F.col("gap_days") > max_gap_days), f"no common quote within {max_gap_days} days of its roll"))
     if "ratio_adjusted" in methods:
-        zero = bounds.filter("next_price = 0").select("root", F.col("next_contract").alias("contract"))
-        found.append(zero.withColumn("problem", F.lit("zero price before its roll")))
+        found.append(incoming(rolls.filter("next_price = 0"), "zero price before its roll"))
     if "stitched" in methods:
-        opening = F.min("k").over(Window.partitionBy("root"))
-        zero = bounds.withColumn("_first", opening).filter("first_price = 0 and k > _first").select("root", "contract")
+        zero = edges.filter("first_price = 0 and k > _first").select("root", "contract")
         found.append(zero.withColumn("problem", F.lit("zero price after its roll")))
     return reduce(DataFrame.unionByName, found)
 
 
 def continuous_matrix(
-    contract_prices: DataFrame, schedule: DataFrame, methods: Sequence[str] = METHODS, check: bool = True
+    contract_prices: DataFrame,
+    schedule: DataFrame,
+    methods: Sequence[str] = METHODS,
+    check: bool = True,
+    max_gap_days: int | None = None,
 ) -> DataFrame:
     """``(method, root, ts, price)`` for every root of the schedule at once.
 
-    All methods share the segments and their boundary prices and differ only in the link.  An empty schedule and any
+    All methods share the segments and their links (:func:`roll_links`) and differ only in the step between two of them.
+    A roll on a session without quotes is linked on the last session with both. An empty schedule and any
     :func:`link_violations` raise; with ``check=False`` a series ends at such a link.
     """
     methods = [_ALIASES.get(m, m) for m in methods]
     unknown = sorted(set(methods) - set(METHODS))
     if unknown:
         raise ValueError(f"no continuous series by {unknown}; known are {METHODS}")
+    links = roll_links(contract_prices, schedule)
     if check:
-        if schedule.isEmpty():
+        if links.isEmpty() and schedule.isEmpty():
             raise ValueError("a continuous series needs at least one row of roll schedule")
-        if problem := link_violations(contract_prices, schedule, methods).limit(1).collect():
+        if problem := link_violations(contract_prices, schedule, methods, max_gap_days, links).limit(1).collect():
             raise ValueError(f"continuous series would end early: {problem[0].asDict()}")
-    tagged = _tagged(contract_prices, schedule)
-    adjustments = _adjustments(_boundaries(tagged), methods)
-    front = tagged.filter("contract = front").join(adjustments, ["root", "k"])
+    front = _tagged(contract_prices, schedule).filter("contract = front and price is not null").join(_adjustments(links, methods), ["root", "k"])
     price = F.col("price")
     variants = [
         F.struct(F.lit(m).alias("method"), (price + F.col(m) if m == "back_adjusted" else price * F.col(m)).alias("price"))
@@ -159,7 +212,7 @@ def continuous_matrix(
 
 
 def continuous_series(
-    contract_prices: DataFrame, schedule: DataFrame, method: str = "back_adjusted", check: bool = True
+    contract_prices: DataFrame, schedule: DataFrame, method: str = "back_adjusted", check: bool = True, max_gap_days: int | None = None
 ) -> DataFrame:
     """``(root, ts, price)`` by one method."""
-    return continuous_matrix(contract_prices, schedule, [method], check).drop("method")
+    return continuous_matrix(contract_prices, schedule, [method], check, max_gap_days).drop("method")

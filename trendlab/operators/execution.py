@@ -13,7 +13,8 @@ one elementary piece.  That is a sort per series, not a join of orders with days
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,13 +82,13 @@ def _with_legs(book: DataFrame, roll_dates: DataFrame | None) -> DataFrame:
     """Rebalance delta and roll size per session, the roll taken at the uncapped position."""
     rows = rebalance_deltas(book)
     if roll_dates is None:
-        return rows.withColumn("roll_qty", F.lit(0.0))
+        return rows.withColumn("roll_qty", F.lit(0.0)).withColumn("_due", F.lit(False))
     marked = rows.join(
         roll_dates.select("symbol", "ts").distinct().withColumn("_roll", F.lit(True)), ["symbol", "ts"], "left"
     )
     held = F.lag("target", 1, 0.0).over(series(KEYS))
-    due = F.col("_roll") & F.lead("ts").over(series(KEYS)).isNotNull() & (F.abs(held) > _MIN_ORDER)
-    return marked.withColumn("roll_qty", F.when(due, held).otherwise(0.0)).drop("_roll")
+    marked = marked.withColumn("_due", F.coalesce(F.col("_roll") & F.lead("ts").over(series(KEYS)).isNotNull(), F.lit(False)))
+    return marked.withColumn("roll_qty", F.when(F.col("_due") & (F.abs(held) > _MIN_ORDER), held).otherwise(0.0)).drop("_roll")
 
 
 def service_curve(book: DataFrame, roll_dates: DataFrame | None = None) -> DataFrame:
@@ -95,7 +96,10 @@ def service_curve(book: DataFrame, roll_dates: DataFrame | None = None) -> DataF
 
     With daily capacity ``c`` and its running sum ``C``, ``served = C + min(0, min(arrived - C))``.
     """
-    rows = _with_legs(book, roll_dates)
+    return _served(_with_legs(book, roll_dates))
+
+
+def _served(rows: DataFrame) -> DataFrame:
     volume = (F.abs("delta") + 2 * F.abs("roll_qty")).cast(_QTY)
     earlier = series(KEYS).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_vol", volume)
@@ -162,49 +166,40 @@ def _pieces(rows: DataFrame) -> DataFrame:
     )
 
 
-_EVENT_SCHEMA = """run_id string, symbol string, symbol_pos int, kind string, ts date, close double, adv double,
-    point_value double, adv_limit_pct double, commission_per_contract double, impact_k double, impact_alpha double,
-    tick_value double, min_slippage_ticks double, submitted date, leg int, reason string, qty double,
-    partial boolean, target double"""
-
+def _rolls_under_capacity(table: pa.Table) -> pa.Table:
+    """One series with the sizes of its rolls (``roll_qty``) as they are when capacity binds; all other columns as they are.
 
-def _work_queue(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One series whose rolls meet a binding capacity: the roll size depends on earlier fills.
-
-    Rows of the result are the orders (``kind`` o) and fills (f) in the order they happen.
+    On the axis of cumulative volume, the position after serving v is a broken line: an order moves it by its own
+    quantity, and the two legs of a roll take it to nothing and back. What is served by the end of session t obeys
+    ``S(t) = min(A(t-1), S(t-1) + c(t))``, so from one roll day r to the next one s it is
+    ``min(S(r) + C(r, s], A(r) + min over j of D(r, j-1] + C(j, s])``, with C and D the running sums of capacity and of
+    rebalance volume: a shift and a floor. A roll's size is the line's value at S(s), and puts two more knots on it. The
+    loop is over the rolls, everything between two of them is one array expression.
     """
-    pdf = pdf.sort_values("ts").reset_index(drop=True)
-    days = pdf.to_dict("records")
-    last = len(days) - 1
-    queue: list[dict] = []
-    events: list[dict] = []
-    position = goal = 0.0
-    for i, day in enumerate(days):
-        room = max(day["adv_limit_pct"] * day["adv"], 0.0) if day["adv_limit_pct"] > 0 else float("inf")
-        for item in queue:
-            take = min(abs(item["open"]), room)
-            if take <= _MIN_FILL:
-                break
-            signed = take if item["open"] > 0 else -take
-            item["open"] -= signed
-            position += signed
-            room -= take
-            events.append({**day, **item["about"], "kind": "f", "qty": signed, "partial": abs(item["open"]) > _MIN_FILL, "target": None})
-        queue = [item for item in queue if abs(item["open"]) > _MIN_FILL]
-        if i == last:
-            break
-        wanted = []
-        if i and day["_roll"] and abs(position) > _MIN_ORDER:
-            wanted += [(0, -position, "roll", None), (1, position, "roll", None)]
-        if abs(day["target"] - goal) > _MIN_ORDER:
-            wanted.append((2, day["target"] - goal, "rebalance", day["target"]))
-            goal = day["target"]
-        for leg, qty, reason, target in wanted:
-            about = {"submitted": day["ts"], "leg": leg, "reason": reason}
-            queue.append({"open": qty, "about": about})
-            events.append({**day, **about, "kind": "o", "qty": qty, "partial": None, "target": target})
-    columns = [part.split()[0] for part in _EVENT_SCHEMA.replace("\n", " ").split(",")]
-    return pd.DataFrame(events, columns=columns)
+    table = table.sort_by("ts")
+    numbers = lambda name: np.nan_to_num(table.column(name).to_numpy(zero_copy_only=False).astype(float))
+    delta, sizes = numbers("delta"), np.zeros(table.num_rows)
+    limit = numbers("adv_limit_pct")
+    cap = np.where(limit > 0, np.maximum(limit * numbers("adv"), 0.0), np.inf)
+    goal = np.cumsum(delta)
+    due = np.flatnonzero(table.column("_due").to_numpy(zero_copy_only=False).astype(bool))
+    axis, line = np.zeros(1), np.zeros(1)  # knots of the broken line that are not yet served, and the last one that is
+    served = arrived = 0.0
+    last = 0  # the session up to which `served` is known; the orders of its close and later are not on the axis
+    for day in due[due > 0].tolist():
+        ends = arrived + np.cumsum(np.abs(delta[last:day]))
+        room = np.append(np.cumsum(cap[last + 2 : day + 1][::-1])[::-1], 0.0)
+        served = min(served + cap[last + 1 : day + 1].sum(), float((ends + room).min()))
+        axis, line = np.append(axis, ends), np.append(line, goal[last:day])
+        arrived, size = float(ends[-1]), round(float(np.interp(served, axis, line)), 9)
+        below = int(np.searchsorted(axis, served, side="right")) - 1
+        axis, line = axis[below:], line[below:]
+        if abs(size) > _MIN_ORDER:
+            sizes[day] = size
+            axis, line = np.append(axis, arrived + abs(size) * np.array([1, 2])), np.append(line, goal[day - 1] - np.array([size, 0]))
+            arrived += 2 * abs(size)
+        last = day
+    return table.set_column(table.column_names.index("roll_qty"), "roll_qty", pa.array(sizes))
 
 
 def _priced(fills: DataFrame) -> DataFrame:
@@ -224,35 +219,24 @@ def _priced(fills: DataFrame) -> DataFrame:
 def events(book: DataFrame, roll_dates: DataFrame | None = None) -> DataFrame:
     """Orders (``kind`` o) and fills (f) of the whole book in one table, still without order ids.
 
-    Series whose rolls meet a binding capacity go through a keyed fold that gives both kinds at once; all others are
-    expressions.
+    A roll has the size of the position, which is the last target unless capacity holds orders back. Where rolls meet a
+    binding capacity, their sizes are found first, series by series; all else is expressions.
     """
     curve = service_curve(book, roll_dates)
     legs = [F.when(F.col("delta") != 0, _leg(2, F.col("delta"), "rebalance", F.col("target")))]
     if roll_dates is not None:
         whole = Window.partitionBy(*KEYS)
         late = F.max(F.col("arrived") - F.col("served")).over(whole) > 0
-        rolled = F.max(F.abs("roll_qty")).over(whole) > 0
-        curve = curve.withColumn("_fold", late & rolled)
+        curve = curve.withColumn("_late", late & F.max("_due").over(whole))
+        sized = curve.filter("_late").drop("arrived", "served", "_late")
+        sized = sized.groupBy(*KEYS).applyInArrow(_rolls_under_capacity, sized.schema)
+        curve = curve.filter("not _late").drop("_late").unionByName(_served(sized))
         live = F.col("roll_qty") != 0
         legs += [F.when(live, _leg(k, sign * F.col("roll_qty"), "roll", None)) for k, sign in ((0, -1), (1, 1))]
-    plain = curve if roll_dates is None else curve.filter("not _fold")
-    orders = plain.select(
+    orders = curve.select(
         *KEYS, "symbol_pos", F.col("ts").alias("submitted"), F.explode(F.filter(F.array(*legs), lambda x: x.isNotNull())).alias("l")
     ).select(F.lit("o").alias("kind"), *KEYS, "symbol_pos", "submitted", "l.*")
-    out = orders.unionByName(_pieces(plain).withColumn("kind", F.lit("f")), allowMissingColumns=True)
-    if roll_dates is None:
-        return out
-    scheduled = roll_dates.select("symbol", "ts").distinct().withColumn("_roll", F.lit(True))
-    folded = (
-        curve.filter("_fold")
-        .join(scheduled, ["symbol", "ts"], "left")
-        .withColumn("_roll", F.coalesce("_roll", F.lit(False)))
-        .select(*KEYS, "symbol_pos", "ts", "close", "adv", "point_value", *COST_COLUMNS, "target", "_roll")
-        .groupBy(*KEYS)
-        .applyInPandas(_work_queue, _EVENT_SCHEMA)
-    )
-    return out.unionByName(folded)
+    return orders.unionByName(_pieces(curve).withColumn("kind", F.lit("f")), allowMissingColumns=True)
 
 
 def orders_and_fills(table: DataFrame) -> tuple[DataFrame, DataFrame]:
