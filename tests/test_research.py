@@ -104,17 +104,47 @@ def test_sweep_equals_single_runs(spark, market):
             assert together[scenario["run_id"], r.ts] == pytest.approx(r.nav, abs=1e-6)
 
 
-def test_many_settings_run_in_batches(spark, market, monkeypatch):
+def test_settings_are_rows_in_any_number(spark, market, monkeypatch):
+    """Each run of a large sweep equals the run alone, also when its settings are dealt to several join keys."""
     from trendlab.plans import backtest
 
     prices, universe, _ = market
-    grid = {"signals.momentum.lookbacks": [[3], [4], [5]]}
-    whole = api.run_parameter_sweep(spark, CONFIG, prices, universe, parameter_grid=grid).backtest.sized.collect()
-    monkeypatch.setattr(backtest, "MAX_SETTINGS", 2)
-    parts = api.run_parameter_sweep(spark, CONFIG, prices, universe, parameter_grid=grid).backtest
-    assert [len(b) for b in backtest._batches(parts.rows)] == [2, 1]
+    grid = {"signals.momentum.lookbacks": [[k] for k in range(2, 12)], "risk.vol_model": ["ewma", "rolling"], "risk.vol_lookback": [5, 6, 9], "risk.min_vol_periods": [2, 3]}
+    whole = api.run_parameter_sweep(spark, CONFIG, prices, universe, parameter_grid=grid)
     key = lambda r: (r.run_id, r.symbol, r.ts, r.target)
-    assert sorted(map(key, parts.sized.collect())) == sorted(map(key, whole))
+    rows = sorted(map(key, whole.backtest.sized.collect()))
+    assert len({r[0] for r in rows}) == 120
+    monkeypatch.setattr(backtest, "SETTINGS_PER_PART", 3)
+    parts = api.run_parameter_sweep(spark, CONFIG, prices, universe, parameter_grid=grid).backtest
+    assert sorted(map(key, parts.sized.collect())) == rows
+    for scenario in (whole.scenarios[3], whole.scenarios[70]):
+        alone = api.run_backtest(spark, scenario["config"], prices, universe).sized.collect()
+        assert [(r[1], r[2], pytest.approx(r[3])) for r in rows if r[0] == scenario["run_id"]] == sorted((r.symbol, r.ts, r.target) for r in alone)
+
+
+def test_features_by_setting_equal_the_columns(spark, market):
+    """Settings as rows give the values of the one-setting operators."""
+    from trendlab.operators import risk, signals
+
+    prices, _, _ = market
+    panel = prices.withColumn("window_id", F.lit(0))
+    keys = ("window_id", "symbol")
+    specs = [(0, 0, [3, 8], 2), (0, 1, [5], 0)]
+    table = spark.createDataFrame(specs, "window_id int, sig_id int, lookbacks array<int>, skip int")
+    got = {(r.sig_id, r.symbol, r.ts): r.signal for r in signals.momentum_by_setting(panel, table).collect()}
+    for _, number, lookbacks, skip in specs:
+        for r in signals.momentum(panel, lookbacks, skip, keys=keys).collect():
+            assert got[number, r.symbol, r.ts] == pytest.approx(r.signal, abs=1e-12)
+    specs = [(0, 0, "ewma", 0.9, 3, 0), (0, 1, "rolling", 0.0, 4, 6), (0, 2, "rolling", 0.0, 9, 9)]
+    table = spark.createDataFrame(specs, "window_id int, vol_id int, model string, lam double, min_periods int, lookback int")
+    for look in (True, False):
+        found = risk.volatility_by_setting(panel, table, ("ewma", "rolling"), allow_lookahead=look)
+        got = {(r.vol_id, r.symbol, r.ts): r.vol for r in found.collect()}
+        for _, number, model, lam, least, lookback in specs:
+            for r in risk.volatility(panel, model, lookback, lam, least, keys, allow_lookahead=look).collect():
+                assert got[number, r.symbol, r.ts] == pytest.approx(r.vol, rel=1e-9, abs=1e-12)
+    flat = panel.withColumn("close", F.lit(7.0))
+    assert {r.vol for r in risk.volatility_by_setting(flat, table, ("ewma", "rolling")).collect()} == {0.0}
 
 
 def test_layers_of_settings():

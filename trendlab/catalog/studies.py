@@ -129,6 +129,21 @@ def j9_nine(spark, sf):
     return _sweep(spark, sf, NINE).ranking()
 
 
+#: 40 signal settings times 5 volatility settings: 200 runs, each with features of its own.
+_TWO_HUNDRED = {
+    "signals.momentum.lookbacks": [[20 + 4 * k, 252] for k in range(40)],
+    "risk.ewma_lambda": [0.9, 0.92, 0.94, 0.96, 0.98],
+}
+
+
+@register(
+    "j3_sweep_two_hundred", f"run_id s, rank i, {_METRIC_COLUMNS}",
+    backtest_sql("select *, row_number() over (order by sharpe desc nulls last, run_id) as rank from summary", "summary", _grid_runs(_TWO_HUNDRED)),
+)
+def j3_two_hundred(spark, sf):
+    return _sweep(spark, sf, _TWO_HUNDRED).ranking()
+
+
 @register(
     "j17_replay_sweep", "artefact s, n_rows i, n_missing i, n_extra i",
     backtest_sql(

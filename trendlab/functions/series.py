@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 Keys = Sequence[str]
@@ -82,3 +82,15 @@ def ratio(top: Column, bottom: Column) -> Column:
 
 def pct_change(value: str, keys: Keys, ts: str = "ts") -> Column:
     return ratio(F.col(value), F.lag(value).over(series(keys, ts))) - 1
+
+
+def with_settings(rows: DataFrame, settings: DataFrame, number: str, parts: int = 1) -> DataFrame:
+    """Every row with every setting of its ``window_id``.
+
+    A plain sweep has one window, so one join key. ``parts`` deals its settings to so many keys by their ``number``, for
+    the case that they are too many to be broadcast; each part gets its own copy of the rows.
+    """
+    if parts == 1:
+        return rows.join(settings, "window_id")
+    dealt = settings.withColumn("_part", F.pmod(F.col(number), F.lit(parts)))
+    return rows.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(dealt, ["window_id", "_part"]).drop("_part")

@@ -1,8 +1,8 @@
 """One plan for any number of scenarios: prices in, every result table out.
 
-Work is shared where scenarios agree.  Signals and volatilities are columns of the panel of a date
-window, one column per distinct setting, computed once per ``(window, symbol)`` in a single
-clustering; only then does the panel fan out to its runs.  From there the plan groups by
+Work is shared where scenarios agree.  Signals and volatilities are rows keyed by window, setting and
+symbol, each distinct setting once; pairs of both that occur in runs are joined, and only then does
+the panel fan out to its runs.  The plan is the same for one setting and for any number.  From there the plan groups by
 ``(run, date)`` for the cross-sectional sizing and by ``(run, symbol)`` for holding, orders and fills.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
-from functools import cached_property, reduce
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,8 +25,7 @@ from ..sources.sinks import stored
 from .scenarios import PARAM_TYPES, scenario_frame
 from .walkforward import rows_in_windows
 
-MAX_SETTINGS = 64  # distinct signal (or volatility) settings that share one panel
-
+SETTINGS_PER_PART = 4096  # of one window, joined by one key
 _WINDOW = ("window_id", "symbol")
 _RUN = ("run_id", "symbol")
 _PARAMS = (
@@ -35,10 +34,6 @@ _PARAMS = (
 )
 
 
-def _distinct(values: Sequence) -> list:
-    return list(dict.fromkeys(values))
-
-
 def _vol_spec(row: Mapping) -> tuple:
     if row["vol_model"] == "ewma":
         return ("ewma", row["ewma_lambda"], row["min_vol_periods"], 0)
@@ -49,19 +44,9 @@ def _signal_spec(row: Mapping) -> tuple:
     return (tuple(row["lookbacks"]), row["skip_last_n"])
 
 
-def _batches(rows: Sequence[Mapping]) -> list[tuple]:
-    """Split runs so that no panel carries more than ``MAX_SETTINGS`` signal or volatility columns."""
-    batches: list[tuple] = []
-    current: list[Mapping] = []
-    seen: tuple[set, set] = (set(), set())
-    for row in rows:
-        grown = (seen[0] | {_signal_spec(row)}, seen[1] | {_vol_spec(row)})
-        if current and max(map(len, grown)) > MAX_SETTINGS:
-            batches.append(tuple(current))
-            current, grown = [], ({_signal_spec(row)}, {_vol_spec(row)})
-        current.append(row)
-        seen = grown
-    return [*batches, tuple(current)]
+def _numbered(values: Sequence) -> dict:
+    """Distinct values with their numbers."""
+    return {value: number for number, value in enumerate(dict.fromkeys(values))}
 
 
 def check_panel(prices: DataFrame, windows: Sequence[tuple]) -> None:
@@ -127,21 +112,38 @@ class Backtest:
     def scenarios(self) -> DataFrame:
         return scenario_frame(self.spark, self.rows)
 
+    @cached_property
+    def _runs(self) -> list[tuple]:
+        """Window, signal setting and volatility setting of each run."""
+        return [((r["start"], r["end"]), _signal_spec(r), _vol_spec(r)) for r in self.rows]
+
     @cached_property
     def features(self) -> DataFrame:
-        """Window panel with ``sig_<i>`` and ``vol_<i>``: one column per distinct setting."""
-        windows = _distinct([(r["start"], r["end"]) for r in self.rows])
-        panel = window_panel(self.spark, self.prices, windows)
-        for i, (lookbacks, skip) in enumerate(_distinct([_signal_spec(r) for r in self.rows])):
-            panel = signals.momentum(panel, lookbacks, skip, keys=_WINDOW, column=f"sig_{i}")
-        for i, (model, lam, min_periods, lookback) in enumerate(_distinct([_vol_spec(r) for r in self.rows])):
-            panel = risk.volatility(
-                panel, model, lookback, lam, min_periods, _WINDOW, f"vol_{i}", self.allow_lookahead
-            )
+        """``(window_id, sig_id, vol_id, symbol, ts, close, signal, vol)`` for every pair of settings that a run has."""
+        windows, sigs, vols = (_numbered(v) for v in zip(*self._runs, strict=True))
+        panel = window_panel(self.spark, self.prices, list(windows))
         if self._daily_volume:
             source = self.adv if isinstance(self.adv, DataFrame) else "adv"
             panel = calendar.align_volume(panel, source, None, _WINDOW)
-        return panel
+        panel = stored(panel, "window-panel")
+        parts = lambda settings: -(-len(settings) // SETTINGS_PER_PART)
+        used = dict.fromkeys((windows[w], sigs[s], s) for w, s, _ in self._runs)
+        sig_rows = small_table(
+            self.spark, [(w, i, list(lookbacks), skip) for w, i, (lookbacks, skip) in used], "window_id int, sig_id int, lookbacks array<int>, skip int"
+        )
+        used = dict.fromkeys((windows[w], vols[v], v) for w, _, v in self._runs)
+        vol_rows = small_table(
+            self.spark,
+            [(w, i, model, lam, least or lookback, lookback) for w, i, (model, lam, least, lookback) in used],
+            "window_id int, vol_id int, model string, lam double, min_periods int, lookback int",
+        )
+        signal = signals.momentum_by_setting(panel, sig_rows, _WINDOW, parts=parts(sigs))
+        vol = risk.volatility_by_setting(panel, vol_rows, tuple({v[0] for v in vols}), _WINDOW, self.allow_lookahead, parts(vols))
+        pairs = small_table(
+            self.spark, list(dict.fromkeys((windows[w], sigs[s], vols[v]) for w, s, v in self._runs)), "window_id int, sig_id int, vol_id int"
+        )
+        both = signal.join(pairs, ["window_id", "sig_id"]).join(vol, [*_WINDOW, "vol_id", "ts"])
+        return both.join(panel.select(*_WINDOW, "ts", "adv"), [*_WINDOW, "ts"]) if self._daily_volume else both
 
     @property
     def _daily_volume(self) -> bool:
@@ -151,35 +153,22 @@ class Backtest:
     @cached_property
     def panel(self) -> DataFrame:
         """``(run_id, symbol, ts)`` with price, signal, volatility, volume and the run's parameters."""
-        sig_specs = _distinct([_signal_spec(r) for r in self.rows])
-        vol_specs = _distinct([_vol_spec(r) for r in self.rows])
-        windows = _distinct([(r["start"], r["end"]) for r in self.rows])
-        picks = [
-            (r["run_id"], windows.index((r["start"], r["end"])), sig_specs.index(_signal_spec(r)), vol_specs.index(_vol_spec(r)))
-            for r in self.rows
-        ]
+        windows, sigs, vols = (_numbered(v) for v in zip(*self._runs, strict=True))
+        picks = [(windows[w], sigs[s], vols[v]) for w, s, v in self._runs]
         runs = small_table(
             self.spark,
-            [(*p, *[r[c] for c in _PARAMS]) for p, r in zip(picks, self.rows, strict=True)],
-            "run_id string, window_id int, sig int, vol_pick int, "
-            + ", ".join(f"{c} {PARAM_TYPES[c]}" for c in _PARAMS),
+            [(r["run_id"], *p, *[r[c] for c in _PARAMS]) for p, r in zip(picks, self.rows, strict=True)],
+            "run_id string, window_id int, sig_id int, vol_id int, " + ", ".join(f"{c} {PARAM_TYPES[c]}" for c in _PARAMS),
         )
-
-        def pick(prefix: str, index: str, n: int):
-            out = F.when(F.col(index) == 0, F.col(f"{prefix}_0"))
-            for i in range(1, n):
-                out = out.when(F.col(index) == i, F.col(f"{prefix}_{i}"))
-            return out
-
         dims = self.universe.select("symbol", "sector", "point_value", "contract_step", F.col("pos").alias("symbol_pos"))
-        fan = self.features.join(runs, "window_id").join(dims, "symbol", "left")
+        fan = self.features.join(runs, ["window_id", "sig_id", "vol_id"]).join(dims, "symbol", "left")
         out = fan.select(
             "run_id", "symbol", "ts", "close", "sector",
             F.coalesce("point_value", F.lit(1.0)).alias("point_value"),
             F.coalesce("contract_step", F.lit(1.0)).alias("contract_step"),
             F.coalesce("symbol_pos", F.lit(2**31 - 1)).alias("symbol_pos"),
-            pick("sig", "sig", len(sig_specs)).alias("signal"),
-            pick("vol", "vol_pick", len(vol_specs)).alias("vol"),
+            "signal",
+            "vol",
             F.element_at("sector_caps", F.col("sector")).alias("sector_cap"),
             *[c for c in _PARAMS if c != "sector_caps"],
             *(["adv"] if self._daily_volume else []),
@@ -191,10 +180,6 @@ class Backtest:
     @cached_property
     def sized(self) -> DataFrame:
         """The panel with the ``target`` contracts of each session."""
-        batches = _batches(self.rows)
-        if len(batches) > 1:
-            parts = [replace(self, rows=batch).sized for batch in batches]
-            return reduce(DataFrame.unionByName, parts)
         banded = any((r["rebalance_threshold"] or 0) > 0 for r in self.rows)
         sized = size_positions(
             self.panel,
