@@ -248,3 +248,87 @@ def test_bootstrap_shapes_and_seeds(spark):
         bootstrap.confidence_intervals(table, ["alpha"])
     with pytest.raises(ValueError):
         bootstrap.block_samples(table, 0)
+
+
+def _paths(returns, block, samples, starts):
+    """Samples as the definition draws them, with numpy."""
+    n = len(returns)
+    b = min(block, n)
+    for sample in range(samples):
+        parts = [returns[starts(sample, k, n - b + 1) :][:b] for k in range(-(-n // b))]
+        yield np.concatenate(parts)[:n]
+
+
+@pytest.mark.parametrize("block", [1, 7, 20, 500])
+def test_block_summaries_give_the_values_of_whole_samples(spark, block):
+    rng = random.Random(block)
+    runs = {
+        "plain": [rng.gauss(0.001, 0.02) for _ in range(131)],
+        "flat": [0.0] * 40 + [rng.gauss(0, 0.01) for _ in range(9)],
+        "same": [0.004] * 33,
+        "lost": [rng.choice([0.1, -0.05, -1.0]) for _ in range(50)],
+        "owes": [rng.choice([0.3, -1.4, -0.2]) for _ in range(50)],
+        "one": [0.02],
+    }
+    rows = [(run, i, r) for run, values in runs.items() for i, r in enumerate(values)]
+    table = spark.createDataFrame(rows, "run_id string, idx int, ret double").repartition(3)
+    starts = lambda s, k, c: (7 * s + 13 * k) % c
+    lattice = lambda s, k, c: F.pmod(F.lit(7) * s + F.lit(13) * k, c)
+    got = {(r.run_id, r.sample): r for r in bootstrap.block_stats(table, block_size=block, n_samples=120, start_of=lattice).collect()}
+    assert len(got) == 120 * len(runs)
+    for run, values in runs.items():
+        for sample, path in enumerate(_paths(np.array(values), block, 120, starts)):
+            std = path.std(ddof=1) if len(path) > 1 and path.max() > path.min() else 0.0
+            nav = np.cumprod(1 + path)
+            peak = np.maximum.accumulate(np.maximum(nav, 0))
+            falls = np.divide(nav, peak, out=np.ones_like(nav), where=peak != 0) - 1
+            assert got[run, sample].sharpe == pytest.approx(path.mean() / std * 252**0.5 if std else 0.0, rel=1e-6, abs=1e-9), (run, sample)
+            assert got[run, sample].max_drawdown == pytest.approx(min(0.0, falls.min()), abs=1e-9), (run, sample)
+
+
+@pytest.mark.parametrize("bins", [2, 1024])
+def test_percentiles_are_exact_order_statistics(spark, bins):
+    rng = random.Random(bins)
+    groups = {"a": [rng.gauss(0, 1) for _ in range(999)], "b": [5.0] * 40, "c": [1.0], "d": [rng.choice([1.0, 2.0, 1e9]) for _ in range(77)], "e": [-1e300, 1e300, 0.0]}
+    table = spark.createDataFrame([(g, v) for g, values in groups.items() for v in [*values, None]], "g string, v double").repartition(4)
+    at = {"low": 0.025, "mid": 0.5, "high": 0.975, "least": 0.0, "most": 1.0}
+    got = {r.g: r for r in bootstrap.exact_percentiles(table, ["g"], "v", at, bins).collect()}
+    for g, values in groups.items():
+        for name, p in at.items():
+            assert got[g][name] == pytest.approx(float(np.quantile(values, p)), rel=1e-12), (g, name)
+
+
+def test_a_bootstrap_or_walk_forward_of_nothing_raises(spark):
+    with pytest.raises(ValueError, match="at least one finite return"):
+        bootstrap.confidence_intervals(spark.createDataFrame([], "run_id string, idx int, ret double"))
+    with pytest.raises(ValueError, match="at least one session"):
+        api.run_walk_forward(spark, CONFIG, spark.createDataFrame([], "symbol string, ts date, close double"), None, insample=5, oos=5)
+
+
+def test_anchored_folds_are_one_run_cut_at_their_ends(spark, market):
+    prices, universe, days = market
+    config = scenarios.settings_of(CONFIG, {"execution.roll_schedule": {"ES": [str(days[20]), str(days[29])]}})
+    ends = [days[29], days[39], days[59]]
+    splits = [{"start": days[0], "end": e} for e in ends] + [{"start": days[5], "end": days[39]}]
+    runs = api.run_parameter_sweep(spark, config, prices, universe, parameter_grid={"risk.target_portfolio_vol": [0.1, 0.3]}, splits=splits).backtest
+    assert len(runs._bases.rows) == 4
+    whole = {name: table.collect() for name, table in runs.tables().items() if name in ("nav", "positions", "orders", "trades", "cash", "ledger")}
+    for row in runs.rows:
+        alone = api.build(spark, config, prices, universe, [{"run_id": row["run_id"], "config": {**config, "risk.target_portfolio_vol": row["target_vol"], "backtest.start": row["start"], "backtest.end": row["end"]}}])
+        for name, table in alone.tables().items():
+            if name in whole:
+                key = lambda r: tuple(round(v, 6) if isinstance(v, float) else v for v in r)
+                assert sorted(map(key, table.collect()), key=repr) == sorted((key(r) for r in whole[name] if r["run_id"] == row["run_id"]), key=repr), (row["run_id"], name)
+
+
+def test_folds_that_differ_in_their_beginning_are_not_shared(spark, market):
+    from trendlab.plans.backtest import same_beginning
+
+    prices, _, days = market
+    late = prices.filter((F.col("symbol") == "ES") | (F.col("ts") > F.lit(days[35])))
+    still = prices.withColumn("close", F.when(F.col("ts") <= F.lit(days[35]), 5.0).otherwise(F.col("close")))
+    assert same_beginning(prices, days[0], days[30], days[59], 10)
+    assert not same_beginning(prices, days[0], days[30], days[59], 40)
+    assert not same_beginning(late, days[0], days[30], days[59], 10)
+    assert not same_beginning(still, days[0], days[30], days[59], 10)
+    assert same_beginning(late, days[0], days[50], days[59], 10)

@@ -152,6 +152,8 @@ def run_walk_forward(
     table = folds(prices, insample, oos, step, anchored)
     bounds = table.orderBy("fold").collect()
     if not bounds:
+        if prices.isEmpty():
+            raise ValueError("a walk-forward needs at least one session")
         return None
     splits = [{"start": r["is_start"], "end": r["oos_end"]} for r in bounds]
     scenarios = scenario_list(config, base_overrides=parameter_overrides, splits=splits, seeds=seed)

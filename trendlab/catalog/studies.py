@@ -345,8 +345,7 @@ falls as (
 
 @register("j14_sample_sharpe", "run_id s, sample i, sharpe 7", panel.sql("select run_id, sample, value as sharpe from sharpes", _SAMPLED, _STATS))
 def j14(spark, sf):
-    samples = bootstrap.block_samples(_returns(spark, sf), BLOCK, SAMPLES, SEED, _lattice)
-    return bootstrap.sample_stats(samples, ("sharpe",))
+    return bootstrap.block_stats(_returns(spark, sf), ("sharpe",), BLOCK, SAMPLES, SEED, _lattice)
 
 
 @register(
@@ -354,8 +353,7 @@ def j14(spark, sf):
     panel.sql("select run_id, sample, value as max_drawdown from falls", _SAMPLED, _STATS),
 )
 def j15(spark, sf):
-    samples = bootstrap.block_samples(_returns(spark, sf), BLOCK, SAMPLES, SEED, _lattice)
-    return bootstrap.sample_stats(samples, ("max_drawdown",))
+    return bootstrap.block_stats(_returns(spark, sf), ("max_drawdown",), BLOCK, SAMPLES, SEED, _lattice)
 
 
 _INTERVAL = "run_id s, metric s, mean 7, lower 7, upper 7"

@@ -2,7 +2,8 @@
 
 Work is shared where scenarios agree.  Signals and volatilities are rows keyed by window, setting and
 symbol, each distinct setting once; pairs of both that occur in runs are joined, and only then does
-the panel fan out to its runs.  The plan is the same for one setting and for any number.  From there the plan groups by
+the panel fan out to its runs.  The plan is the same for one setting and for any number.  Runs with
+equal settings and start are one run, cut at their ends.  From there the plan groups by
 ``(run, date)`` for the cross-sectional sizing and by ``(run, symbol)`` for holding, orders and fills.
 """
 
@@ -92,6 +93,46 @@ def window_panel(spark: SparkSession, prices: DataFrame, windows: Sequence[tuple
     return calendar.complete_panel(inside, scope=("window_id",))
 
 
+def same_beginning(prices: DataFrame, start, first_end, last_end, warm_up: int) -> bool:
+    """Whether a run from ``start`` to ``first_end`` is the beginning of the one to ``last_end``, whatever its settings.
+
+    A run looks ahead in two places alone: the panel begins when its last instrument does, and the first volatility fills the
+    sessions before it. So no instrument may appear after ``first_end``, and by then each must have moved within the
+    panel, which must have ``warm_up`` sessions. Two small aggregates.
+    """
+    rows = prices.filter(F.col("close").isNotNull() & F.col("ts").between(F.lit(start), F.lit(last_end)))
+    begin = rows.groupBy("symbol").agg(F.min("ts").alias("first")).agg(F.max("first")).first()[0]
+    if begin is None or begin > first_end:
+        return False
+    early = rows.filter(F.col("ts").between(F.lit(begin), F.lit(first_end)))
+    each = early.groupBy("symbol").agg((F.min("close") < F.max("close")).alias("moved"), F.count("*").alias("n"))
+    found = each.agg(F.min("moved"), F.max("n"), F.count("*")).first()
+    return bool(found[0]) and found[1] >= warm_up and found[2] == rows.select("symbol").distinct().count()
+
+
+def _beginnings(rows: Sequence[Mapping], alike) -> list[tuple]:
+    """``(base, run, end)`` of runs that share settings and start: each is the base run up to its end.
+
+    ``alike(start, first_end, last_end, warm_up)`` says whether they may; runs without a partner, or that may not, are left out.
+    """
+    groups: dict[str, list[Mapping]] = {}
+    for row in rows:
+        same = {k: v for k, v in row.items() if k not in ("run_id", "fold", "end")}
+        groups.setdefault(repr(sorted((k, sorted(v.items()) if isinstance(v, Mapping) else v) for k, v in same.items())), []).append(row)
+    known: dict[tuple, bool] = {}
+    cuts = []
+    for group in groups.values():
+        longest = max(group, key=lambda r: r["end"])
+        shortest = min(r["end"] for r in group)
+        window = (longest["start"], shortest, longest["end"], longest["min_vol_periods"] or longest["vol_lookback"])
+        if len(group) > 1:
+            if window not in known:
+                known[window] = shortest == longest["end"] or alike(*window)
+            if known[window]:
+                cuts += [(longest["run_id"], r["run_id"], r["end"]) for r in group]
+    return cuts
+
+
 @dataclass(frozen=True)
 class Backtest:
     """Result tables of one or many runs.
@@ -112,6 +153,27 @@ class Backtest:
     def scenarios(self) -> DataFrame:
         return scenario_frame(self.spark, self.rows)
 
+    @cached_property
+    def _cuts(self) -> list[tuple]:
+        return _beginnings(self.rows, lambda *window: same_beginning(self.prices, *window)) if len(self.rows) > 1 else []
+
+    @cached_property
+    def _bases(self) -> Backtest | None:
+        """The runs that are worked out where some are beginnings of others; None where each stands for itself."""
+        shorter = {run for base, run, _ in self._cuts if run != base}
+        return replace(self, rows=tuple(r for r in self.rows if r["run_id"] not in shorter)) if shorter else None
+
+    def _cut(self, table: DataFrame, day: str = "ts", last: bool = True) -> DataFrame:
+        """Rows of base runs as rows of every run, up to its end; ``last`` says whether the last session counts.
+
+        Nothing is ordered at the close of a last session, so orders end one session before all else.
+        """
+        alone = {r["run_id"] for r in self._bases.rows} - {base for base, *_ in self._cuts}
+        cuts = [*self._cuts, *((r["run_id"], r["run_id"], r["end"]) for r in self._bases.rows if r["run_id"] in alone)]
+        ends = small_table(self.spark, cuts, "_base string, run_id string, _end date")
+        inside = F.col(day) <= F.col("_end") if last else F.col(day) < F.col("_end")
+        return table.withColumnRenamed("run_id", "_base").join(ends, "_base").filter(inside).select(*table.columns)
+
     @cached_property
     def _runs(self) -> list[tuple]:
         """Window, signal setting and volatility setting of each run."""
@@ -180,6 +242,8 @@ class Backtest:
     @cached_property
     def sized(self) -> DataFrame:
         """The panel with the ``target`` contracts of each session."""
+        if self._bases:
+            return self._cut(self._bases.book)
         banded = any((r["rebalance_threshold"] or 0) > 0 for r in self.rows)
         sized = size_positions(
             self.panel,
@@ -200,7 +264,7 @@ class Backtest:
     @cached_property
     def book(self) -> DataFrame:
         """``sized``, written once: orders, fills, positions and ledger all start from it."""
-        return stored(self.sized, "book")
+        return self.sized if self._bases else stored(self.sized, "book")
 
     def with_rolls(self, roll_dates: DataFrame) -> Backtest:
         return replace(self, roll_dates=roll_dates)
@@ -208,6 +272,9 @@ class Backtest:
     @cached_property
     def _executed(self) -> tuple[DataFrame, DataFrame]:
         """Orders and fills before numbering, from one table of both that is written once."""
+        if self._bases:
+            orders, fills = self._bases._executed
+            return self._cut(orders, "submitted", last=False), self._cut(fills)
         return execution.orders_and_fills(stored(execution.events(self.book, self.roll_dates), "events"))
 
     @property
@@ -217,6 +284,8 @@ class Backtest:
 
     @cached_property
     def numbered_orders(self) -> DataFrame:
+        if self._bases:
+            return self._cut(self._bases.numbered_orders, "submitted", last=False)
         return execution.number_orders(self._executed[0])
 
     @property
@@ -225,6 +294,8 @@ class Backtest:
 
     @cached_property
     def fills(self) -> DataFrame:
+        if self._bases:
+            return self._cut(self._bases.fills)
         navs = self.scenarios.select("run_id", "starting_nav")
         numbered = execution.with_order_ids(self.raw_fills, self.numbered_orders).join(navs, "run_id")
         cash = execution.cash_after_fills(numbered, F.col("starting_nav"))
@@ -235,12 +306,16 @@ class Backtest:
 
     @cached_property
     def positions(self) -> DataFrame:
+        if self._bases:
+            return self._cut(self._bases.positions)
         return execution.positions_from_fills(self.book, self.raw_fills).select(
             *_RUN, "ts", "close", "point_value", "pos"
         )
 
     @cached_property
     def ledger(self) -> DataFrame:
+        if self._bases:
+            return self._cut(self._bases.ledger)
         return ledger(self.positions, self.raw_fills, self.scenarios.select("run_id", "starting_nav"))
 
     @property
