@@ -95,9 +95,11 @@ def test_cost_breakdown_and_other(spark):
     assert attribution.top_and_other(totals, 4).filter("symbol = 'Other'").count() == 0
 
 
-@pytest.mark.parametrize("block", [1, 2, 64])
-def test_correlation_against_pandas(spark, weekdays, monkeypatch, block):
+@pytest.mark.parametrize(("block", "batch"), [(1, 7), (2, 1), (3, 5), (256, 10_000)])
+def test_correlation_against_pandas(spark, weekdays, monkeypatch, block, batch):
     monkeypatch.setattr(attribution, "_BLOCK", block)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)  # pairs of strips are split between batches
     rng = np.random.default_rng(2)
     days = weekdays("2021-01-01", 80)
     wide = pd.DataFrame(100 * np.exp(rng.normal(0, 0.01, (80, 4)).cumsum(axis=0)), columns=list("ABCD"))
@@ -106,4 +108,5 @@ def test_correlation_against_pandas(spark, weekdays, monkeypatch, block):
     wide.iloc[7, 0] = np.nan
     want = wide.pct_change(fill_method=None).dropna().corr()
     got = attribution.return_correlation(table).toPandas().pivot(index="symbol_a", columns="symbol_b", values="corr")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert np.allclose(got.to_numpy(), want.to_numpy(), atol=1e-12)

@@ -16,8 +16,7 @@ from ..functions.series import pct_change, rolling, series
 
 KEYS = ("run_id", "symbol")
 
-_BLOCK = 64  # symbols whose rows of the correlation matrix are worked out together
-_PAIRS = pa.schema([("run_id", pa.string()), ("symbol_a", pa.string()), ("symbol_b", pa.string()), ("corr", pa.float64())])
+_BLOCK = 256  # symbols on a side of a tile of the correlation matrix
 
 
 def _point_value() -> Column:
@@ -110,54 +109,77 @@ def cumulative(rows: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("
 def return_correlation(prices: DataFrame) -> DataFrame:
     """Pearson correlation ``(run_id, symbol_a, symbol_b, corr)`` over dates complete in all symbols.
 
-    Each date is one vector ordered by symbol.  A block of ``_BLOCK`` symbols of a run meets all vectors of the run in one
-    sorted stream, so a task holds one block of rows of the cross products at a time; only pairs in symbol order are
-    computed, and their mirror images are added at the end.
+    The matrix is tiled: the symbols of a run are numbered and cut into blocks of ``_BLOCK``, a date becomes one short
+    vector per block (a strip), and a task owns a pair of blocks and reads the strips of these two alone, date by date. It holds the
+    cross products of one tile, whatever the width of the universe; a strip goes to as many tiles as there are blocks. Only
+    tiles on and above the diagonal are computed, mirror images are added at the end.
     """
+    size = _BLOCK
     returns = prices.withColumn("ret", pct_change("close", KEYS))
     first = Window.partitionBy("run_id", "symbol").orderBy("ts")
-    returns = returns.withColumn("_first", F.row_number().over(first) == 1)
-    names = prices.groupBy("run_id").agg(F.countDistinct("symbol").alias("_width"))
-    vectors = (
-        returns.filter("not _first and ret is not null")
-        .groupBy("run_id", "ts")
-        .agg(F.array_sort(F.collect_list(F.struct("symbol", "ret"))).alias("v"))
-        .join(names, "run_id")
-        .filter(F.size("v") == F.col("_width"))
-        .select("run_id", "ts", F.col("v.symbol").alias("symbols"), F.col("v.ret").alias("rets"), (F.floor((F.col("_width") - 1) / _BLOCK)).alias("_last"))
+    returns = returns.withColumn("_first", F.row_number().over(first) == 1).filter("not _first and ret is not null")
+    numbered = Window.partitionBy("run_id")  # a row per symbol
+    names = prices.select("run_id", "symbol").distinct().select(
+        "run_id", "symbol", (F.row_number().over(numbered.orderBy("symbol")) - 1).alias("pos"), F.count("*").over(numbered).alias("_width")
+    )
+    rows = returns.join(names, ["run_id", "symbol"])
+    strips = rows.groupBy("run_id", "ts", F.floor(F.col("pos") / size).cast("int").alias("block")).agg(
+        F.array_sort(F.collect_list(F.struct("pos", "ret"))).alias("v"), F.first("_width").alias("_width")
     )
-    blocks = vectors.select("run_id", F.explode(F.sequence(F.lit(0).cast("long"), "_last")).alias("block"), "ts", "symbols", "rets")
-    ordered = blocks.repartition("run_id", "block").sortWithinPartitions("run_id", "block", "ts").drop("ts")
-
-    def finished(key: tuple, symbols: Sequence[str], n: int, sums: list[np.ndarray]) -> pa.RecordBatch:
-        run, block = key
-        total, squares, cross = sums
-        left, right = np.nonzero(np.arange(len(symbols)) >= np.arange(block * _BLOCK, block * _BLOCK + len(cross))[:, None])
-        cov = n * cross[left, right] - total[left + block * _BLOCK] * total[right]
-        spread = np.sqrt(np.maximum(n * squares - total**2, 0.0))
-        scale = spread[left + block * _BLOCK] * spread[right]
-        corr = np.divide(cov, scale, out=np.full(len(cov), np.nan), where=scale > 0)
-        held = np.asarray(symbols, dtype=object)
-        columns = [[run] * len(cov), held[left + block * _BLOCK].tolist(), held[right].tolist(), pa.array(corr, from_pandas=True)]
-        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) if isinstance(c, list) else c for c, f in zip(columns, _PAIRS, strict=True)], schema=_PAIRS)
+    # strips of a date that hold all symbols together
+    known = F.sum(F.size("v")).over(Window.partitionBy("run_id", "ts"))
+    strips = strips.withColumn("_known", known).filter("_known = _width").withColumn("_last", F.floor((F.col("_width") - 1) / size).cast("int"))
+    tile = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    b = F.col("block")
+    right = F.transform(F.sequence(b, F.col("_last")), lambda j: tile(b, j, 0))
+    down = F.filter(F.transform(F.sequence(F.lit(0), b), lambda i: tile(i, b, 1)), lambda t: t["i"] < t["j"])
+    dealt = strips.select("run_id", "ts", F.col("v.ret").alias("rets"), F.explode(F.concat(right, down)).alias("t")).select("run_id", "t.i", "t.j", "ts", "t.side", "rets")
+    ordered = dealt.repartition("run_id", "i", "j").sortWithinPartitions("run_id", "i", "j", "ts", "side").drop("ts")
+
+    def finished(key: tuple, sums: list) -> pa.RecordBatch:
+        run, i, j = key
+        n, left, right, left_squares, right_squares, cross = sums
+        at, to = np.nonzero(np.triu(np.ones(cross.shape, bool)) if i == j else np.ones(cross.shape, bool))
+        spread = lambda total, squares: np.sqrt(np.maximum(n * squares - total**2, 0.0))
+        scale = spread(left, left_squares)[at] * spread(right, right_squares)[to]
+        corr = np.divide(n * cross[at, to] - left[at] * right[to], scale, out=np.full(len(at), np.nan), where=scale > 0)
+        columns = [pa.array([run] * len(at), pa.string()), pa.array(i * size + at), pa.array(j * size + to), pa.array(corr, from_pandas=True)]
+        return pa.RecordBatch.from_arrays(columns, names=["run_id", "a", "b", "corr"])
 
     def cross_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, symbols, n, sums = None, [], 0, []
+        key, sums, waiting = None, [], None
         for batch in batches:
-            for found, part in batch.to_pandas().groupby(["run_id", "block"], sort=False):
-                if found != key:
+            runs, i, j = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            sides, lists = batch.column(3).to_numpy(), batch.column(4)
+            keys = list(zip(runs, i.tolist(), j.tolist(), strict=True))
+            edges = [k for k in range(len(keys)) if k == 0 or keys[k] != keys[k - 1]] + [len(keys)]
+            for start, stop in zip(edges[:-1], edges[1:], strict=True):
+                if keys[start] != key:
                     if key is not None:
-                        yield finished(key, symbols, n, sums)
-                    key, symbols, n, sums = found, part["symbols"].iloc[0], 0, [0.0, 0.0, 0.0]
-                x = np.stack(part["rets"].to_numpy())
-                own = x[:, key[1] * _BLOCK : (key[1] + 1) * _BLOCK]
-                n += len(x)
-                sums = [s + more for s, more in zip(sums, (x.sum(axis=0), (x * x).sum(axis=0), own.T @ x), strict=True)]
+                        yield finished(key, sums)
+                    key, sums, waiting = keys[start], [0, 0.0, 0.0, 0.0, 0.0, 0.0], None
+                side, part = sides[start:stop], lists.slice(start, stop - start)
+
+                def matrix(chosen: np.ndarray, part: pa.Array = part) -> np.ndarray:
+                    picked = part.filter(pa.array(chosen))
+                    return picked.flatten().to_numpy(zero_copy_only=False).reshape(len(picked), -1)
+
+                left = matrix(side == 0) if (side == 0).any() else np.zeros((0, 0))
+                if key[1] == key[2]:
+                    right = left
+                else:  # a left strip whose right one is in the next batch waits for it
+                    left = left if waiting is None else np.concatenate([waiting, left]) if len(left) else waiting
+                    right = matrix(side == 1) if (side == 1).any() else np.zeros((0, 0))
+                    waiting = left[len(right) :] if len(left) > len(right) else None
+                    left = left[: len(right)]
+                if len(left):
+                    more = (len(left), left.sum(axis=0), right.sum(axis=0), (left * left).sum(axis=0), (right * right).sum(axis=0), left.T @ right)
+                    sums = [s + m for s, m in zip(sums, more, strict=True)]
         if key is not None:
-            yield finished(key, symbols, n, sums)
+            yield finished(key, sums)
 
-    half = ordered.mapInArrow(cross_products, "run_id string, symbol_a string, symbol_b string, corr double")
-    mirrored = F.struct(F.col("symbol_b").alias("symbol_a"), F.col("symbol_a").alias("symbol_b"))
-    sides = F.array(F.struct("symbol_a", "symbol_b"), F.when(F.col("symbol_a") != F.col("symbol_b"), mirrored))
-    pairs = half.select("run_id", F.explode(F.filter(sides, lambda p: p.isNotNull())).alias("p"), "corr")
-    return pairs.select("run_id", "p.symbol_a", "p.symbol_b", "corr")
+    half = ordered.mapInArrow(cross_products, "run_id string, a long, b long, corr double")
+    pairs = half.select("run_id", "corr", F.explode(F.filter(F.array(F.struct("a", "b"), F.when(F.col("a") != F.col("b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))), lambda p: p.isNotNull())).alias("p"))
+    of = lambda x: names.select("run_id", F.col("pos").cast("long").alias(x), F.col("symbol").alias(f"symbol_{x}"))
+    named = pairs.select("run_id", "p.a", "p.b", "corr").join(of("a"), ["run_id", "a"]).join(of("b"), ["run_id", "b"])
+    return named.select("run_id", "symbol_a", "symbol_b", "corr")
