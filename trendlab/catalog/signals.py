@@ -189,7 +189,22 @@ _EWMA = f"""ew as (
 ewvol as (select symbol, ts, i, case when i + 1 >= 20 and s < 1 then sqrt(greatest(m2 - m1*m1, 0) / (1 - s)) * {_YEAR} else 0 end as vol from ew)"""
 
 
-@register("f2_ewma_vol", "symbol s, ts d, vol 8", panel.sql("select symbol, ts, vol from ewvol", _EWMA))
+# The recursion itself, day by day; the closed form above serves the queries that build on it.
+_EWMA_STEPS = f"""r0s as materialized (select symbol, ts, i, r0 from {_RETS}),
+walk as (
+  select symbol, ts, i, r0 as m1, r0 * r0 as m2, 1.0::double as s from r0s where i = 0
+  union all
+  select n.symbol, n.ts, n.i, 0.94 * w.m1 + 0.06 * n.r0, 0.94 * w.m2 + 0.06 * n.r0 * n.r0, 0.94 * 0.94 * w.s + 0.06 * 0.06
+  from walk w join r0s n on n.symbol = w.symbol and n.i = w.i + 1)"""
+
+
+@register(
+    "f2_ewma_vol", "symbol s, ts d, vol 8",
+    panel.sql(
+        f"select symbol, ts, case when i + 1 >= 20 and s < 1 then sqrt(greatest(m2 - m1*m1, 0) / (1 - s)) * {_YEAR} else 0 end as vol from walk",
+        _EWMA_STEPS,
+    ),
+)
 def f2(spark, sf):
     return risk.ewma_volatility(risk.simple_returns(panel.aligned(spark, sf), fill_first=True))
 
