@@ -339,3 +339,28 @@ def test_table_sink_round_trip(spark, tmp_path):
     sinks.write_table(rows, str(tmp_path / "nav"))
     assert spark.read.parquet(str(tmp_path / "nav/parquet")).count() == 10
     assert spark.read.csv(str(tmp_path / "nav/csv"), header=True).count() == 10
+
+
+def test_a_bundle_is_replaced_as_a_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "bundle")
+    numbers = lambda *n: spark.createDataFrame([("r", k) for k in n], "run_id string, n int")
+    with pytest.raises(FileNotFoundError):
+        sinks.read_bundle(spark, path)
+    for n in (1, 2, 3):
+        where = sinks.write_bundle({"nav": numbers(n)}, numbers(10 * n), numbers(n), path)
+        assert [r.n for r in spark.read.parquet(f"{where['nav']}/parquet").collect()] == [n]
+        assert [r.n for r in sinks.read_bundle(spark, path)["nav"].collect()] == [n]
+    assert len([d for d in os.listdir(path) if d.startswith("version-")]) == 2  # the last one and the one before
+
+    def stopped(*_):
+        raise RuntimeError("stopped")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(sinks, "write_records", stopped)
+        with pytest.raises(RuntimeError):
+            sinks.write_bundle({"nav": numbers(99)}, numbers(99), numbers(99), path)
+    found = sinks.read_bundle(spark, path)
+    assert {name: [r.n for r in table.collect()] for name, table in found.items()} == {"nav": [3], "summary": [30], "scenarios": [3]}
+    sinks.write_bundle({"nav": numbers(4)}, numbers(40), numbers(4), path, ("csv",))
+    assert [r.n for r in sinks.read_bundle(spark, path)["nav"].collect()] == [4]
+    assert len([d for d in os.listdir(path) if d.startswith("version-")]) == 2

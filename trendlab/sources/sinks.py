@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import json
 import tempfile
 import uuid
 from collections.abc import Mapping
@@ -36,15 +37,73 @@ def write_records(table: DataFrame, path: str) -> None:
     table.write.mode("overwrite").json(path)
 
 
+MANIFEST = "MANIFEST.json"
+
+
 def write_bundle(
     tables: Mapping[str, DataFrame], summary: DataFrame, metadata: DataFrame, path: str, formats: tuple[str, ...] = ("parquet", "csv")
 ) -> dict[str, str]:
-    """All tables of a set of runs, their summary and their scenario records; returns the locations."""
+    """All tables of a set of runs, their summary and their scenario records; returns the locations.
+
+    Everything is written to a new folder ``version-<id>`` first. Then the manifest, which names the tables of the bundle, is
+    replaced in one step, so readers see the old bundle or the new one, and a job that stops halfway changes nothing.
+    The version before stays, for those who are reading it; older ones, and what stopped jobs have left, are removed.
+    """
+    spark = summary.sparkSession
+    version = f"version-{uuid.uuid4().hex}"
     for name, table in tables.items():
-        write_table(table, f"{path}/{name}", formats)
-    write_records(summary, f"{path}/summary")
-    write_records(metadata, f"{path}/scenarios")
-    return {name: f"{path}/{name}" for name in (*tables, "summary", "scenarios")}
+        write_table(table, f"{path}/{version}/{name}", formats)
+    write_records(summary, f"{path}/{version}/summary")
+    write_records(metadata, f"{path}/{version}/scenarios")
+    names = (*tables, "summary", "scenarios")
+    before = _manifest(spark, path)
+    kinds = {name: list(formats) if name in tables else ["json"] for name in names}
+    _replace_file(spark, f"{path}/{MANIFEST}", json.dumps({"version": version, "tables": kinds}))
+    _remove_versions(spark, path, {version, (before or {}).get("version")})
+    return {name: f"{path}/{version}/{name}" for name in names}
+
+
+def read_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of the bundle that was written last, by name."""
+    found = _manifest(spark, path)
+    if found is None:
+        raise FileNotFoundError(f"no bundle under {path}")
+    out = {}
+    for name, formats in found["tables"].items():
+        place, fmt = f"{path}/{found['version']}/{name}", "parquet" if "parquet" in formats else formats[0]
+        out[name] = spark.read.json(place) if fmt == "json" else spark.read.options(header=True, inferSchema=True).format(fmt).load(f"{place}/{fmt}")
+    return out
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), place
+
+
+def _manifest(spark: SparkSession, path: str) -> dict | None:
+    system, place = _file_system(spark, f"{path}/{MANIFEST}")
+    return json.loads(spark.read.text(place.toString(), wholetext=True).first()[0]) if system.exists(place) else None
+
+
+def _replace_file(spark: SparkSession, path: str, text: str) -> None:
+    """Write beside the file, then rename over it: one step of the file system."""
+    jvm = spark._jvm
+    system, place = _file_system(spark, path)
+    staged = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = system.create(staged)
+    out.write(bytearray(text.encode()))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    whole = system.makeQualified(place)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(whole.toUri(), system.getConf()).rename(system.makeQualified(staged), whole, options)
+
+
+def _remove_versions(spark: SparkSession, path: str, kept: set) -> None:
+    system, place = _file_system(spark, path)
+    for status in system.listStatus(place):
+        if status.isDirectory() and status.getPath().getName().startswith("version-") and status.getPath().getName() not in kept:
+            system.delete(status.getPath(), True)
 
 
 #: Folder of intermediates of each Spark application.
