@@ -18,6 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(rows: DataFrame, name: str) -> str:
+    """A column name that ``rows`` does not have, whatever the case of its letters."""
+    taken, found = {c.lower() for c in rows.columns}, f"_{name}"
+    while found in taken:
+        found += "_"
+    return found
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

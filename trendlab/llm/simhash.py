@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from trendlab.llm.common import per_text, small_batches
+from trendlab.llm.common import fresh, per_text, small_batches
 from trendlab.sources.sinks import stored
 
 #: Words per shingle, seed of their hash, differing bits that still link two fingerprints.
@@ -21,6 +21,10 @@ SHINGLE, SEED, RADIUS = 3, 42, 2
 COPY_SHINGLE, COPY_TENTHS = 5, 8
 #: MinHash bands of a text and minima in each: at a similarity of 0.8 all bands of two texts differ with 3 in a million.
 BANDS, MINIMA = 24, 4
+#: First bands of the batches that are tried one after the other; sets of a key that are tried together.
+BATCHES, BLOCK = (0, 1, 3, 8), 256
+#: Shingles whose columns are multiplied at a time.
+_COLUMNS = 1 << 12
 #: Shingles of a text that are hashed at a time.
 _CHUNK = 1 << 16
 # Odd multipliers and masks of the MinHash orders, made by a rule: hashes of their numbers.
@@ -117,15 +121,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -
     return prints.join(of_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stand for their group: those of its smallest doc_id; all columns kept.
-
-    Rows of one doc_id stay or go together. Rows without doc_id stay if one of them is in a group without any id.
-    """
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-
-
 def shingle_set(text: bytes, shingle: int = COPY_SHINGLE, seed: int = SEED) -> np.ndarray:
     """The distinct shingle hashes of a text in order; a text of fewer words is one shingle, one without words none."""
     words = text.lower().split()
@@ -147,74 +142,172 @@ def band_keys(shingles: np.ndarray) -> list[int]:
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
-def _copy_prints(text: bytes) -> tuple[int, int, list[int]]:
+def _copy_prints(text: bytes) -> tuple[int, list[int]]:
     shingles = shingle_set(text)
-    return int(np.uint64(xxh64_intdigest(shingles.tobytes(), SEED)).view(np.int64)), len(shingles), band_keys(shingles)
+    return int(np.uint64(xxh64_intdigest(shingles.tobytes(), SEED)).view(np.int64)), band_keys(shingles)
+
+
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two of the sets share: products of 0-1 columns, some thousand shingles at a time."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = times[column] > 1  # a shingle of one set is shared with none
+    owner, column = owner[common], column[common]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], np.cumsum(np.concatenate(([0], np.diff(column[order]) != 0)))[: len(order)]
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        low, high = np.searchsorted(column, (start, start + _COLUMNS))
+        held = np.zeros((len(sets), _COLUMNS), np.float32)
+        held[owner[low:high], column[low:high] - start] = 1
+        shared += held @ held.T
+    return shared.astype(np.int64)
+
+
+def _forest(prints: list[int], labels: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Links of similar sets that join different labels, as few as join them all."""
+    sizes = np.array([len(x) for x in sets])
+    shared = _overlaps(sets)
+    left, right = np.nonzero(np.triu(10 * shared >= COPY_TENTHS * (sizes[:, None] + sizes - shared), 1))
+    root = {label: label for label in labels}
+
+    def of(label: int) -> int:
+        while root[label] != label:
+            root[label] = label = root[root[label]]
+        return label
+
+    for i, j in zip(left.tolist(), right.tolist(), strict=True):
+        one, two = of(labels[i]), of(labels[j])
+        if one != two:
+            root[one] = two
+            yield min(prints[i], prints[j]), max(prints[i], prints[j])
+
+
+def _tried(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) found in each trial: ``rows`` (key, p, q, fp, label) with one key, p and q are tried with each other.
+
+    A trial is as large as a block or two. Sets come to the rows by a join and stream through the task trial by trial; only
+    links leave it.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        found: list[tuple[int, int]] = []
 
-def _similar(links: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``links`` (a, b) whose shingle sets reach the similarity, counted exactly."""
+        def finish() -> None:
+            unlike = {fp: (label, shingles) for fp, label, shingles in held}
+            if len({label for label, _ in unlike.values()}) > 1:
+                found.extend(_forest(list(unlike), [label for label, _ in unlike.values()], [np.frombuffer(x, np.uint64) for _, x in unlike.values()]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for first, second in zip(batch.column(2), batch.column(3), strict=True):
-                both = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in (first, second)]), kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(10 * shared >= COPY_TENTHS * (len(both) - shared))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            columns = [batch.column(k).to_pylist() for k in range(6)]
+            for key, p, q, fp, label, shingles in zip(*columns, strict=True):
+                if (key, p, q) != at:
+                    finish()
+                    at, held = (key, p, q), []
+                held.append((fp, label, shingles))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+                found.clear()
+        finish()
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+
+    dealt = rows.join(sets, "fp").select("key", "p", "q", "fp", "label", "shingles").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "fp")
+    return small_batches(dealt).mapInArrow(run, "a long, b long")
+
+
+def _shared_bands(prints: DataFrame) -> DataFrame:
+    """fp, key, band, block, blocks of every distinct shingle set in the bands that it has in common with another one.
+
+    The sets of a key are dealt to blocks of about ``BLOCK`` by a hash that differs from band to band.
+    """
+    sets = prints.groupBy("fp").agg(F.first("keys").alias("keys"))
+    held = sets.select("fp", F.posexplode("keys").alias("band", "key"))
+    sizes = held.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("size")).where("size > 1").drop("size")
+    return held.join(sizes, "key").select("fp", "key", "band", F.pmod(F.xxhash64("fp", "key"), "blocks").cast("int").alias("block"), "blocks")
+
 
-    of = lambda name: sets.select(F.col("fp").alias(name), F.col("shingles").alias(f"of_{name}"))
-    pairs = links.join(of("b"), "b").join(of("a"), "a").select("a", "b", "of_a", "of_b")
-    return small_batches(pairs).mapInArrow(run, "a long, b long")
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members, with their labels, of keys in which two labels or more are left."""
+    labelled = members.join(labels, "fp")
+    several = labelled.groupBy("key").agg((F.min("label") < F.max("label")).alias("several")).where("several").select("key")
+    return labelled.join(several, "key", "left_semi")
 
 
-def copy_links(texts: DataFrame, prints: DataFrame) -> DataFrame:
-    """Links (a < b) between shingle sets that share 0.8 of their shingles. ``texts``: _row and text; ``prints``: _row, fp, n, keys.
+def _across_blocks(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Trials (key, p, q, fp, label) between the blocks of a key: each set outside its key's most frequent label meets every block.
 
-    Sets with a band in common are candidates. In each band key the members are tried with one of them, the first in an
-    order that changes from round to round, not with each other; those not linked to it go on to the next round among
-    themselves. It ends when no key has two members left, or a round in which no candidate is similar.
+    Those sets, in blocks p of their own, go to each block q, and the sets of block q to each p.
     """
-    members = prints.groupBy("fp").agg(F.first("n").alias("n"), F.first("keys").alias("keys")).select("fp", "n", F.explode("keys").alias("key"))
-    found, sets, turn = [], None, 0
-    while True:
-        rank = F.struct(F.xxhash64("fp", F.lit(turn)).alias("rank"), "fp", "n")
-        centres = members.groupBy("key").agg(F.min(rank).alias("c"), F.count("*").alias("size")).where("size > 1").drop("size")
-        tried = stored(members.join(centres, "key").where("fp <> c.fp").select("key", "fp", "n", F.col("c.fp").alias("centre"), F.col("c.n").alias("m")), "tried")
-        if sets is None:
-            chosen = tried.select(F.explode(F.array("fp", "centre")).alias("fp")).distinct()
-            rows = stored(prints.groupBy("fp").agg(F.min("_row").alias("_row")).join(chosen, "fp").select("_row", "fp"), "tried-rows")
-            out = pa.schema([("fp", pa.int64()), ("shingles", pa.binary())])
-            read = texts.join(rows, "_row").select("fp", "text")
-            sets = stored(small_batches(read).mapInArrow(per_text(lambda text: (shingle_set(text).tobytes(),), out), "fp long, shingles binary"), "sets")
-        fits = 10 * F.least("n", "m") >= COPY_TENTHS * F.greatest("n", "m")
-        links = tried.where(fits).select(F.least("fp", "centre").alias("a"), F.greatest("fp", "centre").alias("b")).distinct()
-        similar = stored(_similar(links, sets), "similar")
-        found.append(similar)
-        if similar.isEmpty():
-            return reduce(DataFrame.unionByName, found)
-        linked = (F.least("fp", "centre") == similar["a"]) & (F.greatest("fp", "centre") == similar["b"])
-        members, turn = tried.join(similar, linked, "left_anti").select("fp", "n", "key"), turn + 1
+    large = _open(members.where("blocks > 1"), labels)
+    counted = large.groupBy("key", "label").agg(F.count("*").alias("size"))
+    major = counted.groupBy("key").agg(F.max(F.struct("size", "label"))["label"].alias("major"), F.sum("size").alias("all"), F.max("size").alias("most"))
+    major = major.select("key", "major", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("parts"))
+    sided = large.join(major, "key")
+    minor = sided.where("label <> major").withColumn("p", F.pmod(F.xxhash64("fp"), "parts").cast("int"))
+    minor = minor.select("key", "p", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("q"), "fp", "label")
+    every = sided.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), F.col("block").alias("q"), "fp", "label")
+    return minor.unionByName(every)
+
+
+def _relabelled(labels: DataFrame, similar: DataFrame) -> DataFrame:
+    """Labels after two steps along ``similar`` links to smaller ones: sets of one label are linked, directly or over others."""
+    of = lambda x: labels.select(F.col("fp").alias(x), F.col("label").alias(f"label_{x}"))
+    ends = similar.join(of("a"), "a").join(of("b"), "b").select("label_a", "label_b").distinct()
+    both = ends.unionByName(ends.select(F.col("label_b").alias("label_a"), F.col("label_a").alias("label_b")))
+    step = both.groupBy(F.col("label_a").alias("label")).agg(F.least(F.first("label_a"), F.min("label_b")).alias("to"))
+    twice = step.join(step.select(F.col("label").alias("to"), F.col("to").alias("then")), "to", "left").select("label", F.coalesce("then", "to").alias("to"))
+    return labels.join(twice, "label", "left").select("fp", F.coalesce("to", "label").alias("label"))
+
+
+def copy_links(texts: DataFrame, prints: DataFrame, row: str) -> DataFrame:
+    """Links (a, b) that join all shingle sets which share 0.8 of their shingles. ``texts``: row and text; ``prints``: row, fp, keys.
+
+    Sets with a band in common are candidates. The sets of a band key are tried with each other in blocks, counted exactly
+    inside a task, which gives back only the links that join what was not joined before. Bands are taken in batches; a key whose
+    sets all have one label by then, so are linked already, is left out. At the end the blocks of large keys meet: what
+    is still outside a key's most frequent label is tried with all of its blocks. So every candidate pair is counted
+    unless its two sets are known to be in one group.
+    """
+    members = stored(_shared_bands(prints), "shared-bands")
+    chosen = members.select("fp").distinct()
+    rows = stored(prints.groupBy("fp").agg(F.min(row).alias(row)).join(chosen, "fp").select(row, "fp"), "tried-rows")
+    out = pa.schema([("fp", pa.int64()), ("shingles", pa.binary())])
+    read = texts.join(rows, row).select("fp", "text")
+    sets = stored(small_batches(read).mapInArrow(per_text(lambda text: (shingle_set(text).tobytes(),), out), "fp long, shingles binary"), "sets")
+    labels, found = rows.select("fp", F.col("fp").alias("label")), []
+    for first, end in zip((*BATCHES, None), (*BATCHES[1:], BANDS, None), strict=True):
+        if first is None:
+            trials = _across_blocks(members, labels)
+        else:
+            trials = _open(members.where(F.col("band").between(first, end - 1)), labels).select("key", F.col("block").alias("p"), F.lit(0).alias("q"), "fp", "label")
+        links = stored(_tried(trials, sets), "copy-links")
+        found.append(links)
+        if first is not None:
+            labels = stored(_relabelled(labels, links), "labels")
+    return reduce(DataFrame.unionByName, found)
 
 
 def keep_one_copy(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies, the first by doc_id (nulls last), then by place; all columns kept.
 
     Near copies share 0.8 or more of their 5-word shingles (Jaccard, A-Z lower-cased); groups are closed over such links.
-    Texts without words are copies of each other. ``docs`` is read several times and must return its rows in one order.
+    Texts without words are copies of each other. ``docs`` is read several times and must return its rows in one order,
+    as a table does; write the result of a shuffle first. Long texts are read whole, an empty table gives no rows.
     """
-    placed = docs.withColumn("_row", F.monotonically_increasing_id())
-    texts = placed.select("_row", F.col("text").cast("string").alias("text"))
-    out = pa.schema([("_row", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64()))])
-    made = small_batches(texts).mapInArrow(per_text(_copy_prints, out), "_row long, fp long, n long, keys array<long>")
+    row = fresh(docs, "row")
+    placed = docs.withColumn(row, F.monotonically_increasing_id())
+    texts = placed.select(row, F.col("text").cast("string").alias("text"))
+    out = pa.schema([(row, pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    made = small_batches(texts).mapInArrow(per_text(_copy_prints, out), f"`{row}` long, fp long, keys array<long>")
     prints = stored(made, "copy-prints")
-    roots = components(copy_links(texts, prints))
-    ids = placed.select("_row", F.col("doc_id").cast("long").alias("doc_id"))
+    roots = components(copy_links(texts, prints, row))
+    ids = placed.select(row, F.col("doc_id").cast("long").alias("doc_id"))
     grouped = stored(
-        prints.select("_row", "fp").join(ids, "_row").join(roots, F.col("fp") == F.col("node"), "left").select("_row", "doc_id", F.coalesce("root", "fp").alias("root")),
+        prints.select(row, "fp").join(ids, row).join(roots, F.col("fp") == F.col("node"), "left").select(row, "doc_id", F.coalesce("root", "fp").alias("root")),
         "copy-groups",
     )
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
-    kept = grouped.groupBy("root").agg(F.min(place).alias("first")).select(F.col("first._row").alias("_row"))
-    return placed.join(kept, "_row", "left_semi").drop("_row")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("at"))
+    kept = grouped.groupBy("root").agg(F.min(place).alias("first")).select(F.col("first.at").alias(row))
+    return placed.join(kept, row, "left_semi").drop(row)
