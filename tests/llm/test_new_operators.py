@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trendlab.llm import infill, periods, privacy
+from trendlab.llm import infill, periods, privacy, suffixes
 from trendlab.llm.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -313,3 +313,17 @@ def test_long_texts_are_matched_in_pieces():
 
 def test_fill_in_middle_of_an_empty_table(spark):
     assert infill.fill_in_middle(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+# ------------------------------------------------------------------ earlier operators with names of their helpers
+
+
+def test_repeats_go_whatever_the_other_columns_are_called(spark):
+    passage = "a passage of well over fifty bytes that stands in two of the documents"
+    rows = [(1, passage), (2, f"before {passage} after"), (None, f"{passage}!"), (3, None), (3, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, 5, 6, 7) for i, t in rows], "doc_id long, text string, _group int, _id int, bucket int").repartition(2)
+    left = suffixes.without_repeats(docs)
+    assert left.columns == docs.columns
+    want = [(1, passage), (2, "before  after"), (None, "!"), (3, None), (3, None), (4, "")]
+    assert as_rows(left, "doc_id", "text", "_group", "_id", "bucket") == sorted(((i, t, 5, 6, 7) for i, t in want), key=repr)
+    assert suffixes.without_repeats(docs.limit(0)).collect() == []

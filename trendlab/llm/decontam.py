@@ -262,6 +262,7 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_cov
 
     Hit spans go from the text; a row goes as a whole if more than ``max_coverage`` of its words are hit. Rows without
     hits are returned as they are, null and empty texts too. An ``n_chars`` column is set anew where a text changes.
+    Repeated rows come back each; texts of any length are searched whole; an empty table gives no rows.
     """
     search = _searcher(docs, benchmark, window, BLOCK_WORDS)
     names = docs.schema.names

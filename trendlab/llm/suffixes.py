@@ -475,8 +475,12 @@ def removals(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
 def without_repeats(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """The rows of ``docs`` with what is left of their texts, all columns kept; bytes of a character that was cut go too.
 
-    A row from which all goes stays, with an empty text. An ``n_chars`` column is set anew where a text changes.
+    A row from which all goes stays, with an empty text. An ``n_chars`` column is set anew where a text changes. A null text
+    stays null, repeated rows come back each, rows without doc_id come after all others; an empty table gives no rows. Other
+    columns may have any names.
     """
+    names = docs.columns
+    docs = docs.toDF(*[c if c in ("doc_id", "text", "n_chars") else f"column{k}" for k, c in enumerate(names)])
 
     def finish(rows: pa.Table, texts: list[bytes], spans: list[list[tuple[int, int]]]) -> pa.Table:
         old = rows["text"].to_pylist()
@@ -487,4 +491,4 @@ def without_repeats(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFram
             rows = rows.set_column(at, "n_chars", pa.array(sizes, rows.schema.field(at).type))
         return rows
 
-    return _with_spans(docs, finish, docs.schema, group_bytes)
+    return _with_spans(docs, finish, docs.schema, group_bytes).toDF(*names)

@@ -302,7 +302,11 @@ def scores(docs: DataFrame, classifier: Classifier) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text scores below 0.5; all columns kept."""
+    """The rows of ``docs`` whose text scores below 0.5; all columns kept.
+
+    Null and empty texts have no features and score as such. Each of repeated rows is judged by itself, and alike; texts of any
+    length are scored whole; an empty table gives no rows.
+    """
     classifier = train(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
     at = docs.schema.names.index("text")
