@@ -199,13 +199,12 @@ class Backtest:
             [(w, i, model, lam, least or lookback, lookback) for w, i, (model, lam, least, lookback) in used],
             "window_id int, vol_id int, model string, lam double, min_periods int, lookback int",
         )
-        signal = signals.momentum_by_setting(panel, sig_rows, _WINDOW, parts=parts(sigs))
+        signal = signals.momentum_by_setting(panel, sig_rows, _WINDOW, parts=parts(sigs), carry=("adv",) if self._daily_volume else ())
         vol = risk.volatility_by_setting(panel, vol_rows, tuple({v[0] for v in vols}), _WINDOW, self.allow_lookahead, parts(vols))
         pairs = small_table(
             self.spark, list(dict.fromkeys((windows[w], sigs[s], vols[v]) for w, s, v in self._runs)), "window_id int, sig_id int, vol_id int"
         )
-        both = signal.join(pairs, ["window_id", "sig_id"]).join(vol, [*_WINDOW, "vol_id", "ts"])
-        return both.join(panel.select(*_WINDOW, "ts", "adv"), [*_WINDOW, "ts"]) if self._daily_volume else both
+        return signal.join(pairs, ["window_id", "sig_id"]).join(vol, [*_WINDOW, "vol_id", "ts"])
 
     @property
     def _daily_volume(self) -> bool:
