@@ -3,14 +3,15 @@
 import datetime as dt
 import os
 import random
+import re
 
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from trendlab.operators import calendar, continuous, quality
+from trendlab.sources import manifest, sinks, universe
 from trendlab.sources import prices as files
-from trendlab.sources import sinks, universe
 
 
 def _dict(df, *keys, value="close"):
@@ -270,6 +271,58 @@ def test_paths_in_any_spelling_find_their_rows(spark, tmp_path, monkeypatch):
         files.load_universe_prices(spark, [{"symbol": "E", "data_source": "parquet", "data_symbol": str(tmp_path / "empty")}])
 
 
+def test_many_files_in_one_manifest(spark, tmp_path):
+    """80 instruments in files of several shapes; footers keep years out of the scan that the dates do not touch."""
+    days = [dt.date(2020 + y, 6, d) for y in range(4) for d in (1, 2)]
+    rows = [(f"S{k:03d}", d.year, d, 1.0 * k + d.year + d.day) for k in range(40) for d in days]
+    table = spark.createDataFrame(rows, "s string, y int, date date, settle double").repartition(4, "s")
+    table.write.partitionBy("s", "y").parquet(str(tmp_path / "p"))
+    (tmp_path / "c").mkdir()
+    for k in range(40):
+        name = "close" if k % 2 else "Last"
+        (tmp_path / "c" / f"C[{k}],{{x}} +%20.csv").write_text(f"date,{name}\n2021-06-01,{k}\n2022-06-01,{k + 1}\n")
+    (tmp_path / "c" / "C[9],{x} +%20.csv").write_text("\n\n")
+    parquet = [{"symbol": f"S{k:03d}", "data_source": "parquet", "data_symbol": f"{tmp_path}/p/s=S{k:03d}"} for k in range(40)]
+    csv = [{"symbol": f"C{k}", "data_source": "csv", "data_symbol": f"{tmp_path}/c/C\\[{k}\\]*"} for k in range(40)]
+    got = files.load_universe_prices(spark, parquet + csv, "2021-01-01", "2022-12-31")
+    assert not [f for f in got.inputFiles() if "y=2020" in f or "y=2023" in f]
+    want = {(s, d): v for s, y, d, v in rows if y in (2021, 2022)}
+    want |= {(f"C{k}", dt.date(2021 + i, 6, 1)): float(k + i) for k in range(40) if k != 9 for i in (0, 1)}
+    found = got.collect()
+    assert len(found) == len(want) and {(r.symbol, r.ts): r.close for r in found} == want
+    listed = manifest.price_manifest(spark, parquet[:2], "parquet").filter("symbol = 'S001'").orderBy("first").collect()
+    assert [(r.first, r.last) for r in listed] == [(dt.date(y, 6, 1), dt.date(y, 6, 2)) for y in range(2020, 2024)]
+
+
+@pytest.mark.parametrize(
+    "path, above, hits, misses",
+    [
+        ("/d/x", "file:/d/x", (), ()),
+        ("file:///d//y/../x/", "file:/d/x", (), ()),
+        ("x", "file:/home/x", (), ()),
+        ("/", "file:", (), ()),
+        ("hdfs://h:1/d/x", "hdfs://h:1/d/x", (), ()),
+        ("/d/*/q.csv", "file:/d", ("file:/d/a/q.csv",), ("file:/d/a/b/q.csv", "file:/e/a/q.csv", "file:/d/a/qxcsv")),
+        ("/d/{a,b{1,2}}x?", "file:/d", ("file:/d/axz", "file:/d/b2xz/part"), ("file:/d/bxz", "file:/d/ax")),
+        ("/d/[a-c][^x]\\*", "file:/d", ("file:/d/by*",), ("file:/d/bx*", "file:/d/byz")),
+    ],
+)
+def test_places_of_paths(path, above, hits, misses):
+    found, pattern = manifest._place(path, "file:/home")
+    assert found == above and (pattern is None) == (not hits)
+    assert all(re.search(pattern, h) for h in hits) and not any(re.search(pattern, m) for m in misses)
+
+
+def test_files_whose_footers_say_nothing_are_read(spark, tmp_path):
+    text = spark.createDataFrame([("2024-01-03", 7.0)], "date string, close double")
+    text.write.parquet(str(tmp_path / "T"))
+    late = spark.createDataFrame([(dt.datetime(2024, 1, 3, 23, 30), 8.0)], "date timestamp, close double")
+    late.write.option("compression", "none").parquet(str(tmp_path / "U"))
+    items = [{"symbol": s, "data_source": "parquet", "data_symbol": str(tmp_path / s)} for s in "TU"]
+    got = _dict(files.load_universe_prices(spark, items, "2024-01-03", "2024-01-03"), "symbol", "ts")
+    assert got == {("T", dt.date(2024, 1, 3)): 7, ("U", dt.date(2024, 1, 3)): 8}
+
+
 def test_missing_words_in_csv(spark, tmp_path):
     path = tmp_path / "ES.csv"
     path.write_text("date,close\n2024-01-01,N/A\n2024-01-02,101\n2024-01-03, null\n2024-01-04,\n2024-01-05,NaN\n")

@@ -1,5 +1,6 @@
 """Runs, sweeps, walk-forward and bootstrap end to end."""
 
+import datetime as dt
 import math
 import random
 
@@ -184,6 +185,22 @@ def test_folds_against_loop(spark, market, insample, oos, step, anchored):
     assert [(r.is_start, r.is_end, r.oos_start, r.oos_end) for r in rows] == want
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_rows_in_windows_against_loop(spark, seed):
+    """Random windows with equal bounds, single days, ends before starts and null ends; rows repeated and without a date."""
+    rng = random.Random(seed)
+    day = lambda lo, hi: dt.date(2020, 1, 1) + dt.timedelta(days=rng.randint(lo, hi))
+    windows = [(i, day(0, 60), day(20, 90)) for i in range(25)] + [(30, dt.date(1999, 1, 1), dt.date(2029, 1, 1))]
+    windows += [(31, None, day(0, 9)), (32, day(0, 9), None), (33, *[dt.date(2020, 1, 20)] * 2), (34, *windows[0][1:])]
+    rows = [(k, day(-5, 95)) for k in range(80)] * 2 + [(99, None), (98, dt.date(2029, 1, 2)), (97, dt.date(2029, 1, 1))]
+    table = spark.createDataFrame(windows, "w int, a date, b date")
+    got = walkforward.rows_in_windows(spark.createDataFrame(rows, "k int, ts date"), table, "a", "b")
+    assert got.columns == ["k", "ts", "w", "a", "b"]
+    want = [(*r, *w) for r in rows for w in windows if r[1] and w[1] and w[2] and w[1] <= r[1] <= w[2]]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert walkforward.rows_in_windows(spark.createDataFrame(rows, "k int, ts date"), table.limit(0), "a", "b").count() == 0
+
+
 def test_fold_arguments(market):
     for bad in ((0, 5, None), (5, 0, None), (5, 5, -1)):
         with pytest.raises(ValueError):

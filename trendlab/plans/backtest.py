@@ -90,6 +90,8 @@ def window_panel(spark: SparkSession, prices: DataFrame, windows: Sequence[tuple
     rows = dense_panel(rows.filter(F.col("ts").between(F.lit(lo), F.lit(hi))))
     table = small_table(spark, [(i, a, b) for i, (a, b) in enumerate(windows)], "window_id int, w_start date, w_end date")
     inside = rows_in_windows(rows, table, "w_start", "w_end").drop("w_start", "w_end")
+    if len(windows) == 1:  # no row lies outside
+        inside = rows.withColumn("window_id", F.lit(0))
     return calendar.complete_panel(inside, scope=("window_id",))
 
 

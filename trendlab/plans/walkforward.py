@@ -50,14 +50,22 @@ def folds(
 def rows_in_windows(rows: DataFrame, windows: DataFrame, start: str, end: str) -> DataFrame:
     """Join every row to the windows that contain its date, both ends included.
 
-    A range join written as an equi-join on the calendar month: each window lists its months, so a
-    row meets only the windows that touch its month instead of all of them.
+    The boundaries of all windows, in order, cut the calendar into pieces; a window lists its first boundary and the one after its
+    end, and the pieces between them.  Each day belongs to one piece and is listed once, however many windows there are, so
+    rows find their piece and the piece its windows by equal keys.  A window without one of its ends, or that ends before it
+    starts, contains nothing.
     """
-    first, last = F.trunc(F.col(start), "MM"), F.trunc(F.col(end), "MM")
-    months = F.sequence(first, last, F.expr("interval 1 month"))
-    listed = windows.withColumn("_month", F.explode(months))
-    tagged = rows.withColumn("_month", F.trunc("ts", "MM"))
-    return tagged.join(listed, "_month").filter(F.col("ts").between(F.col(start), F.col(end))).drop("_month")
+    listed = windows.filter(F.col(start) <= F.col(end)).withColumn("_after", F.date_add(end, 1))
+    days = listed.select(F.explode(F.array(F.col(start).cast("date"), "_after")).alias("_day")).distinct()
+    # At most two rows per window, and one per day of the calendar.
+    order = Window.orderBy("_day")
+    edges = days.select("_day", F.row_number().over(order).alias("_piece"), F.date_sub(F.lead("_day").over(order), 1).alias("_until"))
+    calendar = edges.filter("_until is not null").select("_piece", F.explode(F.sequence("_day", "_until")).alias("ts"))
+    first = edges.select(F.col("_day").alias(start), F.col("_piece").alias("_from"))
+    after = edges.select(F.col("_day").alias("_after"), F.col("_piece").alias("_to"))
+    pieces = F.explode(F.sequence("_from", F.col("_to") - 1)).alias("_piece")
+    active = listed.join(first, start).join(after, "_after").select(*windows.columns, pieces)
+    return rows.join(calendar, "ts").join(active, "_piece").select(*rows.columns, *windows.columns)
 
 
 def split_by_fold(prices: DataFrame, fold_rows: DataFrame) -> DataFrame:

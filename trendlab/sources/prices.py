@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import logging
-import re
-from bisect import bisect_left
 from collections.abc import Mapping, Sequence
 from functools import reduce
-from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +15,7 @@ from ..functions.scaling import nan_to_null
 from ..operators.calendar import align, validate
 from ..operators.quality import assert_clean
 from .local import small_table
+from .manifest import literal, plain, price_manifest
 from .sinks import stored
 
 logger = logging.getLogger(__name__)
@@ -102,9 +100,11 @@ def load_universe_prices(
 ) -> DataFrame:
     """Read every instrument from its own source (``data_source`` csv or parquet, path ``data_symbol``).
 
-    One scan per format covers all files of that format; rows find their symbol by file.  A path may be relative,
+    A manifest of all files is made by one job; files of equal columns share a scan, and Parquet files whose footers
+    place them outside the dates are not opened again.  Rows find their symbol by file.  A path may be relative,
     hold ``..`` or wildcards, and name a file or a folder of any depth.  Unknown sources are skipped with a warning;
-    a missing path raises, and so does an instrument whose path holds no file.
+    a missing path raises, and so does an instrument whose path holds no file.  A file of blank lines has no rows, one
+    of no bytes counts as none.
     """
     symbols = [item["symbol"] for item in instruments]
     if repeated := {s for s in symbols if symbols.count(s) > 1}:
@@ -120,21 +120,29 @@ def load_universe_prices(
         for item in items:
             if not item.get("data_symbol"):
                 raise ValueError(f"instrument {item['symbol']!r} needs data_symbol for source {fmt}")
-        # Files may differ in their price column, so those that agree share a scan.
-        shapes: dict[tuple, list[Mapping]] = {}
-        for item in items:
-            paths = [item["data_symbol"]]
-            head = _open(spark, paths, fmt)
-            shape = (_resolve_column(spark, paths, fmt, head), head.schema.simpleString())
-            shapes.setdefault(shape, []).append(item)
-        for (column, _), same in shapes.items():
-            rows = read_prices(spark, [i["data_symbol"] for i in same], fmt, start, end, column=column)
-            frames.append(_named(rows, _owners(spark, rows, same)))
+        found = price_manifest(spark, items, fmt).collect()  # as many rows as the scans list files
+        if without := sorted({i["symbol"] for i in items} - {f["symbol"] for f in found}):
+            raise FileNotFoundError(f"no price file for instruments {without}")
+        # Files may differ in their price column, so those of equal columns share a scan.
+        shapes: dict[str, list] = {}
+        for file in found:
+            if file["shape"] is not None and _may_hold(file, start, end):
+                shapes.setdefault(file["shape"], []).append(file)
+        for same in shapes.values():
+            paths = [literal(path) for path in dict.fromkeys(file["path"] for file in same)]
+            owners = small_table(spark, [(file["path"], file["symbol"]) for file in same], "path string, symbol string")
+            frames.append(_named(read_prices(spark, paths, fmt, start, end), owners))
     if not frames:
         return small_table(spark, [], "symbol string, ts date, close double")
     return reduce(DataFrame.unionByName, frames)  # each symbol has one source, so no row competes with another
 
 
+def _may_hold(file, start, end) -> bool:
+    """Whether a file of the manifest may hold days of ``[start, end]``; one of unknown days may."""
+    late = end is not None and file["first"] is not None and str(file["first"]) > str(end)[:10]
+    return not (late or (start is not None and file["last"] is not None and str(file["last"]) < str(start)[:10]))
+
+
 def _open(spark: SparkSession, paths: Sequence[str], fmt: str, infer: bool = False) -> DataFrame:
     """The files as a table; CSV columns stay text unless ``infer``, so only the header is read here."""
     try:
@@ -152,34 +160,11 @@ def _resolve_column(spark: SparkSession, paths: Sequence[str], fmt: str, frame:
     return price_column(frame)
 
 
-def _owners(spark: SparkSession, rows: DataFrame, instruments: Sequence[Mapping]) -> DataFrame:
-    """``(file, symbol)`` for every file of the scan, from the file list the scan already holds.
-
-    Instrument paths are resolved by the file system, so any way to write one leads to the same files.
-    """
-    files = sorted({_plain(f) for f in rows.inputFiles()})
-    pairs, jvm = [], spark._jvm
-    for item in instruments:
-        path = jvm.org.apache.hadoop.fs.Path(str(item["data_symbol"]))
-        system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-        found = system.globStatus(system.makeQualified(path)) or ()
-        places = [_plain(status.getPath().toUri().toString()).rstrip("/") for status in found]
-        own = [f for place in places for f in files[bisect_left(files, place) : bisect_left(files, f"{place}0")] if f == place or f.startswith(f"{place}/")]
-        if not own:
-            raise FileNotFoundError(f"no price file for instrument {item['symbol']!r} under {item['data_symbol']!r}")
-        pairs += [(f, item["symbol"]) for f in own]
-    return small_table(spark, pairs, "file string, symbol string")
-
-
-def _plain(uri: str) -> str:
-    """A file's address decoded, with one form for local files."""
-    return re.sub("^file:/+", "file:/", unquote(uri))
-
-
 def _named(rows: DataFrame, owners: DataFrame) -> DataFrame:
-    """Rows under the symbol that owns their file."""
-    file = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), "^file:/+", "file:/")
-    return rows.withColumn("file", file).join(owners, "file").select("symbol", "ts", "close")
+    """Rows under the symbols that own their file; the scan tells its files percent-encoded."""
+    file = plain(F.url_decode(F.regexp_replace("path", r"\+", "%2B")))
+    owned = owners.select(plain(F.col("path")).alias("file"), "symbol")
+    return rows.withColumn("file", file).join(owned, "file").select("symbol", "ts", "close")
 
 
 def load_panel(
