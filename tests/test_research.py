@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import trendlab
 from trendlab import api
-from trendlab.plans import bootstrap, scenarios, sensitivity, walkforward
+from trendlab.plans import bootstrap, replay, scenarios, sensitivity, walkforward
 from trendlab.plans.backtest import replay_differences
 from trendlab.sources.universe import load_universe
 
@@ -63,6 +63,34 @@ def test_replay_tolerates_last_bits_only(spark, market):
     assert count(nav.unionByName(nav.limit(3)))[1] == 3
 
 
+def test_digests_are_of_the_multiset_of_rows(spark):
+    schema = "k string, v double, n int, m map<string,int>"
+    rows = [("a", 1.5, 1, {"x": 1, "y": 2}), ("a", 1.5, 1, {"y": 2, "x": 1}), ("b", None, 2, None), (None, 0.0, None, {}), ("b", -2.25, 2, {"x": None})]
+    digest = lambda r, s=schema: tuple(replay.table_digest(spark.createDataFrame(r, s).repartition(3)).first())
+    same = digest(rows)
+    assert same[0] == 5 and digest(rows[::-1]) == same
+    assert digest([rows[0], rows[1], rows[2], (None, -0.0, None, {}), rows[4]]) == same
+    turned = spark.createDataFrame(rows, schema).select("m", "n", "k", "v")
+    assert tuple(replay.table_digest(turned).first()) == same
+    moved = [("a", 1.5000000000000002, 1, {"x": 1, "y": 2}), *rows[1:]]
+    swapped = [("a", 1.5, 1, rows[0][3]), ("b", 1.5, 1, rows[0][3]), ("a", None, 2, None), *rows[3:]]
+    others = [rows[:-1], [*rows, rows[0]], [*rows, rows[2]], moved, swapped, [rows[0], rows[1], (None, None, 2, None), *rows[3:]], []]
+    assert len({digest(r) for r in others} | {same}) == len(others) + 1
+    by_key = {r.k: r.n_rows for r in replay.table_digest(spark.createDataFrame(rows, schema), ["k"]).collect()}
+    assert by_key == {"a": 2, "b": 2, None: 1}
+
+
+def test_a_run_computed_twice_has_the_same_digests(spark, market):
+    """Also when its rows come in other partitions and another order."""
+    prices, universe, _ = market
+    first = trendlab.run_backtest(spark, CONFIG, prices, universe).tables()
+    mixed = prices.repartition(7, "ts").orderBy(F.xxhash64("symbol", "ts"))
+    assert replay.changed_tables(first, trendlab.run_backtest(spark, CONFIG, mixed, universe).tables()) == []
+    moved = {**first, "nav": first["nav"].withColumn("nav", F.col("nav") + 1e-9)}
+    assert replay.changed_tables(first, moved) == ["nav"]
+    api.assert_reproducible(first, moved)  # within the tolerance
+
+
 def test_absent_rows_count_as_missing_values(spark, market):
     prices, universe, days = market
     lost = [d for k, d in enumerate(days) if k % 7 == 3]

@@ -3,8 +3,7 @@
 Output columns are written as ``"name kind"``: ``s`` text, ``d`` date (as ISO text), ``i`` whole
 number, ``b`` boolean, the number of decimals of a float, or ``m3`` for amounts of money.  Both sides
 get the same projection.  Amounts are sums of six-decimal prices, so some lie exactly between two
-thousandths, where the last bit of a sum would decide; both sides move them by the same small
-constant before rounding.
+thousandths; both sides take them as decimals and round those.
 """
 
 from __future__ import annotations
@@ -16,9 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-_OFF_TIES = 0.000123456
-
-
 @dataclass(frozen=True)
 class Query:
     key: str
@@ -47,7 +43,7 @@ def _spark_column(name: str, kind: str):
     elif kind == "b":
         out = c.cast("boolean")
     elif kind == "m3":
-        out = F.round(c.cast("double") + _OFF_TIES, 3) + F.lit(0.0)
+        out = F.round(c.cast("decimal(28,6)"), 3).cast("double") + F.lit(0.0)
     else:
         out = F.round(c.cast("double"), int(kind)) + F.lit(0.0)  # + 0.0 turns -0.0 into 0.0
     return out.alias(name)
@@ -63,7 +59,7 @@ def _sql_column(name: str, kind: str) -> str:
     if kind == "b":
         return f'cast("{name}" as boolean) as "{name}"'
     if kind == "m3":
-        return f'round(cast("{name}" as double) + {_OFF_TIES}, 3) + 0.0 as "{name}"'
+        return f'cast(round(cast("{name}" as decimal(28,6)), 3) as double) + 0.0 as "{name}"'
     return f'round(cast("{name}" as double), {kind}) + 0.0 as "{name}"'
 
 

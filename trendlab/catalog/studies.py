@@ -12,6 +12,7 @@ from ..api import build, run_parameter_sweep, run_walk_forward
 from ..operators.risk import simple_returns
 from ..plans import bootstrap, scenarios, sensitivity, walkforward
 from ..plans.backtest import Backtest, replay_differences
+from ..plans.replay import digests
 from . import panel
 from .portfolio import CONFIG, market
 from .registry import register
@@ -161,6 +162,24 @@ def j17_sweep(spark, sf):
     return rows.join(found, "artefact")
 
 
+@register(
+    "j17_replay_digests", "run_id s, artefact s, n_rows i, n_digests i, hash_length i",
+    backtest_sql(
+        """select run_id, artefact, count(*) as n_rows, 1 as n_digests, 64 as hash_length from (
+          select run_id, unnest(['nav', 'ledger']) as artefact from ledger union all select run_id, 'trades' from costed
+          union all select run_id, 'positions' from positions) group by 1, 2""",
+        "ledger", _grid_runs(GRID),
+    ),
+)
+def j17_digests(spark, sf):
+    """Every run of a sweep computed twice: rows and distinct digests of its tables."""
+    names = ("nav", "ledger", "trades", "positions")
+    both = (digests({n: tables[n] for n in names}, ["run_id"]) for tables in (_sweep(spark, sf).backtest.tables() for _ in range(2)))
+    return reduce(DataFrame.unionByName, both).groupBy("run_id", "artefact").agg(
+        F.max("n_rows").alias("n_rows"), F.countDistinct("digest").alias("n_digests"), F.max(F.length("digest")).alias("hash_length")
+    )
+
+
 _MODELS = {"risk.vol_model": ["ewma", "rolling"], "risk.risk_allocator": ["proportional", "erc"], "risk.ewma_lambda": [0.9, 0.97]}
 
 

@@ -84,6 +84,16 @@ def pct_change(value: str, keys: Keys, ts: str = "ts") -> Column:
     return ratio(F.col(value), F.lag(value).over(series(keys, ts))) - 1
 
 
+def exact(amount: Column | str) -> Column:
+    """An amount as a decimal with nine places: sums of such have the same digits in whatever order a shuffle brings the terms."""
+    return (F.col(amount) if isinstance(amount, str) else amount).cast("decimal(28,9)")
+
+
+def exact_sum(amount: Column | str) -> Column:
+    """The sum of an amount's decimals, as a floating-point number again."""
+    return F.sum(exact(amount)).cast("double")
+
+
 def with_settings(rows: DataFrame, settings: DataFrame, number: str, parts: int = 1) -> DataFrame:
     """Every row with every setting of its ``window_id``.
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.series import pct_change, rolling, series
+from ..functions.series import exact_sum, pct_change, rolling, series
 
 KEYS = ("run_id", "symbol")
 
@@ -35,7 +35,7 @@ def sector_contributions(contributions: DataFrame, sectors: DataFrame) -> DataFr
     """Sum by sector; instruments without one count as ``Unknown``."""
     rows = contributions.join(sectors.select("symbol", "sector"), "symbol", "left")
     sector = F.coalesce("sector", F.lit("Unknown"))
-    return rows.groupBy("run_id", "ts", sector.alias("sector")).agg(F.sum("pnl").alias("pnl"))
+    return rows.groupBy("run_id", "ts", sector.alias("sector")).agg(exact_sum("pnl").alias("pnl"))
 
 
 def exposures(positions: DataFrame) -> DataFrame:
@@ -48,14 +48,14 @@ def cost_breakdown(ledger_rows: DataFrame | None, fills: DataFrame | None) -> Da
     parts = []
     if ledger_rows is not None:
         totals = ledger_rows.groupBy("run_id").agg(
-            F.sum("trading_cost").alias("ledger_trading"),
-            F.sum("roll_cost").alias("ledger_roll"),
-            F.sum("total_cost").alias("ledger_total"),
+            exact_sum("trading_cost").alias("ledger_trading"),
+            exact_sum("roll_cost").alias("ledger_roll"),
+            exact_sum("total_cost").alias("ledger_total"),
         )
         parts.append(totals.unpivot("run_id", ["ledger_trading", "ledger_roll", "ledger_total"], "component", "amount"))
     if fills is not None:
         reason = F.concat(F.lit("trades_"), F.coalesce("reason", F.lit("unknown")))
-        parts.append(fills.groupBy("run_id", reason.alias("component")).agg(F.sum("cost").alias("amount")))
+        parts.append(fills.groupBy("run_id", reason.alias("component")).agg(exact_sum("cost").alias("amount")))
     if not parts:
         raise ValueError("cost breakdown needs a ledger or fills")
     out = parts[0]

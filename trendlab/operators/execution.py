@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.costs import commission, participation_slippage
-from ..functions.series import series, upto
+from ..functions.series import exact_sum, series, upto
 
 KEYS = ("run_id", "symbol")
 COST_COLUMNS = ("adv_limit_pct", "commission_per_contract", "impact_k", "impact_alpha", "tick_value", "min_slippage_ticks")
@@ -271,7 +271,7 @@ def trade_log(orders: DataFrame, fills: DataFrame) -> tuple[DataFrame, DataFrame
 
 def positions_from_fills(book: DataFrame, fills: DataFrame) -> DataFrame:
     """Dense ``pos`` per session: running sum of the fills."""
-    daily = fills.groupBy(*KEYS, "ts").agg(F.sum("qty").alias("_qty"))
+    daily = fills.groupBy(*KEYS, "ts").agg(exact_sum("qty").alias("_qty"))
     rows = book.join(daily, [*KEYS, "ts"], "left")
     held = F.sum(F.coalesce("_qty", F.lit(0.0))).over(upto(KEYS))
     return rows.withColumn("pos", held).drop("_qty")
@@ -287,7 +287,7 @@ def cash_after_fills(fills: DataFrame, starting_nav: Column | float = 1_000_000.
     before = Window.partitionBy("run_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
     opening = (
         fills.groupBy("run_id", "ts")
-        .agg(F.sum(spent).alias("_day"))
+        .agg(exact_sum(spent).alias("_day"))
         .withColumn("_spent_before", F.coalesce(F.sum("_day").over(before), F.lit(0.0)))
         .drop("_day")
     )

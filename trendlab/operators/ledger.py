@@ -1,10 +1,15 @@
-"""Cash, net asset value and costs per session."""
+"""Cash, net asset value and costs per session.
+
+Amounts are summed as decimals, so a ledger that is computed twice has the same digits.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.series import exact_sum
+
 LEDGER_COLUMNS = ("nav", "cash", "asset_value", "pnl", "trading_cost", "roll_cost", "total_cost")
 
 
@@ -12,16 +17,16 @@ def daily_costs(fills: DataFrame) -> DataFrame:
     """Spent cash and costs per ``(run_id, ts)``; reasons starting with "roll" are roll costs."""
     roll = F.col("reason").startswith("roll")
     return fills.groupBy("run_id", "ts").agg(
-        F.sum(F.col("notional") + F.col("cost")).alias("spent"),
-        F.sum(F.when(roll, 0.0).otherwise(F.col("cost"))).alias("trading_cost"),
-        F.sum(F.when(roll, F.col("cost")).otherwise(0.0)).alias("roll_cost"),
+        exact_sum(F.col("notional") + F.col("cost")).alias("spent"),
+        exact_sum(F.when(roll, 0.0).otherwise(F.col("cost"))).alias("trading_cost"),
+        exact_sum(F.when(roll, F.col("cost")).otherwise(0.0)).alias("roll_cost"),
     )
 
 
 def asset_values(positions: DataFrame) -> DataFrame:
     """Market value of all holdings per ``(run_id, ts)``: one row for every session."""
     value = F.col("pos") * F.col("close") * F.col("point_value")
-    return positions.groupBy("run_id", "ts").agg(F.sum(value).alias("asset_value"))
+    return positions.groupBy("run_id", "ts").agg(exact_sum(value).alias("asset_value"))
 
 
 def ledger(positions: DataFrame, fills: DataFrame, starting_nav: DataFrame | float = 1_000_000.0) -> DataFrame:
