@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import trendlab
 from trendlab import api
-from trendlab.plans import bootstrap, replay, scenarios, sensitivity, walkforward
+from trendlab.plans import bootstrap, replay, scenario_table, scenarios, sensitivity, walkforward
 from trendlab.plans.backtest import replay_differences
 from trendlab.sources.universe import load_universe
 
@@ -187,6 +187,50 @@ def test_layers_of_settings():
     assert scenarios.sections({"a.y": 1, "a.x.z": 2}) == {"a": {"y": 1, "x": {"z": 2}}}
 
 
+def test_a_scenario_table_equals_the_list(spark):
+    grid = {
+        "signals.momentum.lookbacks": [[63, 126], [5.0]],
+        "risk": [{"vol_model": "rolling", "sector_caps": {"A.B": 0.5}}, {"gross_exposure_limit": None}, {}],
+        "risk.target_portfolio_vol": [0.1, 1],
+    }
+    base, splits = {"execution.impact.k": 0.5}, [{"start": "2020-01-01"}, {"start": dt.date(2020, 2, 3), "end": "2021-01-01"}]
+    for request in ((CONFIG, grid, base, splits, [1, 2]), (CONFIG, None, None, None, None), (CONFIG, {"backtest.seed": [3]}, None, [], 9)):
+        want = scenarios.scenario_frame(spark, [scenarios.typed_row(s) for s in scenarios.scenario_list(*request)])
+        table = scenario_table.scenario_table(spark, *request)
+        assert sorted(map(repr, table.select(want.columns).collect())) == sorted(map(repr, want.collect()))
+    shown = {r.run_id: r for r in scenario_table.table_metadata(scenario_table.scenario_table(spark, CONFIG, grid, base, splits, [1, 2]), base).collect()}
+    assert len(shown) == 48 and shown["run-0008"].seed == 2
+    assert shown["run-0008"].grid_overrides == '{"risk": {"gross_exposure_limit": null, "target_portfolio_vol": 1}, "signals": {"momentum": {"lookbacks": [63, 126]}}}'
+    assert shown["run-0008"].combined_overrides.startswith('{"execution": {"impact": {"k": 0.5}}, "risk"')
+
+
+@pytest.mark.parametrize("wrong", [{"signals.momentum.lookbacks": [[5], [0]]}, {"risk.vol_model": ["odd"]}, {"risk.risk_allocator": ["all"]}, {"backtest.end": [None]}])
+def test_a_scenario_table_checks_its_rows(spark, wrong):
+    with pytest.raises(ValueError, match="run-000"):
+        scenario_table.scenario_table(spark, CONFIG, wrong)
+
+
+def test_many_scenarios_are_made_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(scenario_table, "ROWS_PER_TASK", 50)
+    grid = {"risk.target_portfolio_vol": [k / 1000 for k in range(1, 41)], "risk.ewma_lambda": [k / 100 for k in range(50, 99)]}
+    rows = scenario_table.scenario_table(spark, CONFIG, grid, seeds=[1, 2, 3, 4, 5, 6]).collect()
+    assert len(rows) == 40 * 49 * 6 and {int(r.run_id[4:]) for r in rows} == set(range(1, len(rows) + 1))
+    by_number = {int(r.run_id[4:]) - 1: r for r in rows}
+    for n in (0, 5, 6, 293, 294, 11_759):
+        point = (n // 294, n // 6 % 49, n % 6)
+        assert (by_number[n].target_vol, by_number[n].ewma_lambda, by_number[n].seed) == pytest.approx(((point[0] + 1) / 1000, (point[1] + 50) / 100, point[2] + 1))
+
+
+@pytest.mark.parametrize("n", [0, 1, 500])
+def test_ranks_by_ranges(spark, n):
+    rng = random.Random(n)
+    rows = [(i, rng.choice([None, 1.0, rng.random()])) for i in range(n)]
+    table = spark.createDataFrame(rows, "i int, v double").repartition(6)
+    got = {r.i: r["rank"] for r in scenario_table.numbered_rows(table, [F.col("v").desc_nulls_last(), F.col("i")]).collect()}
+    order = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert got == {i: k for k, (i, _) in enumerate(order, 1)}
+
+
 def test_scenarios_count_seeds_first_then_grid_then_splits():
     grid = {"risk.target_portfolio_vol": [0.1, 0.2], "risk.vol_lookback": [21, 42]}
     rows = scenarios.scenario_list(CONFIG, grid, splits=[{"start": "2020-01-01"}, {"start": "2020-02-03"}], seeds=[1, 2])

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from .plans.backtest import Backtest, check_panel, replay_differences
 from .plans.replay import changed_tables
-from .plans.scenarios import flatten, scenario_list, scenario_metadata, setting, typed_row
+from .plans.scenario_table import scenario_table, table_metadata
+from .plans.scenarios import flatten, scenario_list, setting, typed_row
 from .plans.sensitivity import ranked
 from .plans.walkforward import folds, walk_forward_summary
 from .sources.local import small_table
@@ -41,13 +42,15 @@ def build(
     config: Mapping,
     prices: DataFrame,
     universe: DataFrame,
-    scenarios: Sequence[Mapping],
+    scenarios: Sequence[Mapping] | DataFrame,
     adv=None,
     roll_dates: DataFrame | None = None,
 ) -> Backtest:
-    rows = tuple(typed_row(s) for s in scenarios)
-    check_panel(prices, sorted({(r["start"], r["end"]) for r in rows}))
-    return Backtest(spark, prices, universe, rows, _volume_source(config, adv), _roll_table(spark, config, roll_dates))
+    """``scenarios``: a :func:`scenario_table`, or a list of few."""
+    runs = scenarios if isinstance(scenarios, DataFrame) else tuple(typed_row(s) for s in scenarios)
+    out = Backtest(spark, prices, universe, runs, _volume_source(config, adv), _roll_table(spark, config, roll_dates))
+    check_panel(prices, out.windows)
+    return out
 
 
 def run_backtest(
@@ -88,12 +91,19 @@ def assert_reproducible(first: Mapping[str, DataFrame], second: Mapping[str, Dat
 
 @dataclass(frozen=True)
 class Sweep:
+    """All runs of a sweep; ``request`` is what it was asked for: configuration, grid, overrides, splits and seeds."""
+
     backtest: Backtest
-    scenarios: tuple
+    request: tuple
+
+    @property
+    def scenarios(self) -> tuple:
+        """Every scenario as an object on the driver, for a look at few of them."""
+        return tuple(scenario_list(*self.request))
 
     @property
     def metadata(self) -> DataFrame:
-        return scenario_metadata(self.backtest.spark, self.scenarios, self.backtest.scenarios)
+        return table_metadata(self.backtest.scenarios, self.request[2])
 
     def ranking(self, metric: str = "sharpe") -> DataFrame:
         return ranked(self.backtest.summary, self.metadata, metric)
@@ -113,10 +123,10 @@ def run_parameter_sweep(
     roll_dates: DataFrame | None = None,
     check_reproducibility: bool | None = None,
 ) -> Sweep:
-    """All scenarios of a grid (times splits and seeds) as one plan."""
-    scenarios = scenario_list(config, parameter_grid, base_overrides, splits, seeds)
-    runs = _replayed(check_reproducibility, spark, config, prices, universe, scenarios, adv, roll_dates)
-    return Sweep(runs, tuple(scenarios))
+    """All scenarios of a grid (times splits and seeds) as one plan; they are rows of a table, never objects on the driver."""
+    request = (config, parameter_grid, base_overrides, splits, seeds)
+    runs = _replayed(check_reproducibility, spark, config, prices, universe, scenario_table(spark, *request), adv, roll_dates)
+    return Sweep(runs, request)
 
 
 @dataclass(frozen=True)
@@ -153,7 +163,7 @@ def run_walk_forward(
 ) -> WalkForward | None:
     """One run per fold, from its in-sample start to its out-of-sample end; None without a fold.
 
-    The fold boundaries (a few dates per fold) are read once, because each becomes a scenario.
+    The fold boundaries (a few dates per fold) are read once.
     """
     table = folds(prices, insample, oos, step, anchored)
     bounds = table.orderBy("fold").collect()
@@ -161,8 +171,8 @@ def run_walk_forward(
         if prices.isEmpty():
             raise ValueError("a walk-forward needs at least one session")
         return None
-    splits = [{"start": r["is_start"], "end": r["oos_end"]} for r in bounds]
-    scenarios = scenario_list(config, base_overrides=parameter_overrides, splits=splits, seeds=seed)
-    backtest = _replayed(check_reproducibility, spark, config, prices, universe, scenarios, adv, roll_dates)
     known = small_table(spark, bounds, table.schema)
+    splits = known.select("fold", F.col("is_start").alias("start"), F.col("oos_end").alias("end"))
+    scenarios = scenario_table(spark, config, base_overrides=parameter_overrides, splits=splits, seeds=seed)
+    backtest = _replayed(check_reproducibility, spark, config, prices, universe, scenarios, adv, roll_dates)
     return WalkForward(backtest, known)

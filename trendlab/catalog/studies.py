@@ -13,6 +13,7 @@ from ..operators.risk import simple_returns
 from ..plans import bootstrap, scenarios, sensitivity, walkforward
 from ..plans.backtest import Backtest, replay_differences
 from ..plans.replay import digests
+from ..plans.scenario_table import scenario_table
 from . import panel
 from .portfolio import CONFIG, market
 from .registry import register
@@ -85,6 +86,28 @@ def _scenario_table(spark, sf):
     return grid.withColumn("scenario", (F.col("fold") - 1) * 12 + F.col("grid_pos") + 1)
 
 
+@register(
+    "j2_scenario_settings", "run_id s, fold i, start d, end d, lookback i, n_lookbacks i, target_vol 4, gross_limit 4, core_cap 4, seed i",
+    panel.sql(
+        """select format('run-{:04d}', (fold - 1) * 12 + l.p * 4 + v.p * 2 + s.p + 1) as run_id, fold, is_start as start, oos_end as end,
+          l.lookback, l.n as n_lookbacks, v.target_vol, v.gross_limit, v.core_cap, s.seed from folds
+        cross join (values (0, 63, 1), (1, 126, 1), (2, 252, 2)) l(p, lookback, n)
+        cross join (values (0, 0.12, 1.5, 0.4), (1, 0.18, null, 0.3)) v(p, target_vol, gross_limit, core_cap)
+        cross join (values (0, 7), (1, 11)) s(p, seed)""",
+        folds_cte(504, 126, 63, True),
+    ),
+)
+def j2_settings(spark, sf):
+    """The settings of every run of a sweep over folds, a grid with whole sections as values, and seeds."""
+    folds = walkforward.folds(panel.stored_panel(spark, sf), 504, 126, 63, anchored=True)
+    splits = folds.select("fold", F.col("is_start").alias("start"), F.col("oos_end").alias("end"))
+    risk = [{"target_portfolio_vol": 0.12}, {"target_portfolio_vol": 0.18, "gross_exposure_limit": None, "sector_caps": {"Core": 0.3}}]
+    grid = {"signals.momentum.lookbacks": [[63], [126], [252, 21]], "risk": risk}
+    rows = scenario_table(spark, CONFIG, grid, splits=splits, seeds=[7, 11])
+    first, caps = F.element_at("lookbacks", 1), F.element_at("sector_caps", "Core")
+    return rows.select("*", first.alias("lookback"), F.size("lookbacks").alias("n_lookbacks"), caps.alias("core_cap"))
+
+
 @register(
     "j4_fingerprint", "n_runs i, n_hashes i, hash_length i",
     panel.sql("select 12 * count(*) as n_runs, 12 * count(*) as n_hashes, 64 as hash_length from folds", folds_cte(504, 126, 63, True)),

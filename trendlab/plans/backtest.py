@@ -13,8 +13,9 @@ from bisect import bisect_left
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import cached_property
+from itertools import count
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import attribution, calendar, execution, risk, signals
@@ -23,7 +24,7 @@ from ..operators.metrics import performance_summary, rolling_metrics
 from ..operators.sizing import size_positions
 from ..sources.local import small_table
 from ..sources.sinks import stored
-from .scenarios import PARAM_TYPES, scenario_frame
+from .scenarios import FIELDS, fingerprint, scenario_frame
 from .walkforward import rows_in_windows
 
 SETTINGS_PER_PART = 4096  # of one window, joined by one key
@@ -35,19 +36,20 @@ _PARAMS = (
 )
 
 
-def _vol_spec(row: Mapping) -> tuple:
-    if row["vol_model"] == "ewma":
-        return ("ewma", row["ewma_lambda"], row["min_vol_periods"], 0)
-    return ("rolling", 0.0, row["min_vol_periods"], row["vol_lookback"])
+def _signal_spec() -> Column:
+    return F.struct("lookbacks", "skip_last_n")
 
 
-def _signal_spec(row: Mapping) -> tuple:
-    return (tuple(row["lookbacks"]), row["skip_last_n"])
-
-
-def _numbered(values: Sequence) -> dict:
-    """Distinct values with their numbers."""
-    return {value: number for number, value in enumerate(dict.fromkeys(values))}
+def _vol_spec() -> Column:
+    """Settings that matter to the volatility model of a run."""
+    ewma = F.col("vol_model") == "ewma"
+    lookback = F.when(ewma, 0).otherwise(F.col("vol_lookback"))
+    return F.struct(
+        F.col("vol_model").alias("model"),
+        F.when(ewma, F.col("ewma_lambda")).otherwise(0.0).alias("lam"),
+        F.when(F.col("min_vol_periods") != 0, F.col("min_vol_periods")).otherwise(lookback).alias("min_periods"),
+        lookback.alias("lookback"),
+    )
 
 
 def check_panel(prices: DataFrame, windows: Sequence[tuple]) -> None:
@@ -112,29 +114,6 @@ def same_beginning(prices: DataFrame, start, first_end, last_end, warm_up: int)
     return bool(found[0]) and found[1] >= warm_up and found[2] == rows.select("symbol").distinct().count()
 
 
-def _beginnings(rows: Sequence[Mapping], alike) -> list[tuple]:
-    """``(base, run, end)`` of runs that share settings and start: each is the base run up to its end.
-
-    ``alike(start, first_end, last_end, warm_up)`` says whether they may; runs without a partner, or that may not, are left out.
-    """
-    groups: dict[str, list[Mapping]] = {}
-    for row in rows:
-        same = {k: v for k, v in row.items() if k not in ("run_id", "fold", "end")}
-        groups.setdefault(repr(sorted((k, sorted(v.items()) if isinstance(v, Mapping) else v) for k, v in same.items())), []).append(row)
-    known: dict[tuple, bool] = {}
-    cuts = []
-    for group in groups.values():
-        longest = max(group, key=lambda r: r["end"])
-        shortest = min(r["end"] for r in group)
-        window = (longest["start"], shortest, longest["end"], longest["min_vol_periods"] or longest["vol_lookback"])
-        if len(group) > 1:
-            if window not in known:
-                known[window] = shortest == longest["end"] or alike(*window)
-            if known[window]:
-                cuts += [(longest["run_id"], r["run_id"], r["end"]) for r in group]
-    return cuts
-
-
 @dataclass(frozen=True)
 class Backtest:
     """Result tables of one or many runs.
@@ -146,66 +125,118 @@ class Backtest:
     spark: SparkSession
     prices: DataFrame
     universe: DataFrame
-    rows: tuple
+    runs: DataFrame | Sequence[Mapping]  # a scenario table, or typed rows of few runs
     adv: object = None
     roll_dates: DataFrame | None = None
     allow_lookahead: bool = True
 
     @cached_property
     def scenarios(self) -> DataFrame:
-        return scenario_frame(self.spark, self.rows)
+        return self.runs if isinstance(self.runs, DataFrame) else scenario_frame(self.spark, self.runs)
+
+    @property
+    def rows(self) -> tuple[dict, ...]:
+        """The settings of all runs on the driver, for a look at few of them."""
+        return tuple(r.asDict() for r in self.scenarios.orderBy("run_id").collect())
 
     @cached_property
-    def _cuts(self) -> list[tuple]:
-        return _beginnings(self.rows, lambda *window: same_beginning(self.prices, *window)) if len(self.rows) > 1 else []
+    def _keyed(self) -> tuple[DataFrame, Row]:
+        """Scenarios with ids of their signal and volatility settings, and what the plan has to know of them all.
+
+        Ids are hashes of the settings, salted anew until different settings have different ids. Windows are as many as folds.
+        """
+        flag = lambda c: F.coalesce(F.max(c), F.lit(False))
+        same = fingerprint(self.scenarios.select(*[c for c, *_ in FIELDS if c != "end"]), exclude=())
+        for salt in count():
+            keyed = self.scenarios.withColumn("_vol", _vol_spec()).withColumn("_same", same)
+            keyed = keyed.withColumn("sig_id", F.xxhash64(F.lit(salt), _signal_spec())).withColumn("vol_id", F.xxhash64(F.lit(salt), "_vol"))
+            facts = keyed.agg(
+                F.count(F.lit(1)).alias("n"),
+                F.array_sort(F.collect_set(F.struct("start", "end"))).alias("windows"),
+                F.collect_set("vol_model").alias("models"),
+                F.countDistinct(_signal_spec()).alias("sigs"),
+                F.countDistinct("sig_id").alias("sig_ids"),
+                F.countDistinct("_vol").alias("vols"),
+                F.countDistinct("vol_id").alias("vol_ids"),
+                F.countDistinct("_same").alias("n_same"),
+                flag(F.col("rebalance_threshold") > 0).alias("banded"),
+                flag(F.col("gross_limit") != 0).alias("grossed"),
+                flag(F.size("sector_caps") > 0).alias("capped"),
+                flag(F.col("max_weight") != 0).alias("clipped"),
+            ).first()
+            if facts["sigs"] == facts["sig_ids"] and facts["vols"] == facts["vol_ids"]:
+                return keyed, facts
+
+    @property
+    def windows(self) -> list[tuple]:
+        """The distinct ``(start, end)`` of the runs."""
+        return [tuple(w) for w in self._keyed[1]["windows"]]
+
+    @cached_property
+    def _windowed(self) -> DataFrame:
+        """Scenarios with the ids of their settings and of their window."""
+        table = small_table(self.spark, [(i, *w) for i, w in enumerate(self.windows)], "window_id int, start date, end date")
+        return self._keyed[0].join(table, ["start", "end"])
+
+    @cached_property
+    def _cuts(self) -> DataFrame | None:
+        """``(_base, run_id, _end)`` of every run where some are beginnings of others, else None.
+
+        Runs with equal settings and start are cut from the one that ends last, if :func:`same_beginning` says they may.
+        """
+        keyed, facts = self._keyed
+        if facts["n_same"] == facts["n"]:
+            return None
+        alike = Window.partitionBy("_same")  # the runs of one setting: as many as folds
+        rows = keyed.select(
+            "run_id", "start", "end",
+            F.first("run_id").over(alike.orderBy(F.desc("end"), "run_id")).alias("_base"),
+            F.min("end").over(alike).alias("_shortest"),
+            F.max("end").over(alike).alias("_longest"),
+            F.count(F.lit(1)).over(alike).alias("_n"),
+            F.when(F.col("min_vol_periods") != 0, F.col("min_vol_periods")).otherwise(F.col("vol_lookback")).alias("_warm_up"),
+        )
+        checks = rows.filter("_n > 1").groupBy("start", "_shortest", "_longest").agg(F.max("_warm_up")).collect()
+        allowed = [tuple(c)[:3] for c in checks if c[1] == c[2] or same_beginning(self.prices, *c)]
+        if not allowed:
+            return None
+        table = small_table(self.spark, [(*a, True) for a in allowed], "start date, _shortest date, _longest date, _may boolean")
+        shared = F.coalesce("_may", F.lit(False)) & (F.col("_n") > 1)
+        joined = rows.join(table, ["start", "_shortest", "_longest"], "left")
+        base = F.when(shared, F.col("_base")).otherwise(F.col("run_id"))
+        return stored(joined.select(base.alias("_base"), "run_id", F.col("end").alias("_end")), "cuts")
 
     @cached_property
     def _bases(self) -> Backtest | None:
         """The runs that are worked out where some are beginnings of others; None where each stands for itself."""
-        shorter = {run for base, run, _ in self._cuts if run != base}
-        return replace(self, rows=tuple(r for r in self.rows if r["run_id"] not in shorter)) if shorter else None
+        if self._cuts is None:
+            return None
+        kept = self.scenarios.join(self._cuts.filter("_base = run_id").select("run_id"), "run_id", "left_semi")
+        return replace(self, runs=stored(kept, "base-runs"))
 
     def _cut(self, table: DataFrame, day: str = "ts", last: bool = True) -> DataFrame:
         """Rows of base runs as rows of every run, up to its end; ``last`` says whether the last session counts.
 
         Nothing is ordered at the close of a last session, so orders end one session before all else.
         """
-        alone = {r["run_id"] for r in self._bases.rows} - {base for base, *_ in self._cuts}
-        cuts = [*self._cuts, *((r["run_id"], r["run_id"], r["end"]) for r in self._bases.rows if r["run_id"] in alone)]
-        ends = small_table(self.spark, cuts, "_base string, run_id string, _end date")
         inside = F.col(day) <= F.col("_end") if last else F.col(day) < F.col("_end")
-        return table.withColumnRenamed("run_id", "_base").join(ends, "_base").filter(inside).select(*table.columns)
-
-    @cached_property
-    def _runs(self) -> list[tuple]:
-        """Window, signal setting and volatility setting of each run."""
-        return [((r["start"], r["end"]), _signal_spec(r), _vol_spec(r)) for r in self.rows]
+        return table.withColumnRenamed("run_id", "_base").join(self._cuts, "_base").filter(inside).select(*table.columns)
 
     @cached_property
     def features(self) -> DataFrame:
         """``(window_id, sig_id, vol_id, symbol, ts, close, signal, vol)`` for every pair of settings that a run has."""
-        windows, sigs, vols = (_numbered(v) for v in zip(*self._runs, strict=True))
-        panel = window_panel(self.spark, self.prices, list(windows))
+        facts = self._keyed[1]
+        panel = window_panel(self.spark, self.prices, self.windows)
         if self._daily_volume:
             source = self.adv if isinstance(self.adv, DataFrame) else "adv"
             panel = calendar.align_volume(panel, source, None, _WINDOW)
         panel = stored(panel, "window-panel")
-        parts = lambda settings: -(-len(settings) // SETTINGS_PER_PART)
-        used = dict.fromkeys((windows[w], sigs[s], s) for w, s, _ in self._runs)
-        sig_rows = small_table(
-            self.spark, [(w, i, list(lookbacks), skip) for w, i, (lookbacks, skip) in used], "window_id int, sig_id int, lookbacks array<int>, skip int"
-        )
-        used = dict.fromkeys((windows[w], vols[v], v) for w, _, v in self._runs)
-        vol_rows = small_table(
-            self.spark,
-            [(w, i, model, lam, least or lookback, lookback) for w, i, (model, lam, least, lookback) in used],
-            "window_id int, vol_id int, model string, lam double, min_periods int, lookback int",
-        )
-        signal = signals.momentum_by_setting(panel, sig_rows, _WINDOW, parts=parts(sigs), carry=("adv",) if self._daily_volume else ())
-        vol = risk.volatility_by_setting(panel, vol_rows, tuple({v[0] for v in vols}), _WINDOW, self.allow_lookahead, parts(vols))
-        pairs = small_table(
-            self.spark, list(dict.fromkeys((windows[w], sigs[s], vols[v]) for w, s, v in self._runs)), "window_id int, sig_id int, vol_id int"
-        )
+        parts = lambda settings: -(-settings // SETTINGS_PER_PART)
+        sig_rows = self._windowed.select("window_id", "sig_id", "lookbacks", F.col("skip_last_n").alias("skip")).distinct()
+        vol_rows = self._windowed.select("window_id", "vol_id", "_vol.*").distinct()
+        signal = signals.momentum_by_setting(panel, sig_rows, _WINDOW, parts=parts(facts["sigs"]), carry=("adv",) if self._daily_volume else ())
+        vol = risk.volatility_by_setting(panel, vol_rows, tuple(facts["models"]), _WINDOW, self.allow_lookahead, parts(facts["vols"]))
+        pairs = self._windowed.select("window_id", "sig_id", "vol_id").distinct()
         return signal.join(pairs, ["window_id", "sig_id"]).join(vol, [*_WINDOW, "vol_id", "ts"])
 
     @property
@@ -216,13 +247,7 @@ class Backtest:
     @cached_property
     def panel(self) -> DataFrame:
         """``(run_id, symbol, ts)`` with price, signal, volatility, volume and the run's parameters."""
-        windows, sigs, vols = (_numbered(v) for v in zip(*self._runs, strict=True))
-        picks = [(windows[w], sigs[s], vols[v]) for w, s, v in self._runs]
-        runs = small_table(
-            self.spark,
-            [(r["run_id"], *p, *[r[c] for c in _PARAMS]) for p, r in zip(picks, self.rows, strict=True)],
-            "run_id string, window_id int, sig_id int, vol_id int, " + ", ".join(f"{c} {PARAM_TYPES[c]}" for c in _PARAMS),
-        )
+        runs = self._windowed.select("run_id", "window_id", "sig_id", "vol_id", *_PARAMS)
         dims = self.universe.select("symbol", "sector", "point_value", "contract_step", F.col("pos").alias("symbol_pos"))
         fan = self.features.join(runs, ["window_id", "sig_id", "vol_id"]).join(dims, "symbol", "left")
         out = fan.select(
@@ -245,16 +270,16 @@ class Backtest:
         """The panel with the ``target`` contracts of each session."""
         if self._bases:
             return self._cut(self._bases.book)
-        banded = any((r["rebalance_threshold"] or 0) > 0 for r in self.rows)
+        facts = self._keyed[1]
         sized = size_positions(
             self.panel,
             capital=F.col("starting_nav"),
             target_vol=F.col("target_vol"),
-            gross_limit=F.col("gross_limit") if any(r["gross_limit"] for r in self.rows) else None,
-            sector_cap="sector_cap" if any(r["sector_caps"] for r in self.rows) else None,
-            threshold="rebalance_threshold" if banded else 0.0,
+            gross_limit=F.col("gross_limit") if facts["grossed"] else None,
+            sector_cap="sector_cap" if facts["capped"] else None,
+            threshold="rebalance_threshold" if facts["banded"] else 0.0,
             allocator=F.col("risk_allocator"),
-            max_weight=F.col("max_weight") if any(r["max_weight"] for r in self.rows) else None,
+            max_weight=F.col("max_weight") if facts["clipped"] else None,
             keys=_RUN,
             carry=("symbol_pos", "close", "adv", "point_value", "starting_nav", *execution.COST_COLUMNS),
         )

@@ -1,14 +1,13 @@
 """Scenario tables: one typed row per run.
 
 A configuration has the sections ``signals.momentum``, ``risk``, ``execution`` and ``backtest``, nested or by
-dotted name; inside, settings are flat.  Grids name settings by dotted key.  The list of scenarios is what the user wrote
-down, so it lives on the driver; everything computed from it does not.
+dotted name; inside, settings are flat.  Grids name settings by dotted key.  The lists made here are for few runs; sweeps
+take their scenarios from a table (``scenario_table``).
 """
 
 from __future__ import annotations
 
 import datetime
-import json
 from collections.abc import Iterable, Mapping, Sequence
 from itertools import product
 
@@ -45,8 +44,6 @@ FIELDS: tuple[tuple[str, tuple[str, ...], str, object], ...] = (
     ("default_adv", ("execution.default_adv_contracts",), "double", 10_000.0),
 )
 
-PARAM_TYPES = {column: kind for column, _, kind, _ in FIELDS}
-
 
 def flatten(config: Mapping | None, prefix: str = "") -> dict:
     """Settings by dotted name, whether ``config`` nests its sections or names them with dots already."""
@@ -187,17 +184,3 @@ def fingerprint(rows: DataFrame, exclude: Sequence[str] = ("run_id",)) -> Column
         else:
             parts.append(F.col(name))
     return F.sha2(F.to_json(F.struct(*parts)), 256)
-
-
-def scenario_metadata(spark: SparkSession, scenarios: Sequence[Mapping], hashes: DataFrame) -> DataFrame:
-    """Overrides (JSON), seed and fingerprint per run."""
-    text = lambda part: json.dumps(sections(part), sort_keys=True, default=str)
-    rows = [
-        (s["run_id"], text(s["grid_overrides"]), text(s["base_overrides"]),
-         text(settings_of(s["base_overrides"], s["grid_overrides"])), s["run_seed"])
-        for s in scenarios
-    ]
-    meta = small_table(
-        spark, rows, "run_id string, grid_overrides string, base_overrides string, combined_overrides string, seed int"
-    )
-    return meta.join(hashes.select("run_id", "config_hash"), "run_id")

@@ -4,20 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.metrics import METRICS
 from ..sources.local import small_table
 from .backtest import Backtest
+from .scenario_table import numbered_rows
 from .scenarios import scenario_list, settings_of, typed_row
 
 
 def ranked(summary: DataFrame, scenarios: DataFrame, metric: str = "sharpe") -> DataFrame:
-    """One row per scenario with its settings, metrics and rank (best first)."""
-    order = Window.orderBy(F.col(metric).desc_nulls_last(), "run_id")  # one row per scenario
-    joined = scenarios.join(summary, "run_id")
-    return joined.withColumn("rank", F.row_number().over(order))
+    """One row per scenario with its settings, metrics and rank (best first), ranked by ranges."""
+    return numbered_rows(scenarios.join(summary, "run_id"), [F.col(metric).desc_nulls_last(), F.col("run_id")])
 
 
 def metric_sensitivity(
