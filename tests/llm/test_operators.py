@@ -78,6 +78,26 @@ def test_shards_split_only_what_is_too_large(documents, limit, bits):
     assert got == split_by_hand(rows, limit)
 
 
+@pytest.mark.parametrize("bits", [3, 12])
+def test_shards_part_rows_of_one_id(spark, bits):
+    """A third of the rows without id, a third of one id, half of both with one text: every shard fits, but for a single text over the limit."""
+    rows = [(i, "x" * (i % 50)) for i in range(60)]
+    rows += [(key, "same text" if i % 2 else f"text {i}") for key in (None, 7) for i in range(60)] + [(7, "y" * 500), (None, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = shards.extendible_shards(docs, 100, bits, part_ids=True).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(((r.doc_id, r.n_bytes) for r in got), key=key) == sorted(((i, len(t or "")) for i, t in rows), key=key)
+    sizes, holds = {}, {}
+    for r in got:
+        sizes[r.shard] = sizes.get(r.shard, 0) + r.n_bytes
+        holds.setdefault(r.shard, []).append(r)
+    for name, members in holds.items():
+        assert all(r.shard_bytes == sizes[name] and r.local_depth == len(name) and r.oversized == (sizes[name] > 100) for r in members)
+        assert sizes[name] <= 100 or max(r.n_bytes for r in members) == sizes[name] == 500
+        assert not any(other != name and other.startswith(name) for other in holds)
+    assert sum(2.0 ** -len(name) for name in holds) <= 1
+
+
 def test_shard_directory_is_complete(documents):
     entries = shards.directory(shards.extendible_shards(documents[0], 800)).collect()
     assert sum(e["n_entries"] for e in entries) <= 1 << entries[0]["global_depth"]

@@ -18,7 +18,7 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shards.extendible_shards(table(spark, sf_dir, "documents"))
+    return shards.extendible_shards(table(spark, sf_dir, "documents"), part_ids=True)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
