@@ -201,6 +201,30 @@ def test_a_large_group_of_copies_with_changes(spark, monkeypatch, changed, block
     assert sorted(found) == want and len(want) < 120
 
 
+def test_near_copies_meet_in_balls_of_fingerprints(spark):
+    """Without MinHash bands: near copies at most 5 bits apart are linked by their fingerprints' halves, and no other texts are."""
+    rnd = random.Random(21)
+    texts = ["", " ", "a b", "a c"]
+    for _ in range(30):
+        words = [f"w{rnd.randint(0, 999)}" for _ in range(rnd.randint(100, 300))]
+        texts += [" ".join(words), " ".join([*words[:-2], "x", "y"]), " ".join([*words[:40], f"v{rnd.random()}", *words[40:]])]
+    prints = [(k, *simhash._copy_prints(t.encode())[:2], []) for k, t in enumerate(texts)]
+    prints += [(len(texts) + k, 17 + k, [5 ^ k, 1 << 32], []) for k in range(3)]  # alike by fingerprint, not by their words
+    texts += [f"one{k} two three{k} four five{k} six seven{k}" for k in range(3)]
+    apart = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(prints[a][2], prints[b][2], strict=True))
+    worded = [k for k, p in enumerate(prints) if p[2]]
+    close = [(a, b) for a in worded for b in worded if a < b and apart(a, b) <= 5]
+    alike = [(a, b) for a, b in close if jaccard_by_hand(texts[a], texts[b]) >= 0.8]
+    assert len(alike) > 30 and len(close) >= len(alike) + 3
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    made = spark.createDataFrame(prints, "row long, fp long, halves array<long>, keys array<long>")
+    found = {(r["a"], r["b"]) for r in simhash.copy_links(rows, made, "row").collect()}
+    of = {p[1]: k for k, p in enumerate(prints)}
+    assert all(jaccard_by_hand(texts[of[a]], texts[of[b]]) >= 0.8 for a, b in found)
+    group = closed([(of[a], of[b]) for a, b in found], range(len(texts)))
+    assert all(group[a] == group[b] for a, b in alike)
+
+
 def test_one_row_of_repeated_rows_and_null_ids_stays(spark):
     rows = [(7, "a text of its own"), (7, "a text of its own"), (7, "another one"), (None, "with id once"), (None, "without any id"), (None, "without any id"), (3, "with id once")]
     frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)

@@ -1,4 +1,4 @@
-"""Near-duplicates by SimHash and meet-in-the-middle ball hashing; near copies by MinHash and exact similarity."""
+"""Near-duplicates by SimHash and meet-in-the-middle ball hashing; near copies by the same balls, MinHash beyond their reach, exact similarity."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from trendlab.llm.common import fresh, per_text, small_batches
+from trendlab.llm.common import fresh, per_text, small_batches, tasks
 from trendlab.sources.sinks import stored
 
 #: Words per shingle, seed of their hash, differing bits that still link two fingerprints.
@@ -21,8 +21,10 @@ SHINGLE, SEED, RADIUS = 3, 42, 2
 COPY_SHINGLE, COPY_TENTHS = 5, 8
 #: MinHash bands of a text and minima in each: at a similarity of 0.8 all bands of two texts differ with 3 in a million.
 BANDS, MINIMA = 24, 4
+#: Keys that come before the MinHash bands: equal halves of fingerprints, and balls around halves.
+EQUAL, BALL = -2, -1
 #: First bands of the batches that are tried one after the other; sets of a key that are tried together.
-BATCHES, BLOCK = (0, 1, 3, 8), 256
+BATCHES, BLOCK = (EQUAL, BALL, 0, 1, 3, 8), 256
 #: Shingles whose columns are multiplied at a time.
 _COLUMNS = 1 << 12
 #: Shingles of a text that are hashed at a time.
@@ -42,8 +44,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     for start in range(0, n, _CHUNK):
         part = words[start : start + _CHUNK + shingle - 1]
         grams = map(b" ".join, zip(*(part[k:] for k in range(shingle)), strict=False))
-        hashes = np.fromiter(map(xxh64_intdigest, grams, repeat(seed)), np.dtype(">u8"))
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        ones += _bit_counts(np.fromiter(map(xxh64_intdigest, grams, repeat(seed)), np.dtype(">u8")))
+    return _majority(ones, n)
+
+
+def _bit_counts(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.astype(">u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+
+
+def _majority(ones: np.ndarray, n: int) -> int:
     return int(np.packbits(ones * 2 > n).view(">i8")[0])
 
 
@@ -54,16 +63,13 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
     return small_batches(rows).mapInArrow(per_text(lambda text: (fingerprint(text, shingle, seed),), out), "doc_id long, fp long")
 
 
-def ball_links(prints: DataFrame) -> DataFrame:
-    """Links (a < b) that connect distinct fingerprints at 2 or fewer differing bits.
+def _balls(values: DataFrame, bits: int = 64) -> DataFrame:
+    """centre and members of every ball that holds two of the distinct ``values`` (fp) or more: those within one of its ``bits`` lowest bits.
 
-    Every fingerprint emits the 65 values within one bit of it, half the radius: two fingerprints meet in such a value
-    exactly if they differ in at most 2 bits. A value meets at most its own 65 neighbours, kept as a bit mask of a row,
-    so a group of any number of copies stays two numbers. The members of a mask are chained to its smallest one, not
-    paired with each other, and each link is verified.
+    A ball meets at most its own neighbours, kept as a bit mask of a row, so its size is bounded.
     """
-    shifts = F.array(*[F.lit(k) for k in range(-1, 64)])
-    near = prints.select("fp").distinct().select("fp", F.explode(shifts).alias("bit"))
+    shifts = F.array(*[F.lit(k) for k in range(-1, bits)])
+    near = values.select("fp", F.explode(shifts).alias("bit"))
     flip = F.when(F.col("bit") < 0, F.lit(0)).otherwise(F.expr("shiftleft(1L, bit)"))
     balls = (
         near.select(F.col("fp").bitwiseXOR(flip).alias("centre"), flip.alias("flip"), (F.col("bit") < 0).cast("int").alias("own"))
@@ -72,12 +78,24 @@ def ball_links(prints: DataFrame) -> DataFrame:
         .where(F.bit_count("mask") + F.col("own") > 1)
     )
     flipped = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.expr("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), k)) != 0)
-    members = balls.select(
+    return balls.select(
+        "centre",
         F.concat(
             F.transform(flipped, lambda k: F.col("centre").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k))),
             F.when(F.col("own") == 1, F.array("centre")).otherwise(F.array().cast("array<long>")),
-        ).alias("members")
+        ).alias("members"),
     )
+
+
+def ball_links(prints: DataFrame) -> DataFrame:
+    """Links (a < b) that connect distinct fingerprints at 2 or fewer differing bits.
+
+    Every fingerprint emits the 65 values within one bit of it, half the radius: two fingerprints meet in such a value
+    exactly if they differ in at most 2 bits. A value meets at most its own 65 neighbours, kept as a bit mask of a row,
+    so a group of any number of copies stays two numbers. The members of a mask are chained to its smallest one, not
+    paired with each other, and each link is verified.
+    """
+    members = _balls(prints.select("fp").distinct())
     links = members.select(F.array_min("members").alias("a"), F.explode("members").alias("b")).where("a < b").distinct()
     return links.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
 
@@ -142,9 +160,18 @@ def band_keys(shingles: np.ndarray) -> list[int]:
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
-def _copy_prints(text: bytes) -> tuple[int, list[int]]:
+def half_prints(shingles: np.ndarray) -> list[int]:
+    """The two halves of the fingerprint of a shingle set, told apart by bit 32. Within 5 bits of 64, one half is within 2."""
+    if not len(shingles):
+        return []
+    ones = sum((_bit_counts(shingles[start : start + _CHUNK]) for start in range(0, len(shingles), _CHUNK)), np.zeros(64, np.int64))
+    whole = _majority(ones, len(shingles))
+    return [whole & 0xFFFFFFFF, (whole >> 32 & 0xFFFFFFFF) | 1 << 32]
+
+
+def _copy_prints(text: bytes) -> tuple[int, list[int], list[int]]:
     shingles = shingle_set(text)
-    return int(np.uint64(xxh64_intdigest(shingles.tobytes(), SEED)).view(np.int64)), band_keys(shingles)
+    return int(np.uint64(xxh64_intdigest(shingles.tobytes(), SEED)).view(np.int64)), half_prints(shingles), band_keys(shingles)
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -217,13 +244,27 @@ def _tried(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return small_batches(dealt).mapInArrow(run, "a long, b long")
 
 
+def _in_balls(halves: DataFrame) -> DataFrame:
+    """fp and key (below zero) of the sets in every ball of radius 1 around halves of fingerprints that holds several; ``halves``: fp, key."""
+    values = halves.select(F.col("key").alias("fp")).repartition(tasks(halves.sparkSession), "fp").distinct()
+    members = _balls(values, 32).select((-1 - F.col("centre")).alias("ball"), F.explode("members").alias("key"))
+    return halves.join(members, "key").select("fp", F.col("ball").alias("key"))
+
+
 def _shared_bands(prints: DataFrame) -> DataFrame:
-    """fp, key, band, block, blocks of every distinct shingle set in the bands that it has in common with another one.
+    """fp, key, band, block, blocks of every distinct shingle set in the keys that it has in common with another one.
 
-    The sets of a key are dealt to blocks of about ``BLOCK`` by a hash that differs from band to band.
+    The keys are equal halves of fingerprints, balls around halves, and MinHash bands. The sets of a key are dealt to blocks
+    of about ``BLOCK`` by a hash that differs from band to band.
     """
-    sets = prints.groupBy("fp").agg(F.first("keys").alias("keys"))
-    held = sets.select("fp", F.posexplode("keys").alias("band", "key"))
+    sets = prints.groupBy("fp").agg(F.first("halves").alias("halves"), F.first("keys").alias("keys"))
+    halves = stored(sets.select("fp", F.explode("halves").alias("key")), "halves")
+    balls = stored(_in_balls(halves), "in-balls")
+    held = (
+        sets.select("fp", F.posexplode("keys").alias("band", "key"))
+        .unionByName(halves.withColumn("band", F.lit(EQUAL)))
+        .unionByName(balls.withColumn("band", F.lit(BALL)))
+    )
     sizes = held.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("size")).where("size > 1").drop("size")
     return held.join(sizes, "key").select("fp", "key", "band", F.pmod(F.xxhash64("fp", "key"), "blocks").cast("int").alias("block"), "blocks")
 
@@ -262,10 +303,12 @@ def _relabelled(labels: DataFrame, similar: DataFrame) -> DataFrame:
 
 
 def copy_links(texts: DataFrame, prints: DataFrame, row: str) -> DataFrame:
-    """Links (a, b) that join all shingle sets which share 0.8 of their shingles. ``texts``: row and text; ``prints``: row, fp, keys.
+    """Links (a, b) that join all shingle sets which share 0.8 of their shingles. ``texts``: row and text; ``prints``: row, fp, halves, keys.
 
-    Sets with a band in common are candidates. The sets of a band key are tried with each other in blocks, counted exactly
-    inside a task, which gives back only the links that join what was not joined before. Bands are taken in batches; a key whose
+    Sets whose fingerprints have a half within 2 bits of each other, which meet in a ball, are candidates first: all within 5 of the
+    64 bits, and more. Texts that share 0.8 may be 20 bits apart, beyond what balls reach, so sets with a MinHash band in common are
+    candidates next. The sets of a ball or band key are tried with each other in blocks, counted exactly
+    inside a task, which gives back only the links that join what was not joined before. Keys are taken in batches; a key whose
     sets all have one label by then, so are linked already, is left out. At the end the blocks of large keys meet: what
     is still outside a key's most frequent label is tried with all of its blocks. So every candidate pair is counted
     unless its two sets are known to be in one group.
@@ -299,8 +342,8 @@ def keep_one_copy(docs: DataFrame) -> DataFrame:
     row = fresh(docs, "row")
     placed = docs.withColumn(row, F.monotonically_increasing_id())
     texts = placed.select(row, F.col("text").cast("string").alias("text"))
-    out = pa.schema([(row, pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
-    made = small_batches(texts).mapInArrow(per_text(_copy_prints, out), f"`{row}` long, fp long, keys array<long>")
+    out = pa.schema([(row, pa.int64()), ("fp", pa.int64()), ("halves", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
+    made = small_batches(texts).mapInArrow(per_text(_copy_prints, out), f"`{row}` long, fp long, halves array<long>, keys array<long>")
     prints = stored(made, "copy-prints")
     roots = components(copy_links(texts, prints, row))
     ids = placed.select(row, F.col("doc_id").cast("long").alias("doc_id"))
